@@ -200,7 +200,7 @@ def _request_errors_sql(rules=REQUEST_RULES) -> str:
         if rule.max is not None:
             cases += f" WHEN {c} > {rule.max} THEN '{c}: must be at most {rule.max}'"
         parts.append(f"CASE {cases} END")
-    return f"list_filter([{', '.join(parts)}], x -> x IS NOT NULL)"
+    return f"[x FOR x IN [{', '.join(parts)}] IF x IS NOT NULL]"
 
 
 @query("validate_requests", f"WITH {Q.RAW} SELECT patient_id, len(errors) = 0 AS accepted, array_to_string(errors, '; ') AS errors"
@@ -499,7 +499,7 @@ def training_features(spark, sf) -> tuple[DataFrame, list[str]]:
 def fitted_model(spark, sf, **overrides) -> train.LinearModel:
     x, names = training_features(spark, sf)
     spec = train.get_model("logistic_regression", {**train.DEFAULT_PARAMS["logistic_regression"], **overrides})
-    return train.fit(x, names, "target", "patient_id", spec)
+    return train.fit(x, names, "target", spec)
 
 
 @query("lr_fit")
@@ -515,7 +515,7 @@ def lr_fit_l1(spark, sf):
 @query("rfe")
 def rfe(spark, sf):
     x, names = training_features(spark, sf)
-    _, ranks = select.select_by_rfe(x, names, "target", "patient_id", train.get_model("logistic_regression"), 20)
+    _, ranks = select.select_by_rfe(x, names, "target", train.get_model("logistic_regression"))
     return spark.createDataFrame(ranks, "feature string, rank int")
 
 
@@ -533,9 +533,8 @@ def importances(spark, sf):
 @query("grid_search")
 def grid_search(spark, sf):
     x, names = training_features(spark, sf)
-    grid = {"C": [0.01, 1], "penalty": ["l1", "l2"], "solver": ["liblinear"], "max_iter": [100, 200],
-            "class_weight": [None, "balanced"]}
-    return rounded(train.grid_search(x, names, "target", "patient_id", grid=grid, k=3, parallelism=8).cv_results, 6, ["mean_score"])
+    search = train.grid_search(x, names, "target", "patient_id")
+    return rounded(search.cv_results, 6, ["mean_score"])
 
 
 @query("train_plan")
@@ -968,10 +967,10 @@ def latency_quantiles(spark, sf):
 
 
 def _held_sql(condition: str, hold_hours: int, extra: str = "") -> str:
-    return (f"WITH {Q.PREDICTIONS}, ev AS (SELECT window_end AS at, {condition} AS breach FROM {_slide(6)} GROUP BY window_end),"
-            " g AS (SELECT at, at - to_hours(row_number() OVER (ORDER BY at)) AS run FROM ev WHERE breach)"
-            f" SELECT min(at) AS pending_since, min(at) + INTERVAL {hold_hours} HOUR AS firing_since, max(at) AS resolved_after,"
-            f" count(*) AS n_evaluations FROM g GROUP BY run HAVING max(at) - min(at) >= INTERVAL {hold_hours} HOUR")
+    return (f"WITH {Q.PREDICTIONS}, ev AS (SELECT window_end AS t, {condition} AS breach FROM {_slide(6)} GROUP BY window_end),"
+            " g AS (SELECT t, t - to_hours(row_number() OVER (ORDER BY t)) AS run FROM ev WHERE breach)"
+            f" SELECT min(t) AS pending_since, min(t) + INTERVAL {hold_hours} HOUR AS firing_since, max(t) AS resolved_after,"
+            f" count(*) AS n_evaluations FROM g GROUP BY run HAVING max(t) - min(t) >= INTERVAL {hold_hours} HOUR")
 
 
 @query("alert_error_rate", _held_sql("count(*) FILTER (WHERE status BETWEEN 500 AND 599) / CAST(count(*) AS DOUBLE) > 0.05", 6))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinrisk.operators.train import LinearModel, LogisticSpec, _fit_matrix, matrix_counts, training_matrix
+from clinrisk.operators.newton import fit_many
+from clinrisk.operators.train import LinearModel, LogisticSpec, fit_task, matrix_counts, training_matrix
 
 PAIRS_PER_PASS = 400
 CORRELATION_SCHEMA = "a string, b string, r double"
@@ -74,32 +76,31 @@ def select_by_variance(df: DataFrame, threshold: float = 0.01, columns: Sequence
     return kept
 
 
-def select_by_rfe(df: DataFrame, features: Sequence[str], label: str, key: str, spec: LogisticSpec,
-                  n_features: int = 10, step: int = 1) -> tuple[list[str], list[tuple[str, int]]]:
+def select_by_rfe(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec, n_features: int = 10,
+                  step: int = 1) -> tuple[list[str], list[tuple[str, int]]]:
     """Drop the ``step`` features of smallest squared coefficient until ``n_features`` are left.
 
-    Returns the kept features and, for every feature, its rank (1 = kept, higher = dropped earlier). The full matrix is
-    cached once as columns; each refit assembles the features still in play.
+    Returns the kept features and, for every feature, its rank (1 = kept, higher = dropped earlier). One matrix is cached;
+    a refit holds the dropped coefficients at 0 and starts from the previous solution, so it takes only a few passes.
     """
-    from pyspark import StorageLevel
-
-    table = df.select(key, label, *features).persist(StorageLevel.MEMORY_AND_DISK)
-    left, rounds = list(features), []
+    matrix = training_matrix(df, features, label)
+    free, rounds, beta = np.ones(len(features) + 1, bool), [], None
     try:
-        while len(left) > n_features:
-            matrix = training_matrix(table, left, label, key)
-            c = matrix_counts(matrix)[0]
-            beta, _ = _fit_matrix(matrix, c["n"], c["pos"], c["plus"], spec)
-            order = sorted(range(len(left)), key=lambda i: beta[i] ** 2)
-            drop = {left[i] for i in order[: min(step, len(left) - n_features)]}
-            rounds.append([f for f in left if f in drop])
-            left = [f for f in left if f not in drop]
+        c = matrix_counts(matrix)[0]
+        while free[:-1].sum() > n_features:
+            beta = fit_many(matrix, features, "label", [fit_task(c["n"], c["pos"], spec, free=free, start=beta)])[0]
+            left = np.flatnonzero(free[:-1])
+            drop = left[np.argsort(beta[left] ** 2, kind="stable")][: min(step, len(left) - n_features)]
+            rounds.append([features[i] for i in sorted(drop)])
+            free = free.copy()
+            free[drop] = False
     finally:
-        table.unpersist()
-    ranks = {f: 1 for f in left}
+        matrix.unpersist()
+    kept = [f for f, is_free in zip(features, free) if is_free]
+    ranks = {f: 1 for f in kept}
     for distance, dropped in enumerate(reversed(rounds)):
         ranks.update({f: distance + 2 for f in dropped})
-    return left, [(f, ranks[f]) for f in features]
+    return kept, [(f, ranks[f]) for f in features]
 
 
 def importances(df_or_spark, model: LinearModel) -> DataFrame:

@@ -1,22 +1,22 @@
-"""Regularised logistic regression on Spark ML, with exact class weights, a penalised intercept and a grid search."""
+"""Regularised logistic regression with class weights and a penalised intercept, and its grid search."""
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinrisk.functions.scoring import linear_probability, prediction
 from clinrisk.operators.metrics import auc_by
+from clinrisk.operators.newton import MAX_FEATURES, FitTask, fit_many
 from clinrisk.operators.split import stratified_folds
+from clinrisk.sources.patients import estimated_megabytes
 
 # Default hyperparameters and search grid per model name.
 DEFAULT_PARAMS = {
@@ -32,6 +32,7 @@ PARAM_GRIDS = {
     },
 }
 TOLERANCE = 1e-8
+SPLIT_MEGABYTES = 128
 COEFFICIENT_SCHEMA = "position int, feature string, coefficient double"
 
 
@@ -51,6 +52,8 @@ class LogisticSpec:
     def __post_init__(self):
         if self.penalty not in ("l1", "l2") or self.solver not in ("liblinear", "lbfgs"):
             raise ValueError(f"Unsupported penalty or solver: {self.penalty}, {self.solver}")
+        if self.penalty == "l1" and self.solver == "lbfgs":
+            raise ValueError("Solver lbfgs supports only the l2 penalty")
         if self.class_weight not in (None, "balanced") or self.C <= 0:
             raise ValueError(f"Unsupported class_weight or C: {self.class_weight}, {self.C}")
 
@@ -84,67 +87,70 @@ class LinearModel:
         return LinearModel([r["feature"] for r in rows[:-1]], [r["coefficient"] for r in rows[:-1]], rows[-1]["coefficient"])
 
 
-def training_matrix(df: DataFrame, features: Sequence[str], label: str, key: str, keep: Sequence[str] = ()) -> DataFrame:
-    """``(label, sign, y, x VECTOR, *keep)`` ready for fits with a penalised intercept.
+def training_matrix(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Labelled rows as ``(*keep, label, features...)``, cached until ``unpersist`` (a lost executor's part is recomputed).
 
-    Spark leaves its intercept unpenalised and ignores constant columns. A column of ones is appended and, for a fixed
-    pseudo-random half of the rows, the feature vector and the label are both flipped: the logistic loss is the same, and
-    the bias column is now -1 / +1, an ordinary penalised feature.
+    A table too small to give every core a file split is spread over the cores once, because every step works on it.
     """
-    sign = F.when(F.pmod(F.xxhash64(key), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    rows = df.where(F.col(label).isNotNull()).withColumn("sign", sign)
-    signed = rows.select(
-        *keep, F.col(label).cast("double").alias("label"), "sign",
-        F.when(F.col("sign") > 0, F.col(label)).otherwise(1 - F.col(label)).cast("double").alias("y"),
-        *[(F.col(f) * F.col("sign")).alias(f) for f in features], F.col("sign").alias("_bias"))
-    assembler = VectorAssembler(inputCols=[*features, "_bias"], outputCol="x", handleInvalid="error")
-    return assembler.transform(signed).select(*keep, "label", "sign", "y", "x")
+    rows = df.where(F.col(label).isNotNull()).select(*keep, F.col(label).alias("label"), *features)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_megabytes(df) < cores * SPLIT_MEGABYTES:
+        rows = rows.repartition(cores)
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def matrix_counts(matrix: DataFrame, by: Sequence[str] = ()) -> list:
-    return matrix.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos"),
-        F.count_if(F.col("sign") > 0).alias("plus")).collect()
+    return matrix.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos")).collect()
 
 
-def _fit_matrix(matrix: DataFrame, n: int, pos: int, plus: int, spec: LogisticSpec) -> tuple[list[float], float]:
-    """Coefficients (without the bias) and intercept of one fit."""
-    neg = n - pos
-    if pos == 0 or neg == 0:
+def class_weights(n: int, pos: int, spec: LogisticSpec) -> tuple[float, float]:
+    """Weights of labels 0 and 1; balanced weights give both classes the same total."""
+    if pos in (0, n):
         raise ValueError("Training needs rows of both classes")
-    if spec.solver == "liblinear" and plus in (0, n):
-        raise ValueError("Too few rows: every row has the same sign, so the intercept cannot be penalised")
-    if spec.class_weight == "balanced":
-        weight = F.when(F.col("label") == 1, F.lit(n / (2 * pos))).otherwise(F.lit(n / (2 * neg)))
-    else:
-        weight = F.lit(1.0)
-    plain = spec.solver == "lbfgs"
-    data = matrix.select("label", "x", "y", weight.alias("w"))
+    return (n / (2 * (n - pos)), n / (2 * pos)) if spec.class_weight == "balanced" else (1.0, 1.0)
+
+
+def fit_task(n: int, pos: int, spec: LogisticSpec, fold: int | None = None, **options) -> FitTask:
+    return FitTask(spec.C, class_weights(n, pos, spec), spec.penalty == "l1", spec.solver == "liblinear", fold,
+                   spec.max_iter, **options)
+
+
+def fit_wide(matrix: DataFrame, features: Sequence[str], n: int, pos: int, spec: LogisticSpec) -> tuple[list[float], float]:
+    """Coefficients and intercept by Spark ML's L-BFGS / OWL-QN, whose cost is linear in the number of features.
+
+    Spark leaves its intercept unpenalised and ignores constant columns. For a penalised intercept a column of ones is
+    appended and, for a fixed pseudo-random half of the rows, the feature vector and the label are both flipped: the
+    logistic loss is the same, and the bias column is now -1 / +1, an ordinary penalised feature.
+    """
+    weight0, weight1 = class_weights(n, pos, spec)
+    weight = F.when(F.col("label") == 1, F.lit(weight1)).otherwise(F.lit(weight0))
+    flipped = spec.solver == "liblinear"
+    keep = (F.pmod(F.xxhash64(*features), F.lit(2)) == 0) if flipped else F.lit(True)
+    sign = F.when(keep, F.lit(1.0)).otherwise(F.lit(-1.0))
+    rows = matrix.select(
+        F.when(keep, F.col("label")).otherwise(1 - F.col("label")).cast("double").alias("y"), weight.alias("w"),
+        *[(F.col(f) * sign).alias(f) for f in features], sign.alias("_bias"))
+    inputs = [*features, "_bias"] if flipped else list(features)
+    data = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows).select("x", "y", "w")
     lr = LogisticRegression(
         featuresCol="x", labelCol="y", weightCol="w", standardization=False, tol=TOLERANCE, maxIter=spec.max_iter,
-        regParam=1.0 / (spec.C * n), elasticNetParam=1.0 if spec.penalty == "l1" else 0.0, fitIntercept=False)
-    if plain:
-        # The flip is undone (its sign is the last vector entry) and Spark's own unpenalised intercept is used.
-        values = vector_to_array("x")
-        size = F.array_size(values)
-        raw = F.transform(F.slice(values, 1, size - 1), lambda v: v * F.element_at(values, -1))
-        from pyspark.ml.functions import array_to_vector
-        data = data.select(array_to_vector(raw).alias("x"), F.col("label").alias("y"), "w")
-        lr = lr.setFitIntercept(True)
+        regParam=1.0 / (spec.C * n), elasticNetParam=1.0 if spec.penalty == "l1" else 0.0, fitIntercept=not flipped)
     fitted = lr.fit(data)
     beta = [float(b) for b in fitted.coefficients.toArray()]
-    return (beta, float(fitted.intercept)) if plain else (beta[:-1], beta[-1])
+    return (beta[:-1], beta[-1]) if flipped else (beta, float(fitted.intercept))
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, key: str, spec: LogisticSpec) -> LinearModel:
-    """Fit on a matrix cached for the length of the fit (a lost executor's part is recomputed from the source)."""
-    matrix = training_matrix(df, features, label, key).persist(StorageLevel.MEMORY_AND_DISK)
+def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec) -> LinearModel:
+    """Fit one model: Newton steps while the Hessian is small, Spark ML's solver for wide matrices."""
+    matrix = training_matrix(df, features, label)
     try:
         c = matrix_counts(matrix)[0]
-        beta, intercept = _fit_matrix(matrix, c["n"], c["pos"], c["plus"], spec)
+        if len(features) > MAX_FEATURES:
+            return LinearModel(list(features), *fit_wide(matrix, features, c["n"], c["pos"], spec))
+        beta = fit_many(matrix, features, "label", [fit_task(c["n"], c["pos"], spec)])[0]
     finally:
         matrix.unpersist()
-    return LinearModel(list(features), beta, intercept)
+    return LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]))
 
 
 def accuracy(df: DataFrame, model: LinearModel, label: str, threshold: float = 0.5) -> DataFrame:
@@ -154,10 +160,10 @@ def accuracy(df: DataFrame, model: LinearModel, label: str, threshold: float = 0
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
 
 
-def train_model(df: DataFrame, features: Sequence[str], label: str, key: str, spec: LogisticSpec,
+def train_model(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec,
                 validation: DataFrame | None = None) -> tuple[LinearModel, dict[str, float]]:
     """Fit, and the accuracy on the training and (if given) validation rows."""
-    model = fit(df, features, label, key, spec)
+    model = fit(df, features, label, spec)
     scores = {"train_accuracy": accuracy(df, model, label).first()["accuracy"]}
     if validation is not None:
         scores["val_accuracy"] = accuracy(validation, model, label).first()["accuracy"]
@@ -180,14 +186,13 @@ class SearchResult:
 
 def grid_search(
     df: DataFrame, features: Sequence[str], label: str, key: str, name: str = "logistic_regression",
-    grid: dict | None = None, k: int = 5, seed: int = 42, parallelism: int = 4,
+    grid: dict | None = None, k: int = 5, seed: int = 42,
 ) -> SearchResult:
     """Every grid point on ``k`` stratified folds, scored by mean fold AUC; the first best is refitted on all rows.
 
-    All fits share one cached matrix; ``parallelism`` of them run at a time, so that small fits fill the cluster. The fold
-    models are then applied together: a table of ``points x folds`` coefficient rows is broadcast to the rows of its fold,
-    and one ordered-prefix job gives all AUCs. ``max_iter`` only stops a fit early, so points that differ in nothing else
-    share the fit with the largest value.
+    All ``points x folds`` fits advance together over one cached matrix. The fold models are then applied together: their coefficient table is broadcast to the rows of its fold, and one
+    ordered-prefix job gives all AUCs. ``max_iter`` only stops a fit early, so points that differ in nothing else share the
+    fit with the largest value.
     """
     base = get_model(name, {})
     points = grid_points(PARAM_GRIDS[name] if grid is None else grid)
@@ -201,35 +206,28 @@ def grid_search(
         if identity(s) not in fits or fits[identity(s)].max_iter < s.max_iter:
             fits[identity(s)] = s
     ids = {ident: i for i, ident in enumerate(fits)}
-    folded = stratified_folds(df, key, label, k, seed)
-    matrix = training_matrix(folded, features, label, key, keep=["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = training_matrix(stratified_folds(df, key, label, k, seed), features, label, keep=["fold"])
     try:
         counts = {r["fold"]: r for r in matrix_counts(matrix, ["fold"])}
-        total = {c: sum(r[c] for r in counts.values()) for c in ("n", "pos", "plus")}
-
-        def run(task: tuple) -> tuple:
-            ident, fold = task
-            part = matrix.where(F.col("fold") != fold)
-            left = [total[c] - counts[fold][c] for c in ("n", "pos", "plus")]
-            return ids[ident], fold, *_fit_matrix(part, *left, fits[ident])
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            fitted = list(pool.map(run, itertools.product(fits, sorted(counts))))
+        total = {c: sum(r[c] for r in counts.values()) for c in ("n", "pos")}
+        jobs = list(itertools.product(fits, sorted(counts)))
+        tasks = [fit_task(total["n"] - counts[f]["n"], total["pos"] - counts[f]["pos"], fits[ident], f) for ident, f in jobs]
         spark = df.sparkSession
+        betas = fit_many(matrix, features, "label", tasks, "fold")
         models = spark.createDataFrame(
-            [(c, f, [*map(float, beta), float(b0)]) for c, f, beta, b0 in fitted],
+            [(ids[ident], f, [float(b) for b in beta]) for (ident, f), beta in zip(jobs, betas)],
             "candidate int, fold int, beta array<double>")
-        scored = matrix.join(F.broadcast(models), "fold").select(
-            "candidate", "fold", "label",
-            (F.col("sign") * F.aggregate(F.zip_with(vector_to_array("x"), "beta", lambda a, b: a * b), F.lit(0.0),
-                                         lambda s, v: s + v)).alias("margin"))
+        x = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
+        margin = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        scored = (matrix.select("fold", "label", x.alias("x")).join(F.broadcast(models), "fold")
+                  .select("candidate", "fold", "label", margin.alias("margin")))
         aucs: dict[int, dict[int, float]] = {}
         for r in auc_by(scored, "margin", "label", ["candidate", "fold"]).collect():  # points x folds rows
             aucs.setdefault(r["candidate"], {})[r["fold"]] = r["roc_auc"]
         mean = {c: sum(v.values()) / len(v) for c, v in aucs.items()}
         scores = [mean[ids[identity(s)]] for s in specs]
         best = scores.index(max(scores))
-        beta, b0 = _fit_matrix(matrix, total["n"], total["pos"], total["plus"], specs[best])
+        beta = fit_many(matrix, features, "label", [fit_task(total["n"], total["pos"], specs[best])])[0]
     finally:
         matrix.unpersist()
     order = sorted(range(len(points)), key=lambda i: -scores[i])
@@ -242,4 +240,4 @@ def grid_search(
     results = spark.createDataFrame(
         rows, "point int, C double, class_weight string, max_iter int, penalty string, solver string,"
               " fold_scores array<double>, mean_score double, rank int")
-    return SearchResult(points[best], scores[best], LinearModel(list(features), beta, b0), results)
+    return SearchResult(points[best], scores[best], LinearModel(list(features), beta[:-1].tolist(), float(beta[-1])), results)

@@ -92,7 +92,7 @@ def train(df: DataFrame, config: TrainConfig = TrainConfig(), registry: ModelReg
                              config.seed)
         model, best_params, scores = search.best_model, search.best_params, {"cv_score": search.best_score}
     else:
-        model, scores = train_model(x["train"], features, config.label, config.key, get_model(config.model_name),
+        model, scores = train_model(x["train"], features, config.label, get_model(config.model_name),
                                     x["val"] if config.validation else None)
 
     threshold = config.threshold

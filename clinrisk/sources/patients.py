@@ -74,4 +74,4 @@ def profile(df: DataFrame) -> DataFrame:
 def estimated_megabytes(df: DataFrame) -> float:
     """Size in MB from the optimizer's statistics; no scan."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return float(size.toString()) / 1024 / 1024
+    return float(str(size)) / 1024 / 1024
