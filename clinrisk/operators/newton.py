@@ -179,9 +179,9 @@ def _l1_steps(states: list[_State]) -> list[np.ndarray]:
         slope = np.einsum("mij,mj->mi", hess, p - q) + c
         gap = (p * sp + q * sq).mean(axis=1, keepdims=True) / 2
         miss = np.maximum(np.abs(slope + price - sp), np.abs(price - slope - sq)).max()
-        if gap.max() < 1e-15 and miss < 1e-11:
+        if gap.max() < 1e-14 and miss < 1e-8:
             break
-        mu = 0.1 * gap
+        mu = np.maximum(0.1 * gap, 1e-15)  # fits that are done keep their distance from the boundary
         a1, a2 = mu / p - price - slope, mu / q - price + slope
         wp, wq = p / sp, q / sq
         system = hess.copy()
