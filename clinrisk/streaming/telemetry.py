@@ -21,9 +21,12 @@ def stream_rates(stream: DataFrame, by: Sequence[str], width: timedelta, latenes
                          (F.col("n") * F.lit(60.0 / seconds)).alias("rate"))
 
 
-def stream_sessions(stream: DataFrame, gap: timedelta, by: Sequence[str] = (), lateness: str = "1 hour",
+def stream_sessions(stream: DataFrame, gap: timedelta, by: Sequence[str], lateness: str = "1 hour",
                     ts: str = "ts") -> DataFrame:
-    """Runs of events without a pause of ``gap``; the time between two runs is a silence."""
+    """Runs of events of each source without a pause of ``gap``; the time between two runs is a silence.
+
+    Spark merges sessions per key, so at least one key column (an instance, a model) is needed.
+    """
     timed = event_time(stream, ts).withWatermark(ts, lateness)
     session = F.session_window(ts, f"{int(gap.total_seconds())} seconds").alias("session")
     return timed.groupBy(session, *by).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_seen")).select(
