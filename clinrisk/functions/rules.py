@@ -47,7 +47,3 @@ def row_errors(field: Field, rules: list[Rule]) -> Column:
         checks.append(message)
     return F.array_compact(F.array(*checks))
 
-
-def missing_fields(body: Column, required: list[str]) -> Column:
-    """Ordered ARRAY of required names that are not keys of the JSON object; a JSON null counts as present."""
-    return F.array_except(F.array(*[F.lit(c) for c in required]), F.json_object_keys(body))

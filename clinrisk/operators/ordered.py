@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinrisk.functions.rows import computed_once
+
 DISTINCT_LIMIT = 100_000
 BRACKET_LIMIT = 200_000
 APPROX_ACCURACY = 10_000
@@ -157,7 +159,7 @@ def rank_cuts(
     prefix until those groups are small, and rank only their rows. The table itself is never sorted or shuffled. ``key``
     must be unique.
     """
-    hashed = df.select(F.col(label).alias("c"), key_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    hashed = computed_once(df, {"c": F.col(label), "h": key_hash(key, seed), "k": F.col(key)}, keep=[])
     wanted = [{"c": c, "rank": r, "prefix": "", "left": r, "size": None} for c, rs in ranks.items() for r in rs if r > 0]
     digits = 0
     while wanted and (digits == 0 or max(w["size"] for w in wanted) > group_limit) and digits < 30:
@@ -200,8 +202,11 @@ def _in_groups(wanted: Sequence[Mapping]) -> Column:
     return out
 
 
-def assign_by_cuts(key: str, label: str, seed: int, cuts: Mapping[object, Sequence[tuple | None]], names: Sequence) -> Column:
-    """``names[i]`` for the rows between cut i-1 and cut i of their class; row-local."""
+def assign_by_cuts(
+    df: DataFrame, out_column: str, key: str, label: str, seed: int, cuts: Mapping[object, Sequence[tuple | None]], names: Sequence
+) -> DataFrame:
+    """Append ``names[i]`` for the rows between cut i-1 and cut i of their class; row-local."""
+    marked = computed_once(df, {"_hash": key_hash(key, seed), "_class": F.col(label)})
     h, k = F.col("_hash"), F.col(key)
     out = None
     for c, points in cuts.items():
@@ -210,9 +215,9 @@ def assign_by_cuts(key: str, label: str, seed: int, cuts: Mapping[object, Sequen
             inside = F.lit(False) if point is None else (h < point[0]) | ((h == point[0]) & (k <= F.lit(point[1])))
             part = F.when(inside, F.lit(name)) if part is None else part.when(inside, F.lit(name))
         part = part.otherwise(F.lit(names[-1]))
-        mine = F.col(label) == F.lit(c)
+        mine = F.col("_class") == F.lit(c)
         out = F.when(mine, part) if out is None else out.when(mine, part)
-    return out
+    return computed_once(marked, {out_column: out}).drop("_hash", "_class")
 
 
 # --------------------------------------------------------------------------------------------- score prefixes

@@ -41,8 +41,30 @@ class Scorer:
         missing = wanted - set(derived)
         if missing:
             raise ValueError(f"Missing columns: {sorted(missing)}")
-        features = self.prep.feature_columns(lambda c: derived[c] if c in derived else get(c))
-        return self.model.probability(features)
+        margin = self.margin(lambda c: derived[c] if c in derived else get(c))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
+    def margin(self, get: Field) -> Column:
+        """Intercept plus one term per input column, the scaling folded into the coefficients.
+
+        A scaled column costs one product and a coded column one CASE, so the generated code stays small enough to be
+        compiled. The value is that of the feature columns times the coefficients.
+        """
+        spec, beta = self.prep.spec, dict(zip(self.model.features, self.model.coefficients))
+        slopes = {c: beta[f"f_{c}"] / self.prep.scale[c] for c in spec.continuous}
+        constant = self.model.intercept - sum(slopes[c] * self.prep.center[c] for c in spec.continuous)
+        slopes |= {c: beta[f"f_{c}"] for c in spec.binary}
+        total = F.lit(float(constant))
+        for c, slope in slopes.items():
+            total = total + get(c).cast("double") * F.lit(float(slope))
+        for c in spec.categorical:
+            levels = self.prep.categories[c][1:]
+            term = F.when(get(c).isNull(), F.lit(float(beta[f"f_{c}_null"]) if None in levels else 0.0))
+            for level in levels:
+                if level is not None:
+                    term = term.when(get(c) == F.lit(level), F.lit(float(beta[f"f_{c}_{level}"])))
+            total = total + term.otherwise(F.lit(0.0))
+        return total
 
     def response(self, p: Column) -> list[Column]:
         """Response columns from a probability, risk level left-closed."""
@@ -87,11 +109,9 @@ def score_requests(df: DataFrame, scorer: Scorer, limit: int | None = MAX_REQUES
                         scorer.probability(lambda c: patient[c], REQUEST_COLUMNS).alias("p"))
 
     def stage2(x: Column) -> Column:
-        bad = (F.size(x["errors"]) > 0) | x["p"].isNull()
-        good = scorer.response(x["p"])
-        names = ["prediction", "prediction_label", "probability", "risk_level", "confidence", "threshold_used"]
-        return F.struct(*[F.when(bad, F.lit(FAILED[n])).otherwise(g).alias(n) for n, g in zip(names, good)],
-                        x["errors"].alias("errors"))
+        failed = F.struct(*[F.lit(v).alias(n) for n, v in FAILED.items()], x["errors"].alias("errors"))
+        scored = F.struct(*scorer.response(x["p"]), x["errors"].alias("errors"))
+        return F.when((F.size(x["errors"]) > 0) | x["p"].isNull(), failed).otherwise(scored)
 
     checked = validate_batches(df, limit)
     ok = F.col("accepted")
@@ -105,15 +125,17 @@ def score_requests(df: DataFrame, scorer: Scorer, limit: int | None = MAX_REQUES
 def score_payloads(df: DataFrame, scorer: Scorer, body: str = "body") -> DataFrame:
     """Score JSON bodies: appends ``status`` 200 / 400 / 500, the response fields (4 decimals) and ``response`` JSON text."""
     keep = df.columns
-    parsed = parse_requests(df, body)
     unusable = F.lit(False)
     for c in NUMERIC_INPUTS:
         unusable = unusable | F.col(c).isNull()
-    status = (F.when(~F.col("valid_json"), 400).when(F.size("missing") > 0, 400).when(unusable, 500).otherwise(200))
-    error = (F.when(~F.col("valid_json"), "Invalid JSON").when(F.size("missing") > 0, "Validation failed")
+    parsed = parse_requests(df, body).select(*keep, "valid_json", "missing", unusable.alias("unusable"),
+                                             scorer.probability(F.col, REQUEST_COLUMNS).alias("_p"))
+    bad, unusable = ~F.col("valid_json"), F.col("unusable")
+    status = F.when(bad | (F.size("missing") > 0), 400).when(unusable, 500).otherwise(200)
+    error = (F.when(bad, "Invalid JSON").when(F.size("missing") > 0, "Validation failed")
              .when(unusable, "Input has no value for a numeric field"))
-    staged = parsed.select(*keep, status.alias("status"), error.alias("error"), "missing",
-                           F.when(status == 200, scorer.probability(F.col, REQUEST_COLUMNS)).alias("_p"))
+    staged = parsed.select(*keep, "missing", status.alias("status"), error.alias("error"),
+                           F.when(status == 200, F.col("_p")).alias("_p"))
     details = F.transform("missing", lambda c: F.concat(F.lit("Missing required field: "), c))
     out = staged.select(*keep, "status", "error",
                         F.when(F.size("missing") > 0, details).alias("details"), *scorer.response(F.col("_p")))

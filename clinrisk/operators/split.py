@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinrisk.operators.ordered import assign_by_cuts, class_counts, key_hash, rank_cuts
+from clinrisk.operators.ordered import assign_by_cuts, class_counts, rank_cuts
 
 SPLITS = ["train", "val", "test"]
 
@@ -61,8 +61,7 @@ def stratified_split(
     quotas = split_quotas(class_counts(df, label), train_ratio, val_ratio, test_ratio)
     ranks = {c: [train, train + val] for c, (train, val, _) in quotas.items()}
     cuts = rank_cuts(df, key, label, seed, ranks)
-    marked = df.withColumn("_hash", key_hash(key, seed))
-    return marked.withColumn("split", assign_by_cuts(key, label, seed, cuts, SPLITS)).drop("_hash")
+    return assign_by_cuts(df, "split", key, label, seed, cuts, SPLITS)
 
 
 def split_balance(df: DataFrame, label: str = "target") -> DataFrame:
@@ -88,5 +87,4 @@ def stratified_folds(df: DataFrame, key: str, label: str = "target", k: int = 5,
     for c, sizes in fold_quotas(counts, k).items():
         ranks[c] = [sum(sizes[: i + 1]) for i in range(k - 1)]
     cuts = rank_cuts(df, key, label, seed, ranks)
-    marked = df.withColumn("_hash", key_hash(key, seed))
-    return marked.withColumn("fold", assign_by_cuts(key, label, seed, cuts, list(range(k)))).drop("_hash")
+    return assign_by_cuts(df, "fold", key, label, seed, cuts, list(range(k)))

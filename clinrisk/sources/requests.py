@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinrisk.functions.rules import missing_fields
+from clinrisk.functions.rows import computed_once
 from clinrisk.schema import REQUEST_COLUMNS, REQUEST_SCHEMA
 
 
@@ -15,10 +15,7 @@ def parse_requests(df: DataFrame, body: str = "body", schema: T.StructType = REQ
 
     Text that is not a JSON object has no keys. Values of the wrong type parse to NULL.
     """
-    keys = F.json_object_keys(body)
-    parsed = df.withColumns({
-        "valid_json": keys.isNotNull(),
-        "missing": F.when(keys.isNotNull(), missing_fields(F.col(body), REQUEST_COLUMNS)),
-        "_request": F.from_json(body, schema, {"mode": "PERMISSIVE"}),
-    })
-    return parsed.select("*", "_request.*").drop("_request")
+    parsed = computed_once(df, {"_keys": F.json_object_keys(body), "_request": F.from_json(body, schema, {"mode": "PERMISSIVE"})})
+    required = F.array(*[F.lit(c) for c in REQUEST_COLUMNS])
+    return parsed.select(*df.columns, F.col("_keys").isNotNull().alias("valid_json"),
+                         F.array_except(required, "_keys").alias("missing"), "_request.*")
