@@ -1049,20 +1049,33 @@ def stream_last_n(spark, sf):
     return rounded(monitor.window_stats(stream_monitor.last_state(q, spark, state)), 9)
 
 
-@query("stream_recent")
+def zoneless(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+# A stream emits the windows that its watermark, one hour behind the newest event, has passed.
+_CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM predictions)"
+
+
+@query("stream_recent", f"WITH {Q.PREDICTIONS} SELECT window_end - INTERVAL 6 HOUR AS window_start, window_end, model, count(*) AS"
+       " prediction_count, round(avg(probability), 9) AS mean_probability, count(*) FILTER (WHERE probability >= 0.7) AS high_risk_count,"
+       " count(*) FILTER (WHERE probability >= 0.3 AND probability < 0.7) AS medium_risk_count, count(*) FILTER (WHERE probability < 0.3)"
+       f" AS low_risk_count, round(avg(prediction), 9) AS positive_rate FROM {_slide(6)} WHERE {_CLOSED} GROUP BY window_end, model")
 def stream_recent(spark, sf):
     out = scratch_path(spark, "recent")
     runner.finish(stream_monitor.stream_recent(prediction_stream(spark, sf), out, scratch_path(spark, "checkpoint"),
                                                minutes=360, slide=60))
-    return rounded(spark.read.parquet(out), 9)
+    return zoneless(rounded(spark.read.parquet(out), 9))
 
 
-@query("stream_rates")
+@query("stream_rates", f"WITH {Q.PREDICTIONS}, w AS (SELECT {Q.RISK_LEVEL} AS risk_level, date_trunc('hour', ts) + INTERVAL 1 HOUR AS"
+       " window_end FROM predictions) SELECT window_end - INTERVAL 1 HOUR AS window_start, window_end, risk_level, count(*) AS n,"
+       f" round(count(*) / 60.0, 9) AS rate FROM w WHERE {_CLOSED} GROUP BY window_end, risk_level")
 def stream_rates(spark, sf):
     out = scratch_path(spark, "rates")
     rates = stream_telemetry.stream_rates(prediction_stream(spark, sf), ["risk_level"], HOUR)
     runner.finish(runner.start_append(rates, out, scratch_path(spark, "checkpoint")))
-    return rounded(spark.read.parquet(out), 9)
+    return zoneless(rounded(spark.read.parquet(out), 9))
 
 
 def patient_stream(spark, sf) -> DataFrame:

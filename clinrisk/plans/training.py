@@ -62,17 +62,27 @@ def check_quality(df: DataFrame) -> tuple[DataFrame, dict]:
     return df, {"missing": missing, "n_outlier_rows": outliers["n_outlier_rows"], "errors": errors}
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet copy in the shared scratch folder; later failures restart from there."""
+    path = scratch_path(df.sparkSession, "patients")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def train(df: DataFrame, config: TrainConfig = TrainConfig(), registry: ModelRegistry | None = None,
           splits_path: str | None = None) -> TrainResult:
     """Quality report, features, split, preprocessing, fit or search, threshold, test metrics, registration.
 
-    Only counts, statistics and coefficients come to the driver. The engineered and split table is written once, partitioned
-    by split, and every later step reads just its part of it.
+    Only counts, statistics and coefficients come to the driver. The input is read once and landed as Parquet, so that the
+    quality and split passes scan single columns. The engineered and split table is written partitioned by split, and every
+    later step reads just its part of it.
     """
     spark = df.sparkSession
     report: dict = {}
     if config.quality_checks:
         validate_schema(df)
+    df = landed(df)
+    if config.quality_checks:
         df, report = check_quality(df)
     table = stratified_split(engineer_features(df), config.key, config.label, config.train_ratio, config.val_ratio,
                              config.test_ratio, config.seed)
