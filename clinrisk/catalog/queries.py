@@ -588,7 +588,7 @@ def score_service(spark, sf):
 
 
 @query("validate_scored", f"WITH {Q.STATS}, raw AS (SELECT patient_id, "
-       + ", ".join(f"{Q._faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS)
+       + ", ".join(f"{Q.faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS)
        + f" FROM patients), scored AS ({Q.scored_from('raw', '*')}) SELECT probability IS NOT NULL AS valid, count(*) AS n FROM scored"
        " GROUP BY probability IS NOT NULL")
 def validate_scored(spark, sf):
@@ -622,7 +622,7 @@ _OK = f"NOT ({_BAD_JSON} OR {_NO_AGE} OR {_NULL_INPUT})"
 
 
 @query("score_payloads", f"WITH {Q.STATS}, raw AS (SELECT patient_id, "
-       + ", ".join(f"{Q._faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS)
+       + ", ".join(f"{Q.faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS)
        + f" FROM patients), scored AS ({Q.scored_from('raw', '*')}) SELECT patient_id AS payload_id,"
        f" CAST(CASE WHEN {_BAD_JSON} OR {_NO_AGE} THEN 400 WHEN {_NULL_INPUT} THEN 500 ELSE 200 END AS INT) AS status,"
        f" CASE WHEN {_BAD_JSON} THEN 'Invalid JSON' WHEN {_NO_AGE} THEN 'Validation failed' WHEN {_NULL_INPUT} THEN"
@@ -705,6 +705,14 @@ def evaluate(spark, sf):
     return rounded(metrics.evaluate(derived.predictions(spark, sf), "probability", "y_true"), 9)
 
 
+@query("metrics_json", ORACLES["evaluate"])
+def metrics_json(spark, sf):
+    path = scratch_path(spark, "metrics")
+    row = evaluate(spark, sf)
+    metrics.save_metrics(row, path)
+    return spark.read.schema(row.schema).json(path)
+
+
 @query("roc_auc", f"WITH {Q.PREDICTIONS}{_AREAS} SELECT round(roc_auc, 9) AS roc_auc FROM areas")
 def roc_auc(spark, sf):
     return rounded(metrics.roc_auc(derived.predictions(spark, sf), "probability", "y_true"), 9)
@@ -1058,14 +1066,14 @@ _CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM predictions)"
 
 
 @query("stream_recent", f"WITH {Q.PREDICTIONS} SELECT window_end - INTERVAL 6 HOUR AS window_start, window_end, model, count(*) AS"
-       " prediction_count, round(avg(probability), 9) AS mean_probability, count(*) FILTER (WHERE probability >= 0.7) AS high_risk_count,"
+       " prediction_count, round(avg(probability), 12) AS mean_probability, count(*) FILTER (WHERE probability >= 0.7) AS high_risk_count,"
        " count(*) FILTER (WHERE probability >= 0.3 AND probability < 0.7) AS medium_risk_count, count(*) FILTER (WHERE probability < 0.3)"
-       f" AS low_risk_count, round(avg(prediction), 9) AS positive_rate FROM {_slide(6)} WHERE {_CLOSED} GROUP BY window_end, model")
+       f" AS low_risk_count, round(avg(prediction), 12) AS positive_rate FROM {_slide(6)} WHERE {_CLOSED} GROUP BY window_end, model")
 def stream_recent(spark, sf):
     out = scratch_path(spark, "recent")
     runner.finish(stream_monitor.stream_recent(prediction_stream(spark, sf), out, scratch_path(spark, "checkpoint"),
                                                minutes=360, slide=60))
-    return zoneless(rounded(spark.read.parquet(out), 9))
+    return zoneless(rounded(spark.read.parquet(out), 12))
 
 
 @query("stream_rates", f"WITH {Q.PREDICTIONS}, w AS (SELECT {Q.RISK_LEVEL} AS risk_level, date_trunc('hour', ts) + INTERVAL 1 HOUR AS"

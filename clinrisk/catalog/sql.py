@@ -37,12 +37,12 @@ PATIENTS = (
 )
 
 
-def _faulty(c: str, k: str, v: str) -> str:
+def faulty(c: str, k: str, v: str) -> str:
     return duck(PATIENT_FAULTS[c].format(k=k, v=v)) if c in PATIENT_FAULTS else v
 
 
 RAW = (PATIENTS + ", raw AS (SELECT patient_id, "
-       + ", ".join(f"{_faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS) + " FROM patients)")
+       + ", ".join(f"{faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS) + " FROM patients)")
 ENGINEERED = PATIENTS + (
     f", eng AS (SELECT *, {AGE_GROUP} AS age_group, {BP_CATEGORY} AS bp_category, {CHOL_RISK} AS cholesterol_risk,"
     f" 220 - age - thalach AS heart_rate_reserve, CAST({RISK_SCORE} AS INT) AS cardiac_risk_score, age * thalach AS age_x_thalach,"
@@ -98,7 +98,7 @@ def scored_from(source: str, columns: str) -> str:
 _KEY = f"(o_orderkey * {REQUEST_STRIDE} + i)"
 REQUEST_ROWS = (
     "request_rows AS (SELECT o_orderkey AS request_id, i, n, "
-    + ", ".join(f"{_faulty(c, _KEY, duck(e.format(k=_KEY)))} AS {c}" for c, e in PATIENT_FIELDS.items())
+    + ", ".join(f"{faulty(c, _KEY, duck(e.format(k=_KEY)))} AS {c}" for c, e in PATIENT_FIELDS.items())
     + f" FROM (SELECT o_orderkey, n, unnest(range(0, n)) AS i FROM (SELECT o_orderkey, {REQUEST_SIZE} AS n FROM orders)))"
 )
 REQUEST_SIZES = f"request_sizes AS (SELECT o_orderkey AS request_id, CAST({REQUEST_SIZE} AS INT) AS n FROM orders)"

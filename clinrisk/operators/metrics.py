@@ -42,10 +42,16 @@ def _metric_columns() -> dict[str, Column]:
     }
 
 
+def _with_areas(row: DataFrame, df: DataFrame, score: str, label: str, names: Sequence[str] = ("roc_auc", "pr_auc")) -> DataFrame:
+    """Add the areas to a one-row result; they are two numbers, computed first."""
+    areas = score_areas(df, score, label).first()
+    return row.withColumns({n: F.lit(areas[n]).cast("double") for n in names})
+
+
 def all_metrics(df: DataFrame, label: str, predicted: str, score: str | None = None) -> DataFrame:
     """One row: accuracy, precision, recall, f1, specificity, npv and, with scores, roc_auc and pr_auc."""
     out = confusion_counts(df, label, predicted).select(*[e.alias(n) for n, e in _metric_columns().items()])
-    return out if score is None else out.crossJoin(F.broadcast(score_areas(df, score, label)))  # 1 x 1 row
+    return out if score is None else _with_areas(out, df, score, label)
 
 
 def medical_metrics(df: DataFrame, label: str, predicted: str, score: str | None = None) -> DataFrame:
@@ -56,7 +62,7 @@ def medical_metrics(df: DataFrame, label: str, predicted: str, score: str | None
         m["npv"].alias("npv"), F.col("tp").alias("true_positives"), F.col("tn").alias("true_negatives"),
         F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"), total.alias("total_patients"),
         F.try_divide((F.col("tp") + F.col("fn")).cast("double"), total.cast("double")).alias("disease_prevalence"))
-    return out if score is None else out.crossJoin(F.broadcast(score_areas(df, score, label).select("roc_auc")))
+    return out if score is None else _with_areas(out, df, score, label, ["roc_auc"])
 
 
 def confusion_matrix(df: DataFrame, label: str, predicted: str, names: Sequence[str] = CLASS_NAMES) -> DataFrame:
@@ -211,4 +217,9 @@ def evaluate(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> D
     decided = df.withColumn("_pred", (F.col(score) >= F.lit(float(threshold))).cast("int"))
     counts = confusion_counts(decided, label, "_pred")
     row = counts.select(F.lit(float(threshold)).alias("threshold"), *COUNTS, *[e.alias(n) for n, e in _metric_columns().items()])
-    return row.crossJoin(F.broadcast(score_areas(df, score, label)))
+    return _with_areas(row, df, score, label)
+
+
+def save_metrics(row: DataFrame, path: str) -> None:
+    """JSON sink of a one-row result (so one file)."""
+    row.coalesce(1).write.mode("overwrite").json(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinrisk.operators.prep import PrepParams, load_prep, save_prep
-from clinrisk.operators.train import LinearModel
+from clinrisk.operators.train import LinearModel, load_model, save_model
 
 VERSION_SCHEMA = ("model string, version string, created_at timestamp_ntz, path string,"
                   " metrics map<string,double>, metadata map<string,string>")
@@ -81,7 +81,7 @@ class ModelRegistry:
         name = metadata.get("model_name", "unknown")
         version = self.next_version(name)
         path = f"{self.path}/artifacts/{name}_v{version}"
-        model.to_table(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+        save_model(model, dict(metadata), self.spark, path)
         save_prep(prep, self.spark, f"{path}/prep")
         if not self.versions().where((F.col("model") == name) & (F.col("version") == version)).isEmpty():
             raise ValueError(f"Version exists: {name} v{version}")
@@ -100,7 +100,7 @@ class ModelRegistry:
 
     def load(self, name: str, version: str = "latest") -> tuple[LinearModel, PrepParams]:
         path = self.info(name, version)["path"]
-        return LinearModel.from_table(self.spark.read.parquet(f"{path}/model")), load_prep(self.spark, f"{path}/prep")
+        return load_model(self.spark, path), load_prep(self.spark, f"{path}/prep")
 
     def models(self) -> list[str]:
         return [r["model"] for r in self.versions().select("model").distinct().orderBy("model").collect()]

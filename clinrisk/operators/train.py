@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
@@ -153,6 +154,19 @@ def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec)
     return LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]))
 
 
+def save_model(model: LinearModel, metadata: dict, spark: SparkSession, path: str) -> None:
+    """``path/model`` (coefficient table) and ``path/metadata`` (one JSON line)."""
+    model.to_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    line = json.dumps(metadata, default=str)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_model(spark: SparkSession, path: str) -> LinearModel:
+    """From the folder given to ``save_model`` or from its coefficient table."""
+    path = path.rstrip("/")
+    return LinearModel.from_table(spark.read.parquet(path if path.endswith("/model") else f"{path}/model"))
+
+
 def accuracy(df: DataFrame, model: LinearModel, label: str, threshold: float = 0.5) -> DataFrame:
     """One row ``(n, accuracy)`` of a table of feature columns."""
     p = model.probability({f: F.col(f) for f in model.features})

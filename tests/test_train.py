@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clinrisk.operators import metrics, select, train
 from clinrisk.operators.newton import FitTask, fit_many
 from clinrisk.operators.train import LogisticSpec
+from clinrisk.scratch import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +83,10 @@ def test_training_scores_and_storage(spark, data):
     model, scores = train.train_model(df, FEATURES, "y", train.get_model("logistic_regression"), df)
     assert scores["train_accuracy"] > 0.7 and scores["val_accuracy"] == scores["train_accuracy"]
     assert train.LinearModel.from_table(model.to_table(spark).repartition(3)) == model
+    path = scratch_path(spark, "model")
+    train.save_model(model, {"threshold": 0.4}, spark, path)
+    assert train.load_model(spark, path) == model == train.load_model(spark, f"{path}/model")
+    assert spark.read.json(f"{path}/metadata").first()["threshold"] == 0.4
     with pytest.raises(ValueError, match="both classes"):
         train.fit(df.where("y = 1"), FEATURES, "y", LogisticSpec())
 
