@@ -299,7 +299,11 @@ def top_n_per_group(df: DataFrame, group: str, ts: str, tie: str, n: int, step:
     needed = steps.withColumn("newer", F.coalesce(F.sum("rows").over(newest), F.lit(0))).where(F.col("newer") < n)
     since = needed.groupBy(group).agg(F.min("step").alias("since"))
     known = since.limit(GROUPS_ON_DRIVER + 1).collect()
-    if len(known) <= GROUPS_ON_DRIVER:
+    if known and len(known) <= GROUPS_ON_DRIVER:
+        oldest = min(r["since"] for r in known)
+        zoneless = df.schema[ts].dataType.typeName() == "timestamp_ntz"
+        bound = F.lit(str(oldest)).cast("timestamp_ntz") if zoneless else F.lit(oldest)
+        df = df.where(F.col(ts) >= bound)  # a constant, so it reaches the scan
         since = F.broadcast(df.sparkSession.createDataFrame(known, since.schema))
     recent = (df.join(since.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")))
               .where(F.col(ts) >= F.col("since")).drop("_group", "since"))

@@ -102,6 +102,13 @@ def test_last_n_equals_sorting_with_a_hot_group(spark, n):
     assert got == expected
 
 
+def test_last_n_filters_at_the_scan(spark, sf):
+    from clinrisk.sources import derived
+
+    plan = O.top_n_per_group(derived.predictions(spark, sf), "model", "ts", "request_id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "WindowGroupLimit" in plan
+
+
 def test_last_n_with_too_many_groups_for_the_driver(spark, monkeypatch):
     monkeypatch.setattr(O, "GROUPS_ON_DRIVER", 3)
     t0 = datetime(2024, 1, 1)
