@@ -249,30 +249,34 @@ def score_prefix(
     Rows are counted per score before anything moves, so a hot score is one row; the running sum is computed inside
     equal-depth buckets, and bucket totals (at most ``buckets`` rows per group) give the offsets.
     """
-    by = list(by)
+    # The group is one struct and the bucket is made non-nullable: rows of a NULL group stay, and no null filter makes the
+    # two uses of the counts differ, so that Spark reads the shuffled counts twice instead of the table.
+    keys = ["group"] if by else []
+    group_column = [F.struct(*by).alias("group")] if by else []
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
-        *by, F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
+        *group_column, F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
     edges = quantile_splits(rows, "score", buckets)
-    counts = bucketed(rows, "score", edges, "bucket").groupBy(*by, "bucket", "score").agg(
+    marked = bucketed(rows, "score", edges, "bucket").withColumn("bucket", F.coalesce("bucket", F.lit(-1)))
+    counts = marked.groupBy(*keys, "bucket", "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    per_bucket = counts.groupBy(*by, "bucket").agg(
+    per_bucket = counts.groupBy(*keys, "bucket").agg(
         F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"),
         F.max_by(F.struct("pos", "neg"), "score").alias("top"))
-    group = Window.partitionBy(*by)
+    group = Window.partitionBy(*keys)
     descending = group.orderBy(F.desc("bucket"))
     before = descending.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *by, "bucket",
+        *keys, "bucket",
         F.coalesce(F.sum("b_pos").over(before), F.lit(0)).alias("o_pos"),
         F.coalesce(F.sum("b_neg").over(before), F.lit(0)).alias("o_neg"),
         F.sum("b_pos").over(group).alias("total_pos"), F.sum("b_neg").over(group).alias("total_neg"),
         F.lead("top").over(descending).alias("next_top"))
     # Without groups the offsets have at most `buckets` rows; with groups their number is unknown, so nothing is hinted.
-    offsets = F.broadcast(offsets) if not by else offsets
-    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("score"))
-    joined = counts.join(offsets, [*by, "bucket"])
+    offsets = offsets if by else F.broadcast(offsets)
+    inside = Window.partitionBy(*keys, "bucket").orderBy(F.desc("score"))
+    joined = counts.join(offsets, [*keys, "bucket"])
     return joined.select(
-        *by, "score", "pos", "neg",
+        *[F.col("group")[c].alias(c) for c in by], "score", "pos", "neg",
         (F.col("o_pos") + F.sum("pos").over(inside)).alias("cum_pos"),
         (F.col("o_neg") + F.sum("neg").over(inside)).alias("cum_neg"),
         "total_pos", "total_neg",

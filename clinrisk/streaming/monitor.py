@@ -33,7 +33,7 @@ def stream_last_n(stream: DataFrame, state: str, checkpoint: str, n: int = WINDO
         rows = batch if before is None else before.unionByName(batch)
         return last_n(rows, n, group, ts, tie)
 
-    return start_batches(stream, process, state, checkpoint, trigger)
+    return start_batches(stream, process, state, checkpoint, trigger, reread=True)
 
 
 def last_state(query: StreamingQuery, spark: SparkSession, state: str) -> DataFrame:

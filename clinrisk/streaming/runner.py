@@ -17,13 +17,19 @@ def read_table_stream(spark: SparkSession, directory: str, file_glob: str, schem
 
 
 def start_batches(stream: DataFrame, process: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str,
-                  trigger: dict | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, reread: bool = False) -> StreamingQuery:
     """Write ``process(batch, id)`` to ``out/batch=<id>``.
 
-    The folder of a batch is overwritten when the batch is replayed after a failure, so each batch counts once.
+    The folder of a batch is overwritten when the batch is replayed after a failure, so each batch counts once. With
+    ``reread`` the batch is cached while it is processed, for processes that look at it more than once.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        process(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch = batch.persist() if reread else batch
+        try:
+            process(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            if reread:
+                batch.unpersist()
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -78,6 +78,16 @@ def test_score_prefix_equals_sorting(spark, buckets):
     assert {(r["total_pos"], r["total_neg"]) for r in rows} == {(sum(labels), len(labels) - sum(labels))}
 
 
+def test_score_prefix_keeps_null_groups_and_reads_once(spark):
+    rows = [(g, y, s / 10) for g in ("a", None) for y in (0, 1) for s in range(10)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    got = O.score_prefix(df, "s", "y", ["g"], buckets=4)
+    assert {r["g"] for r in got.collect()} == {"a", None} and got.count() == 20
+    plain = O.score_prefix(df, "s", "y", buckets=4)
+    plain.collect()
+    assert "ReusedExchange" in plain._jdf.queryExecution().executedPlan().toString()
+
+
 def test_score_prefix_never_windows_over_everything_unbucketed(spark, sf):
     from clinrisk.sources import derived
 
