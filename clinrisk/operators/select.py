@@ -26,9 +26,9 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> dict[tuple[str, str], float | None]:
     """Pearson r of every pair (a before b) over the rows where both are present; None if either is constant there.
 
-    A first pass finds means, spreads and which columns have NULLs. Pairs of complete columns come from one matrix product
-    over centred vectors; pairs with NULLs are aggregated over their common rows, ``PAIRS_PER_PASS`` to a pass. Constant
-    columns are left out beforehand (``corr`` raises on them in ANSI mode).
+    A first pass finds means, spreads and which columns have NULLs. Many pairs of complete columns come from one matrix
+    product over centred vectors; few pairs, and pairs with NULLs, are aggregated over their common rows, ``PAIRS_PER_PASS``
+    to a pass. Constant columns are left out beforehand (``corr`` raises on them in ANSI mode).
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     stats = df.agg(*[a for c in columns for a in (
@@ -36,23 +36,25 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> dict[tu
     out: dict[tuple[str, str], float | None] = dict.fromkeys(combinations(columns, 2))
     varying = [c for c in columns if stats[f"s_{c}"]]
     complete = [c for c in varying if not stats[f"n_{c}"]]
-    if len(complete) > 1:
+    by_vectors = len(complete) * (len(complete) - 1) // 2 > PAIRS_PER_PASS
+    if by_vectors:
         centred = df.select(*[(F.col(c).cast("double") - F.lit(float(stats[f"m_{c}"]))).alias(c) for c in complete])
         vectors = VectorAssembler(inputCols=complete, outputCol="_v").transform(centred).select("_v")
         r = Correlation.corr(vectors, "_v").first()[0].toArray()
         out.update({(a, b): float(r[complete.index(a), complete.index(b)]) for a, b in combinations(complete, 2)})
-    partial = [p for p in combinations(varying, 2) if not set(p) <= set(complete)]
+    partial = [p for p in combinations(varying, 2) if not (by_vectors and set(p) <= set(complete))]
     for start in range(0, len(partial), PAIRS_PER_PASS):
         chunk = partial[start: start + PAIRS_PER_PASS]
         aggs = []
         for i, (a, b) in enumerate(chunk):
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs += [F.covar_pop(a, b).alias(f"c{i}"), F.stddev_pop(F.when(both, F.col(a))).alias(f"a{i}"),
-                     F.stddev_pop(F.when(both, F.col(b))).alias(f"b{i}")]
-        row = df.agg(*aggs).first()
-        for i, pair in enumerate(chunk):
-            spread = (row[f"a{i}"] or 0.0) * (row[f"b{i}"] or 0.0)
-            out[pair] = row[f"c{i}"] / spread if spread else None
+            aggs.append(F.covar_pop(a, b).alias(f"c{i}"))
+            if not {a, b} <= set(complete):
+                both = F.col(a).isNotNull() & F.col(b).isNotNull()
+                aggs += [F.stddev_pop(F.when(both, F.col(a))).alias(f"a{i}"), F.stddev_pop(F.when(both, F.col(b))).alias(f"b{i}")]
+        row = df.agg(*aggs).first().asDict()
+        for i, (a, b) in enumerate(chunk):
+            spread = (row.get(f"a{i}", stats[f"s_{a}"]) or 0.0) * (row.get(f"b{i}", stats[f"s_{b}"]) or 0.0)
+            out[a, b] = row[f"c{i}"] / spread if spread else None
     return out
 
 

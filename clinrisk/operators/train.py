@@ -204,9 +204,10 @@ def grid_search(
 ) -> SearchResult:
     """Every grid point on ``k`` stratified folds, scored by mean fold AUC; the first best is refitted on all rows.
 
-    All ``points x folds`` fits advance together over one cached matrix. The fold models are then applied together: their coefficient table is broadcast to the rows of its fold, and one
-    ordered-prefix job gives all AUCs (exact, so it orders each held-out row once per distinct point). ``max_iter`` only stops a fit early, so points that differ in nothing else share the
-    fit with the largest value.
+    All ``points x folds`` fits advance together over one cached matrix. The fold models are then applied together: their
+    coefficient table is broadcast to the rows of its fold, and one ordered-prefix job gives all AUCs; being exact, it orders
+    each held-out row once per distinct point. ``max_iter`` only stops a fit early, so points that differ in nothing else
+    share the fit with the largest value.
     """
     base = get_model(name, {})
     points = grid_points(PARAM_GRIDS[name] if grid is None else grid)
