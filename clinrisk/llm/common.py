@@ -55,31 +55,81 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of ``text``, in order, without a Python step per word.
+def words(text: bytes, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the first byte of each word of ``text``, in order, without a Python step per word.
 
     Bytes are mapped to fixed random numbers, multiplied by powers of an odd constant that restart at each word, summed
-    per word and mixed.
+    per word and mixed. The text is worked through in pieces of about ``chunk`` bytes that end between words, so memory is
+    eight bytes per word and some hundred MB at most besides.
     """
-    if not text:
-        return np.empty(0, np.uint64)
-    codes = np.frombuffer(text, np.uint8)
+    hashes, starts, low = [], [], 0
+    while low < len(text):
+        high = len(text)
+        if high - low > chunk:
+            cut = max(text.rfind(bytes([s]), low, low + chunk) for s in SPACES)
+            if cut < 0:  # a word longer than a piece
+                found = [x for s in SPACES if (x := text.find(bytes([s]), low + chunk)) >= 0]
+                cut = min(found, default=high - 1)
+            high = cut + 1
+        h, s = _words(np.frombuffer(text, np.uint8, high - low, low))
+        hashes.append(h)
+        starts.append(s + low)
+        low = high
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = _INSIDE[codes]
     edges = np.flatnonzero(np.diff(inside, prepend=np.int8(0)) == 1)
     if not len(edges):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     ends = np.flatnonzero(np.diff(inside, append=np.int8(0)) == -1) + 1
-    # Position inside its word, by which power each byte counts; positions beyond the table reuse it with another factor.
-    starts = np.zeros(len(codes), np.int64)
-    starts[edges] = np.diff(edges, prepend=0)
-    position = np.arange(len(codes)) - np.cumsum(starts)
+    # How far each byte is into its word; beyond the table of powers another factor joins in.
+    first = np.zeros(len(codes), np.int32)
+    first[edges] = np.diff(edges, prepend=0)
+    position = np.arange(len(codes), dtype=np.int32) - np.cumsum(first, dtype=np.int32)
     terms = _BYTE[codes]
     if (ends - edges).max() > len(_POWER):
         terms *= _POWER[position % len(_POWER)] + (position // len(_POWER)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)
     else:
-        terms *= _POWER[np.where(inside, position, 0)]
-    terms *= inside.astype(np.uint64)
-    return mixed(np.add.reduceat(terms, edges) + (ends - edges).astype(np.uint64))
+        terms *= _POWER[position * inside]
+    terms *= inside.view(np.uint8)
+    return mixed(np.add.reduceat(terms, edges) + (ends - edges).astype(np.uint64)), edges
+
+
+def slices(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``size`` bytes, one text at least."""
+    low = total = 0
+    for i, text in enumerate(texts):
+        total += len(text) + 1
+        if total >= size:
+            yield low, i + 1
+            low, total = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+class Joined:
+    """Texts put together with a line feed after each: their words' hashes, and the text that each word is in."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts) + b"\n"
+        lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.codes = np.frombuffer(self.data, np.uint8)
+        self.n = len(texts)
+        self.hashes, self.at = words(self.data)
+        self.text = np.searchsorted(self.ends, self.at, "right")
+
+    def per_text(self, marked: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are marked."""
+        return np.add.reduceat(marked.astype(np.int64), self.starts)
+
+    def words_per_text(self, marked: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.text if marked is None else self.text[marked], minlength=self.n)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,7 +145,7 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-_INSIDE = np.array([0 if bytes([i]) in [bytes([s]) for s in SPACES] else 1 for i in range(256)], np.int8)
+_INSIDE = np.array([i not in SPACES for i in range(256)], np.int8)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _POWER = _powers(4096)
 

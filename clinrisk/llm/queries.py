@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import reply_trees, url_filter
-from clinrisk.llm.common import table
+from clinrisk.llm import boosted_rules, preference, reply_trees, url_filter
+from clinrisk.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,14 @@ SELECT page_id, host, path, CASE WHEN best IS NOT NULL THEN best[3] END AS rule,
 FROM p LEFT JOIN m USING (i)""")
 def op10_url_cascade(spark, sf):
     return url_filter.filter_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+@query("op1_preference")
+def op1_preference(spark, sf):
+    scored = preference.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), fold("doc_id", 5) != 0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op3_boosted_rules")
+def op3_boosted_rules(spark, sf):
+    return boosted_rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
