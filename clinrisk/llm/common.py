@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +99,8 @@ def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(terms, edges) + (ends - edges).astype(np.uint64)), edges
 
 
-def slices(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``size`` bytes, one text at least."""
+def slices(texts: Sequence[bytes | str], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``size`` bytes or characters, one text at least."""
     low = total = 0
     for i, text in enumerate(texts):
         total += len(text) + 1

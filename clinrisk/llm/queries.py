@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import boosted_rules, preference, reply_trees, url_filter
+from clinrisk.llm import boosted_rules, packing, preference, reply_trees, url_filter
 from clinrisk.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op1_preference(spark, sf):
 @query("op3_boosted_rules")
 def op3_boosted_rules(spark, sf):
     return boosted_rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_nnls_packing")
+def op7_nnls_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
