@@ -40,20 +40,22 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     nodes = (nodes.join(known, ["tree", "parent"], "left")
              .select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score"))
-    # After step i, ``up`` is the ancestor 2^i above, and steps and total cover the nodes from here to just below it.
+    # After step i, ``up`` is the ancestor 2^i above, and steps and total cover the nodes from here to just below it. Nodes
+    # that have reached their root (no ``up``) are set aside and not joined again.
     level = landed(nodes.select("*", F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")), "branches")
-    most = level.count()
-    jumps = []
-    while level.where(F.col("up").isNotNull()).limit(1).count() and 2 ** len(jumps) <= max(most, 1):
-        jumps.append(level.where(F.col("up").isNotNull()).select("tree", F.col("node"), "up"))
-        above = level.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"),
-                             F.col("total").alias("_total"))
-        level = landed(
+    most, ended, jumps = level.count(), level.where(F.col("up").isNull()), []
+    level = level.where(F.col("up").isNotNull())
+    while level.limit(1).count() and 2 ** len(jumps) <= most:
+        jumps.append(level.select("tree", "node", "up"))
+        above = ended.unionByName(level).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("total").alias("_total"))
+        further = landed(
             level.join(above, ["tree", "up"], "left").select(
                 "tree", "node", "score", F.col("_up").alias("up"),
                 (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
                 (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "branches")
-    leaves = (level.where(F.col("up").isNull())
+        ended, level = ended.unionByName(further.where(F.col("up").isNull())), further.where(F.col("up").isNotNull())
+    leaves = (ended
               .join(nodes.where(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti"))
     ranked = (
         leaves.withColumn("branch", F.row_number().over(
