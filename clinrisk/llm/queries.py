@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import boosted_rules, crf_language, packing, preference, reply_trees, url_filter
+from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, reply_trees, url_filter
 from clinrisk.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op7_nnls_packing(spark, sf):
 def op9_crf_language(spark, sf):
     out = crf_language.label_languages(table(spark, sf, "documents"), fold("doc_id", 4) != 2)
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_interpolated_lm")
+def op8_interpolated_lm(spark, sf):
+    return interpolated_lm.score_texts(table(spark, sf, "documents"), fold("doc_id", 7) == 2)
