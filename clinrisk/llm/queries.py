@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, reply_trees, url_filter
+from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, reply_trees, setsketch, url_filter
 from clinrisk.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,8 @@ def op9_crf_language(spark, sf):
 @query("op8_interpolated_lm")
 def op8_interpolated_lm(spark, sf):
     return interpolated_lm.score_texts(table(spark, sf, "documents"), fold("doc_id", 7) == 2)
+
+
+@query("op6_setsketch")
+def op6_setsketch(spark, sf):
+    return setsketch.near_duplicates(table(spark, sf, "documents"))
