@@ -99,12 +99,12 @@ def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(terms, edges) + (ends - edges).astype(np.uint64)), edges
 
 
-def slices(texts: Sequence[bytes | str], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``size`` bytes or characters, one text at least."""
+def slices(texts: Sequence[bytes | str], size: int = 1 << 21, many: int = 60_000) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``size`` bytes or characters, of one to ``many`` texts."""
     low = total = 0
     for i, text in enumerate(texts):
         total += len(text) + 1
-        if total >= size:
+        if total >= size or i + 1 - low >= many:
             yield low, i + 1
             low, total = i + 1, 0
     if low < len(texts):

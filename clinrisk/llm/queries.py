@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, reply_trees, setsketch, url_filter
+from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, qgram_match, reply_trees, setsketch, url_filter
 from clinrisk.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,8 @@ def op8_interpolated_lm(spark, sf):
 @query("op6_setsketch")
 def op6_setsketch(spark, sf):
     return setsketch.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op4_qgram_match")
+def op4_qgram_match(spark, sf):
+    return qgram_match.passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
