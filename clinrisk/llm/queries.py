@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, qgram_match, reply_trees, setsketch, url_filter
+from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, qgram_match, reply_trees, secret_forest, setsketch, url_filter
 from clinrisk.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,10 @@ def op6_setsketch(spark, sf):
 @query("op4_qgram_match")
 def op4_qgram_match(spark, sf):
     return qgram_match.passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_secret_forest")
+def op5_secret_forest(spark, sf):
+    found = secret_forest.find_secrets(table(spark, sf, "documents"))
+    return found.select("doc_id", F.col("position").cast("long").alias("word_number"), F.length("value").alias("length"),
+                        F.sha2("value", 256).alias("value_sha256"), "score", "secret")
