@@ -95,7 +95,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int =
     share = y.mean() if len(y) else 0.5
     base = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))
     roots, nodes = [], [[0, np.inf, 0, 0, 0.0]]
-    if 0 < share < 1:
+    if len(y) and 0 < share < 1:
         grower = _Grower(x, monotone, bins, depth, l2, min_curvature, rate)
         margin = np.full(len(y), base)
         for _ in range(trees):

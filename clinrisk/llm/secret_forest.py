@@ -1,6 +1,6 @@
 """Secret scans: candidate strings, and a random forest that takes false findings out.
 
-A candidate is a word with a digit and at least MIN_LENGTH characters, without quotes and brackets. The forest sees its
+A candidate is a word of at least MIN_LENGTH characters, without quotes and brackets, with a digit or of a known key's form. The forest sees its
 length, its changes between kinds of characters, how much of it is dictionary words, its path separators and its
 neighbouring words. All of it is SQL expressions and Spark ML.
 """
@@ -25,7 +25,8 @@ TREES, DEPTH, SEED = 30, 6, 11
 KEYWORD = "(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private)"
 FEATURES = ["length", "digits", "uppers", "lowers", "hex", "distinct", "transitions", "longest_run", "coverage", "slashes", "dots", "ats", "dashes",
             "keyword", "assigned", "after_words"]
-_CORE = "[A-Za-z0-9+/=_.@:~%-]*[0-9][A-Za-z0-9+/=_.@:~%-]*"
+KNOWN = "(?:AKIA|ASIA)[A-Z0-9]{16}"
+_CORE = f"{KNOWN}|[A-Za-z0-9+/=_.@:~%-]*[0-9][A-Za-z0-9+/=_.@:~%-]*"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def found(array: Column) -> Column:
         one = lambda w, i: F.when(
-            (F.length(w) >= MIN_LENGTH) & w.rlike("[0-9]"),
+            (F.length(w) >= MIN_LENGTH) & w.rlike(f"[0-9]|{KNOWN}"),
             F.struct(i.alias("position"), w.alias("word"), F.concat_ws(" ", F.get(array, i - 2), F.get(array, i - 1)).alias("before"),
                      F.get(array, i + 1).alias("after")))
         return F.filter(F.transform(array, one), lambda x: x.isNotNull())
@@ -91,7 +92,7 @@ def label_rules() -> Column:
     value, before = F.col("value"), F.col("before")
     mixed = value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (F.length(value) >= 12) & ~value.rlike("[@/]")
     assigned = F.col("name").rlike(KEYWORD) | (before.rlike(KEYWORD) & before.rlike("[=:]$"))
-    return (F.when(value.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$"), 1)
+    return (F.when(value.rlike(f"^{KNOWN}$"), 1)
             .when(assigned & mixed, 1)
             .when(value.rlike("^[^@]+@[^@]+\\.[a-z]+$"), 0)
             .when(value.rlike("^[0-9.,:/+_%=~-]+$"), 0)
@@ -128,13 +129,13 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, limit: int
 
 def masked(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mask`` and ``n_chars`` brought up to date; all other rows unchanged."""
-    secrets = (find_secrets(docs).where("secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-               .agg(F.collect_set("value").alias("_values")))
-    joined = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    longest_first = F.transform(F.array_sort(F.transform("_values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
+    secrets = (find_secrets(docs).where("secret").groupBy(F.col("doc_id").alias("__secret_id"), F.col("text_hash").alias("__secret_hash"))
+               .agg(F.collect_set("value").alias("__secret_values")))
+    joined = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("__secret_id")) & (F.xxhash64("text") == F.col("__secret_hash")), "left")
+    longest_first = F.transform(F.array_sort(F.transform("__secret_values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
     clean = F.aggregate(longest_first, F.col("text"), lambda text, v: F.replace(text, v, F.lit(mask)))
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(clean)
+    text = F.when(F.col("__secret_values").isNull(), F.col("text")).otherwise(clean)
     out = {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(F.col("__secret_values").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])

@@ -116,7 +116,7 @@ def registers(column: pa.Array) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (high, low) and the registers (NULL for an empty set)."""
+    """doc_id, text_hash, n_shingles, a 128-bit fingerprint of the set (high, low) and the registers (NULL for an empty set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batch: pa.RecordBatch):
@@ -132,10 +132,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for i, row in zip(np.flatnonzero(some), sketches(keys, sizes[some])):
                     r[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low), pa.array(sizes.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(r, pa.binary())],
-                ["doc_id", "n_shingles", "high", "low", "registers"])
+                [*(batch.column(c).slice(low, high - low) for c in (0, 2)), pa.array(sizes.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(r, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "high", "low", "registers"])
 
-    return mapped(docs.select("doc_id", "text"), f"doc_id {kind}, n_shingles long, high long, low long, registers binary", each)
+    return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), f"doc_id {kind}, text_hash long, n_shingles long, high long, low long, registers binary", each)
 
 
 def node_id() -> Column:
@@ -169,7 +169,7 @@ def linked(percent: int, inside, n_a, n_b):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64) of every row of ``docs``.
 
     Documents are linked where 100 * intersection >= ``percent`` * union of their sets of three-word shingles; component_id
     is the smallest doc_id reachable and kept says that it is the row's own. A text without words (or NULL) is linked with
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = tied.join(smallest, "label").where(F.col("component_id").isNotNull()).select("n_shingles", "high", "low", "component_id")
     out = rows.drop("registers").join(known, ["n_shingles", "high", "low"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
 
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -370,3 +370,20 @@ def _joining_links(node, label, sets, percent: int) -> list[tuple[int, int]]:
                 root[x] = y
                 out.append((int(node[i]), int(node[j])))
     return out
+
+
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns, that near_duplicates keeps; of rows with one doc_id and one text, any one.
+
+    Rows with NULL text are no copies of each other and stay.
+    """
+    text_hash = F.xxhash64("text")
+    groups = near_duplicates(docs, percent)
+    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__dup_id"), F.col("text_hash").alias("__dup_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__dup_id")) & (text_hash == F.col("__dup_hash"))
+    kept = docs.join(dropped, same, "left_anti")
+    repeated = (groups.where("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("__dup_id"), F.col("text_hash").alias("__dup_hash"))
+                .count().where("count > 1").select("__dup_id", "__dup_hash"))
+    once = kept.join(repeated, same, "left_anti")
+    first = kept.join(repeated, same, "left_semi").withColumn("__dup_hash", text_hash).dropDuplicates(["doc_id", "__dup_hash"])
+    return once.unionByName(first.drop("__dup_hash"))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from clinrisk.llm import packing, preference, qgram_match, secret_forest, setsketch
 from clinrisk.llm.common import landed, table
@@ -20,20 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id, of equal rows with one doc_id the first.
+    """One document of each near-duplicate group: the one with the smallest doc_id, of equal rows with one doc_id any one.
 
     Documents without words are linked with nothing and stay.
     """
-    groups = setsketch.near_duplicates(docs)
-    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    # Several rows with one doc_id: equal texts are one document.
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
-    marked = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    once = marked.where("_again IS NULL").select(*docs.columns)
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    first = marked.where("_again").withColumn("_n", F.row_number().over(same)).where("_n = 1 OR text IS NULL").select(*docs.columns)
-    return once.unionByName(first)
+    return setsketch.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,266 @@
+"""Packing, secrets, chat formatting, URL rules and the pipeline."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from clinrisk.llm import packing, queries, reply_trees, secret_forest, url_filter
+from tools.check import TABLES, canonical
+
+from .conftest import CLASHING, frame
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf, name):
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    result = duck.execute(queries.ORACLES[name])
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical([d[0] for d in result.description], result.fetchall())
+
+
+def test_all_ten_and_the_pipeline_are_registered():
+    names = entry.queries()
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+# ------------------------------------------------------------------------------------------------ packing
+
+def test_words_encode_as_whole_texts(tokenizer):
+    rng, encoder = random.Random(1), packing.WordEncoder(PATH)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "ß", "1", "23", "'s", "'ll", ".", "!!", "<|endoftext|>", "日本", "\x1c", "🙂", "µ", "ª", "²", "\r\n", "don't", " x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == (tokenizer.encode(text, add_special_tokens=False).ids if text else []), repr(text)
+
+
+def check_packed(rows, docs, tokenizer):
+    by_doc, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    expected = collections.defaultdict(list)
+    for d, text in docs:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for low in range(0, len(ids), 1024):
+            expected[d].append((low, len(ids[low:low + 1024]), zlib.crc32(ids[low:low + 1024].tobytes()), len(ids)))
+    key = lambda x: sorted(map(str, x))
+    assert {d: key(x) for d, x in by_doc.items()} == {d: key(x) for d, x in expected.items()}
+    for pieces in sequences.values():
+        ends = 0
+        for offset, length in sorted(pieces):
+            assert offset == ends
+            ends += length
+        assert ends <= 1024
+    return sum(r.length for r in rows) / (1024 * len(sequences)) if rows else 1
+
+
+def test_packing(spark, sf, odd, empty, tokenizer):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = queries.QUERIES["op7_nnls_packing"](spark, sf).collect()
+    assert check_packed(rows, [(r.doc_id, r.text) for r in docs.collect()], tokenizer) > 0.98
+    check_packed(packing.pack(odd).collect(), [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], tokenizer)
+    assert packing.pack(empty).count() == 0
+
+
+def test_least_squares_is_optimal_and_plans_place_every_piece():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        a, b = rng.random((6, 15)), rng.normal(size=6)
+        x = packing.nnls(a, b)
+        gradient = a.T @ (a @ x - b)
+        assert (x >= 0).all() and (gradient > -1e-5).all() and abs(gradient @ x) < 1e-5
+    for counts in (rng.integers(0, 200, 65), np.eye(1, 65, 40, dtype=int)[0] * 7, np.zeros(65, int)):
+        counts[0] = 0
+        plan = packing.make_plan(counts)
+        used = collections.Counter()
+        for sizes, repeats in plan:
+            assert sum(sizes) <= 64 and repeats > 0
+            for s in sizes:
+                used[s] += repeats
+        assert [used[i] for i in range(65)] == counts.tolist()
+        places = packing.Places(plan, 64)
+        if counts.any():
+            size = np.repeat(np.arange(65), counts)
+            rank = np.concatenate([np.arange(c) for c in counts])
+            assert len(set(zip(*(x.tolist() for x in places.find(size, rank))))) == counts.sum()
+
+
+# ------------------------------------------------------------------------------------------------ secrets
+
+def test_planted_secrets_are_told_from_other_findings(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rng, planted = random.Random(2), {}
+    for i in range(60):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        value, text = [(hexes, f'thing token = "{hexes}" of'), (key, f"the {key} and"), (hexes[:18], f"see password={hexes[:18]} here"),
+                       (None, f"mail a{i}.bc@mail7.example.com to"), (None, f"call 555-{i:04d} or 4799134681{i:06d}"), (None, "from 97.51.17.173 on 2024-01-05")][i % 6]
+        planted[1000 + i] = value
+        planted[1000 + i, "text"] = text
+    rows = [(k, planted[k, "text"]) for k in planted if isinstance(k, int)]
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = collections.defaultdict(set)
+    for r in secret_forest.find_secrets(both).where("secret AND doc_id >= 1000").collect():
+        found[r.doc_id].add(r.value)
+    assert {k: found.get(k, set()) for k, _ in rows} == {k: {planted[k]} - {None} for k, _ in rows}
+
+
+def test_masking_changes_nothing_else(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, after = ({r.doc_id: r for r in d.collect()} for d in (docs, secret_forest.masked(docs)))
+    changed = [d for d in before if before[d] != after[d]]
+    assert set(before) == set(after) and changed
+    for d in changed:
+        assert secret_forest.MASK in after[d].text and after[d].n_chars == len(after[d].text)
+    out = secret_forest.masked(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert secret_forest.masked(empty).count() == 0
+    assert secret_forest.find_secrets(frame(spark, [(1, "only one 555-1234 55-555-55")])).where("secret").count() == 0
+
+
+def test_candidates_of_long_and_glued_texts(spark):
+    rows = [(1, 'key="abc123def456",'), (2, "x" * 300_000 + "1"), (3, "a1b2c3d4e5\u00e9"), (4, None), (5, "12345678 " * 3)]
+    got = secret_forest.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ("key", "abc123def456") in {(r["name"], r["value"]) for r in got if r.doc_id == 1} or "abc123def456" in {r.value for r in got if r.doc_id == 1}
+    assert len([r for r in got if r.doc_id == 5]) == 3 and [len(r.value) for r in got if r.doc_id == 2] == [300_001]
+
+
+# ------------------------------------------------------------------------------------------------ reply trees
+
+def best_paths(nodes, top):
+    """Branches of one tree by recursion: lists of nodes, best first."""
+    known, children = {n for n, *_ in nodes}, collections.defaultdict(list)
+    score = {n: s or 0.0 for n, _, s in nodes}
+    for n, p, _ in nodes:
+        children[p if p in known else None].append(n)
+    paths = []
+
+    def walk(path):
+        if not children[path[-1]]:
+            paths.append(path)
+        for c in children[path[-1]]:
+            walk([*path, c])
+
+    for r in children[None]:
+        walk([r])
+    return sorted(paths, key=lambda p: (-sum(score[n] for n in p) / len(p), -len(p), p[-1]))[:top]
+
+
+def test_best_branches_equal_recursion(spark):
+    rng, rows, trees = random.Random(4), [], {}
+    for tree in range(12):
+        n = rng.choice((1, 2, 9, 40))
+        trees[tree] = [(i, None if i == 0 or rng.random() < 0.03 else (i - 1 if n == 40 else rng.randrange(i)), rng.choice((None, 0.5, 1.0, 2.0))) for i in range(n)]
+        rows += [(tree, *x) for x in trees[tree]]
+    rows.append((99, 1, 777, 1.0))  # the parent is absent
+    trees[99] = [(1, 777, 1.0)]
+    rows += [(98, 1, 2, 1.0), (98, 2, 1, 1.0)]  # a cycle has no branch
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    got = collections.defaultdict(list)
+    for r in reply_trees.branches(messages, 3).orderBy("tree", "branch", "depth").collect():
+        got[r.tree, r.branch].append(r.node)
+    expected = {(t, k): p for t, nodes in trees.items() for k, p in enumerate(best_paths(nodes, 3), 1)}
+    assert dict(got) == expected
+
+
+def test_formatting_is_reversible(spark):
+    texts = ["<|im_end|>", "<|im_start|>assistant ok", "a\\", "\\|<\\|<|", "<", "", None, "é\n\n<|im_end|>\n", "\\\\n$1", "🙂<|"]
+    rows = [(c, t, random.Random(c * 31 + t).choice(["user", "assistant", "a\nb", "<|r\\", None]), x) for c in range(4) for t, x in enumerate(texts)]
+    rows += [(None, 1, "user", "no id"), (7, 1, "user", "tie"), (7, 1, "user", "tie"), (8, None, "assistant", "no turn")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in CLASHING if c not in ("node",)})
+    out = reply_trees.format_trees(reply_trees.chains(df))
+    turns, loss = reply_trees.read_back(F.col("formatted"), F.col("spans"))
+    got = {r.tree: r for r in out.select("tree", "formatted", turns.alias("turns"), loss.alias("loss")).collect()}
+    for conv in (0, 1, 2, 3, None, 7, 8):
+        own = [((r or ""), (x or "")) for c, _, r, x in rows if c == conv]
+        assert [tuple(t) for t in got[conv].turns] == own
+        assert got[conv].loss == "".join(x for r, x in own if r == "assistant")
+        assert got[conv].formatted.count("<|im_start|>") == got[conv].formatted.count("<|im_end|>") == len(own)
+    assert reply_trees.format_trees(reply_trees.chains(df.where("false"))).count() == 0
+
+
+def test_long_conversations(spark):
+    df = spark.range(300).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    out = reply_trees.format_trees(reply_trees.chains(df)).first()
+    expected = "".join(f"<|im_start|>{'user' if i % 2 == 0 else 'assistant'}\nt{i}<|im_end|>\n" for i in range(300))
+    assert hashlib.sha256(out.formatted.encode()).hexdigest() == hashlib.sha256(expected.encode()).hexdigest()
+
+
+# ------------------------------------------------------------------------------------------------ URL rules
+
+def judge(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        after = url.split("://", 1)[1]
+        n = min([after.index(c) for c in "/?#" if c in after], default=len(after))
+        host, rest = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in after[:n]), after[n:]
+        path = rest[:min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+    fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
+
+
+def test_urls_equal_direct_rules(spark):
+    rng = random.Random(6)
+    rules = [("block" if i % 3 else "allow", ".".join(rng.choice(["a", "b", "com", "org"]) for _ in range(rng.randint(1, 3))), "/" + rng.choice(["", "x", "x/", "xy/1"]))
+             for i in range(25)]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    urls = [f"http{rng.choice(['', 's'])}://" + ".".join(rng.choice(["A", "b", "com", "Org", "É"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "/", "/x", "/xy/12", "/x/y?z", "#f", "?q=/x"])
+            for _ in range(500)]
+    urls += [None, "", "no scheme", "://", "http:///x", "x://a.com", "http://a://b/x", "http://a.com/\nx", "http://" + "a." * 20_000 + "com/x", "http://.com/", *urls[:5]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("z"), "rule": F.lit("z"), "key": F.lit("z")})
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    assert got == {i: judge(u, rules) for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(df.where("false"), rules).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
+
+
+def test_cascade_is_exact_on_its_universe(spark):
+    universe = spark.range(6000).selectExpr("concat('k', id % 5000) AS key")
+    listed = universe.where("crc32(key) % 9 = 0").unionByName(spark.sql("SELECT 'not asked' AS key UNION ALL SELECT NULL"))
+    cascade = url_filter.Cascade(listed, universe)
+    wrong = universe.where(cascade.contains(F.col("key")) != F.expr("crc32(key) % 9 = 0"))
+    assert len(cascade.levels) > 1 and wrong.count() == 0
+    with pytest.raises(ValueError, match="split the list"):
+        url_filter.Cascade(listed, universe, max_bits=100)
+
+
+# ------------------------------------------------------------------------------------------------ pipeline
+
+def test_pipeline_stages(spark, sf, odd, tokenizer):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "secrets", "pack"]
+    rows = corpus_pipeline.run(spark, sf).collect()
+    step, seen = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, sf).cache()
+        assert step.columns == docs.columns
+        seen.append({r.doc_id for r in step.select("doc_id").collect()})
+    assert seen[3] == seen[2] < seen[1] < seen[0] < {r.doc_id for r in docs.collect()}
+    check_packed(rows, [(r.doc_id, r.text) for r in step.collect()], tokenizer)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert np.mean([labels[d] == (d in seen[0]) for d in labels]) > 0.95
+    other = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        other = stage(spark, other, sf)
+        assert other.columns == odd.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, other, sf).count() > 0
