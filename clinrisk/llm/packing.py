@@ -9,13 +9,16 @@ the driver; pieces are ranked within their bin and look their place up in the pl
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -24,46 +27,67 @@ from clinrisk.llm.common import landed, mapped, slices
 
 WINDOW, BIN, END_ID = 1024, 4, 0
 # Cached ids by word: about a hundred bytes each. Ranks are taken in groups of about so many pieces.
-CACHED_WORDS, PIECES_PER_GROUP = 400_000, 200_000
+CACHED_WORDS, PIECES_PER_GROUP = 600_000, 200_000
 SPECIAL = "<|endoftext|>"
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian 32-bit integers, equal to ``Tokenizer.encode`` of the text.
 
     The vocabulary's splitting pattern never joins characters before and after a single space, so a text falls into pieces
-    that are encoded once and cached. Texts in which white space meets white space there, or that hold the special token, are
-    encoded as a whole.
+    that are encoded once and cached. Pieces of Latin-1 characters are split by the pattern and their parts are handed to the
+    tokenizer's model, other pieces to the tokenizer. Texts in which white space meets white space there, or that hold the
+    special token, are encoded as a whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes | None] = {}
-
-    def _add(self, pieces: list[str]) -> None:
-        plain = []
-        for p in pieces:
-            # The first character is the space before the word; none stands before the first word of a text.
-            if not p[1:] or p[1].isspace() or p[-1].isspace() or SPECIAL in p:
-                self.pieces[p] = None
+        self.pattern, self.letters = regex.compile(public_tokenizers.PATTERN), byte_letters()
+        self.model = self.tokenizer.model
+        # By word, the ids of a space and the word (empty: encode the text as a whole); by other parts of the pattern, theirs.
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _model(self, part: str) -> bytes:
+        written = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        word = part[1:]
+        known, key = (self.words, word) if part[0] == " " and word.isalpha() else (self.parts, part)
+        if (ids := known.get(key)) is None:
+            ids = known[key] = self._model(part)
+        return ids
+
+    def _add(self, new: set[str]) -> None:
+        for w in new:
+            if not w or w[0].isspace() or w[-1].isspace() or SPECIAL in w:
+                self.words[w] = b""
+            elif not (w.isascii() or max(w) <= "\xff"):
+                self.words[w] = self._ids(" " + w)
+            elif w.isalpha():
+                self._part(" " + w)
             else:
-                plain.append(p)
-        for low in range(0, len(plain), 10_000):
-            part = plain[low:low + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[p] = np.array(e.ids, "<u4").tobytes()
+                self.words[w] = b"".join([self._part(x) for x in self.pattern.findall(" " + w)])
 
     def encode(self, texts: list[str], group: int = 1 << 22) -> Iterator[bytes]:
         """The ids of each text, in order; about ``group`` characters are split at a time."""
         for low, high in slices(texts, group):
+            if len(self.words) + len(self.parts) > CACHED_WORDS:
+                self.words.clear()
+                self.parts.clear()
             split = [text.split(" ") for text in texts[low:high]]
-            words = [[" " + w for w in s[1:]] for s in split]
-            if len(self.pieces) > CACHED_WORDS:
-                self.pieces.clear()
-            self._add(list({w for s in words for w in s if w not in self.pieces}))
-            for text, (first, *_), rest in zip(texts[low:high], split, words):
-                found = [self.pieces[w] for w in rest]
-                if None in found or first[-1:].isspace():
+            self._add(set(chain.from_iterable(split)).difference(self.words))
+            for text, (first, *rest) in zip(texts[low:high], split):
+                found = list(map(self.words.__getitem__, rest))
+                if b"" in found or first[-1:].isspace():
                     yield self._ids(text)
                 else:
                     yield (self._ids(first) if first else b"") + b"".join(found)
