@@ -7,17 +7,21 @@ about ten passes where a first-order solver needs a hundred, and a whole grid se
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_FEATURES = 500
 DECREASE_TOLERANCE = 1e-10
 INTERIOR_STEPS = 100
 MAX_BLOCKS = 128
+# Tasks of a pass for each core; a task folds all its input into one block per fit.
+TASKS_PER_CORE = 2
 
 
 @dataclass
@@ -38,9 +42,20 @@ class FitTask:
 
 
 def fit_many(matrix: DataFrame, features: Sequence[str], label: str, tasks: Sequence[FitTask], fold: str | None = None) -> list[np.ndarray]:
-    """Coefficients (intercept last) per task; ``matrix`` should be cached, it is read once per step."""
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"Newton steps are for at most {MAX_FEATURES} features, got {len(features)}")
+    """Coefficients (intercept last) per task; ``matrix`` should be cached, it is read once per step.
+
+    Fits that end before they have converged are told of by a RuntimeWarning.
+    """
+    betas, converged = fit_checked(matrix, features, label, tasks, fold)
+    if not all(converged):
+        warnings.warn(f"{converged.count(False)} of {len(tasks)} fits ended before they had converged", RuntimeWarning, stacklevel=2)
+    return betas
+
+
+def fit_checked(
+    matrix: DataFrame, features: Sequence[str], label: str, tasks: Sequence[FitTask], fold: str | None = None
+) -> tuple[list[np.ndarray], list[bool]]:
+    """As ``fit_many``, with a flag per task that says whether it converged. Works at any width; a block is the square of it."""
     d = len(features) + 1
     columns = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
     rows = matrix.select(*columns, F.col(label).cast("double").alias("y"),
@@ -60,7 +75,7 @@ def fit_many(matrix: DataFrame, features: Sequence[str], label: str, tasks: Sequ
         for s in turning:
             if not s.task.l1:
                 s.move(s.newton_step())
-    return [s.best for s in states]
+    return [s.best for s in states], [s.converged for s in states]
 
 
 def _sums(rows: DataFrame, d: int, fits: list[tuple[FitTask, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -71,8 +86,6 @@ def _sums(rows: DataFrame, d: int, fits: list[tuple[FitTask, np.ndarray]]) -> li
     upper = np.triu_indices(d)
 
     def reduce_partition(batches):
-        import pyarrow as pa
-
         m = beta.shape[1]
         loss, grad, hess = np.zeros(m), np.zeros((d, m)), np.zeros((m, d, d))
         for batch in batches:
@@ -87,15 +100,29 @@ def _sums(rows: DataFrame, d: int, fits: list[tuple[FitTask, np.ndarray]]) -> li
             curve = weight * p * (1.0 - p)
             for j in range(m):
                 hess[j] += (x * curve[:, j: j + 1]).T @ x
-        blocks = [np.concatenate([[loss[j]], grad[:, j], hess[j][upper]]) for j in range(m)]
+        blocks = np.column_stack([loss, grad.T, hess[:, upper[0], upper[1]]])
+        part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(m), pa.int32()), pa.array([b.tolist() for b in blocks], pa.list_(pa.float64()))], ["fit", "block"])
+            [pa.array(np.arange(m, dtype=np.int32)), pa.array([part] * m, pa.int32()), _lists(blocks)], ["fit", "part", "block"])
 
-    partial = rows.mapInArrow(reduce_partition, "fit int, block array<double>")
-    total = partial.select("fit", F.posexplode("block").alias("pos", "value")).groupBy("fit", "pos").agg(F.sum("value").alias("value"))
+    def add(batches):
+        parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for batch in batches:
+            values = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for f, part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values):
+                parts.setdefault(f, []).append((part, block))
+        if parts:
+            # In the order of the parts, so that the last digits do not depend on which arrived first.
+            sums = np.array([np.sum([b for _, b in sorted(found, key=lambda x: x[0])], axis=0) for found in parts.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), _lists(sums)], ["fit", "block"])
+
+    # As many partial blocks as cores ask for, not as the input has partitions; then one task adds up a fit's blocks.
+    tasks = max(1, TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    partial = rows.coalesce(tasks).mapInArrow(reduce_partition, "fit int, part int, block array<double>")
+    total = partial.repartition(min(len(fits), tasks), "fit").mapInArrow(add, "fit int, block array<double>").toArrow()
     blocks = np.zeros((len(fits), 1 + d + len(upper[0])))
-    for r in total.collect():  # fits x (1 + d + d (d + 1) / 2) numbers, whatever the number of rows
-        blocks[r["fit"], r["pos"]] = r["value"]
+    for f, block in zip(total.column("fit").to_pylist(), total.column("block").to_pylist()):
+        blocks[f] = block  # fits x (1 + d + d (d + 1) / 2) numbers, whatever the number of rows
     out = []
     for b in blocks:
         hess = np.zeros((d, d))
@@ -104,11 +131,17 @@ def _sums(rows: DataFrame, d: int, fits: list[tuple[FitTask, np.ndarray]]) -> li
     return out
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """An Arrow list per row, from one buffer."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+
 class _State:
     """Damped (for L1: proximal) Newton iteration of one fit, fed with one evaluation per pass."""
 
     def __init__(self, task: FitTask, d: int):
-        self.task, self.running, self.passes = task, True, 0
+        self.task, self.running, self.converged, self.passes = task, True, False, 0
         self.free = np.ones(d, bool) if task.free is None else task.free
         self.penalised = np.ones(d, bool)
         self.penalised[-1] = task.penalise_intercept
@@ -116,6 +149,7 @@ class _State:
         self.best, self.best_value = self.beta, np.inf
         self.step, self.slope, self.scale = np.zeros(d), 0.0, 1.0
         self.gradient, self.hessian = np.zeros(d), np.zeros((d, d))
+        self.inexact = False  # the last quadratic model was not solved to its tolerance
 
     def penalty(self, beta: np.ndarray) -> float:
         b = beta[self.penalised]
@@ -129,7 +163,7 @@ class _State:
         if value > self.best_value + 1e-4 * self.scale * self.slope + noise:
             self.scale /= 2
             if self.scale < 1e-6 or self.passes >= self.task.max_iter:
-                self.running = False
+                self.running = False  # not converged: no decrease along the step, or out of passes
             self.beta = self.best + self.scale * self.step
             return False
         self.best, self.best_value, self.scale = self.beta, value, 1.0
@@ -144,7 +178,7 @@ class _State:
             self.slope = float((self.gradient + self.penalised * self.best) @ step)
         if -self.slope <= DECREASE_TOLERANCE * max(1.0, abs(self.best_value)):
             # The step promises next to nothing; it is taken without another look at the data.
-            self.best, self.running = self.best + step, False
+            self.best, self.running, self.converged = self.best + step, False, not self.inexact
         elif self.passes >= self.task.max_iter:
             self.running = False
         else:
@@ -175,11 +209,13 @@ def _l1_steps(states: list[_State]) -> list[np.ndarray]:
     p, q = np.ones_like(c), np.ones_like(c)
     sp, sq = np.ones_like(c), np.ones_like(c)
     diagonal = np.arange(p.shape[1])
+    solved = np.zeros(len(states), bool)
     for _ in range(INTERIOR_STEPS):
         slope = np.einsum("mij,mj->mi", hess, p - q) + c
         gap = (p * sp + q * sq).mean(axis=1, keepdims=True) / 2
-        miss = np.maximum(np.abs(slope + price - sp), np.abs(price - slope - sq)).max()
-        if gap.max() < 1e-14 and miss < 1e-8:
+        miss = np.maximum(np.abs(slope + price - sp), np.abs(price - slope - sq)).max(axis=1)
+        solved = (gap[:, 0] < 1e-14) & (miss < 1e-8)
+        if solved.all():
             break
         mu = np.maximum(0.1 * gap, 1e-15)  # fits that are done keep their distance from the boundary
         a1, a2 = mu / p - price - slope, mu / q - price + slope
@@ -198,6 +234,8 @@ def _l1_steps(states: list[_State]) -> list[np.ndarray]:
         dual = np.minimum(1.0, 0.99 * np.minimum(room(sp, dsp), room(sq, dsq)))
         both = np.minimum(primal, dual)
         p, q, sp, sq = p + both * dp, q + both * dq, sp + both * dsp, sq + both * dsq
+    for s, done in zip(states, solved):
+        s.inexact = not done
     # A coefficient is 0 where both halves went to the boundary, that is where neither price is used up.
     z = np.where((p < sp) & (q < sq), 0.0, p - q) * unit * size
     return [x - s.best for x, s in zip(z, states)]

@@ -36,7 +36,8 @@ def exact_quantiles(
     """Linear-interpolated quantiles of many columns, NULLs ignored; an empty column gives None.
 
     ``percentile`` keeps one counter per distinct value, so it serves the columns that are measured to have few; the others
-    go through ``_select_quantiles``, whose memory does not grow with the data.
+    go through ``_select_quantiles``, whose memory does not grow with the data. Both find the same order statistics and
+    interpolate by the same formula, so the limits decide on the work and never on a digit of the answer.
     """
     if not columns:
         return {}
@@ -62,7 +63,7 @@ def _select_quantiles(
         for p in probabilities:
             position = p * (n - 1)
             targets.append({"col": c, "k0": math.floor(position), "k1": math.ceil(position),
-                            "frac": position - math.floor(position), "lo": None, "hi": None, "below": 0, "inside": n})
+                            "position": position, "lo": None, "hi": None, "below": 0, "inside": n})
     margin = 2.0 / APPROX_ACCURACY
     open_targets = list(range(len(targets)))
     while open_targets:
@@ -119,7 +120,7 @@ def _select_quantiles(
     out: dict[str, list[float | None]] = {c: [] for c in counts}
     for t in targets:
         v0, v1 = float(t["v0"]), float(t["v1"])
-        out[t["col"]].append(v0 + (v1 - v0) * t["frac"])
+        out[t["col"]].append(v0 if v0 == v1 else (t["k1"] - t["position"]) * v0 + (t["position"] - t["k0"]) * v1)
     return out
 
 
@@ -139,11 +140,14 @@ def key_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary"))
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class, refusing NULL labels and label columns that are not categorical."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"More than {MAX_CLASSES} classes in {label!r}")
+def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
+    """Rows per class, refusing NULL labels and label columns that are not categorical.
+
+    Classes are kept on the driver and written into expressions, so more than ``max_classes`` raise; nothing is left out.
+    """
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"More than {max_classes} classes in {label!r}")
     counts = {r[label]: r["n"] for r in rows}
     if None in counts:
         raise ValueError(f"NULL labels in {label!r}")
@@ -286,32 +290,32 @@ def score_prefix(
 
 # --------------------------------------------------------------------------------------------- last N per group
 
-GROUPS_ON_DRIVER = 10_000
 SALTS = 32
+# Where rows without a time stand: before all others.
+BEFORE_ALL = "0001-01-01 00:00:00"
 
 
 def top_n_per_group(df: DataFrame, group: str, ts: str, tie: str, n: int, step: str = "1 hour") -> DataFrame:
-    """The ``n`` rows of each group with the greatest ``(ts, tie)``.
+    """The ``n`` rows of each group with the greatest ``(ts, tie)``; rows with a NULL time count as the oldest.
 
     Row counts per group and time step tell from which step on the answer lies, so most rows are filtered at the scan. What
     remains of a group is ranked in ``SALTS`` slices first, and only the winners of the slices meet in one task.
-    With more groups than ``GROUPS_ON_DRIVER`` the time filter is joined without a broadcast.
+    The plan is the same for any number of groups: the oldest step that any group needs is a constant that reaches the scan,
+    the groups' own steps are joined, and how is left to Spark, which knows their size and splits a hot group.
     """
-    start = F.window(ts, step)["start"]
+    zoneless = df.schema[ts].dataType.typeName() == "timestamp_ntz"
+    first = F.lit(BEFORE_ALL).cast("timestamp_ntz" if zoneless else "timestamp")
+    start = F.window(F.coalesce(F.col(ts), first), step)["start"]
     steps = df.groupBy(group, start.alias("step")).agg(F.count(F.lit(1)).alias("rows"))
     newest = Window.partitionBy(group).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     needed = steps.withColumn("newer", F.coalesce(F.sum("rows").over(newest), F.lit(0))).where(F.col("newer") < n)
     since = needed.groupBy(group).agg(F.min("step").alias("since"))
-    known = since.limit(GROUPS_ON_DRIVER + 1).collect()
-    if known and len(known) <= GROUPS_ON_DRIVER:
-        oldest = min(r["since"] for r in known)
-        zoneless = df.schema[ts].dataType.typeName() == "timestamp_ntz"
-        bound = F.lit(str(oldest)).cast("timestamp_ntz") if zoneless else F.lit(oldest)
-        df = df.where(F.col(ts) >= bound)  # a constant, so it reaches the scan
-        since = F.broadcast(df.sparkSession.createDataFrame(known, since.schema))
+    oldest = since.agg(F.min("since").cast("string"), F.min("since") > F.lit("1000-01-01").cast("timestamp")).first()
+    if oldest[1]:
+        df = df.where(F.col(ts) >= F.lit(oldest[0]).cast("timestamp_ntz" if zoneless else "timestamp"))
     recent = (df.join(since.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")))
-              .where(F.col(ts) >= F.col("since")).drop("_group", "since"))
-    latest = [F.desc(ts), F.desc(tie)]
+              .where(F.coalesce(F.col(ts), first) >= F.col("since")).drop("_group", "since"))
+    latest = [F.desc_nulls_last(ts), F.desc(tie)]
     salted = recent.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
     sliced = salted.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*latest)))
     winners = sliced.where(F.col("_r") <= n).drop("_r", "_salt")

@@ -6,16 +6,14 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinrisk.operators.newton import fit_many
-from clinrisk.operators.train import LinearModel, LogisticSpec, fit_task, matrix_counts, training_matrix
+from clinrisk.operators.newton import TASKS_PER_CORE
+from clinrisk.operators.train import LinearModel, LogisticSpec, fit_task, matrix_counts, solve_many, training_matrix
 
-PAIRS_PER_PASS = 50
 CORRELATION_SCHEMA = "a string, b string, r double"
 
 
@@ -26,38 +24,54 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> dict[tuple[str, str], float | None]:
     """Pearson r of every pair (a before b) over the rows where both are present; None if either is constant there.
 
-    A first pass finds means, spreads and which columns have NULLs. Many pairs of complete columns come from one matrix
-    product over centred vectors; few pairs, and pairs with NULLs, are aggregated over their common rows, ``PAIRS_PER_PASS``
-    to a pass. Constant columns are left out beforehand (``corr`` raises on them in ANSI mode).
+    A first pass finds means and spreads, by which the columns are centred and scaled. A second one sums, for all pairs at
+    once and whatever the number of columns and NULLs, counts, values, squares and products over the rows where both are
+    present: four matrix products per batch, one block per task, and one sum of the blocks.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
-    stats = df.agg(*[a for c in columns for a in (
-        F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    stats = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     out: dict[tuple[str, str], float | None] = dict.fromkeys(combinations(columns, 2))
     varying = [c for c in columns if stats[f"s_{c}"]]
-    complete = [c for c in varying if not stats[f"n_{c}"]]
-    by_vectors = len(complete) * (len(complete) - 1) // 2 > PAIRS_PER_PASS
-    if by_vectors:
-        centred = df.select(*[(F.col(c).cast("double") - F.lit(float(stats[f"m_{c}"]))).alias(c) for c in complete])
-        vectors = VectorAssembler(inputCols=complete, outputCol="_v").transform(centred).select("_v")
-        r = Correlation.corr(vectors, "_v").first()[0].toArray()
-        out.update({(a, b): float(r[complete.index(a), complete.index(b)]) for a, b in combinations(complete, 2)})
-    partial = [p for p in combinations(varying, 2) if not (by_vectors and set(p) <= set(complete))]
-    for start in range(0, len(partial), PAIRS_PER_PASS):
-        chunk = partial[start: start + PAIRS_PER_PASS]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            aggs.append(F.covar_pop(a, b).alias(f"c{i}"))
-            if not {a, b} <= set(complete):
-                both = F.col(a).isNotNull() & F.col(b).isNotNull()
-                aggs += [F.stddev_pop(F.when(both, F.col(a))).alias(f"a{i}"), F.stddev_pop(F.when(both, F.col(b))).alias(f"b{i}")]
-        row = df.agg(*aggs).first().asDict()
-        for i, (a, b) in enumerate(chunk):
-            spread = (row.get(f"a{i}", stats[f"s_{a}"]) or 0.0) * (row.get(f"b{i}", stats[f"s_{b}"]) or 0.0)
-            out[a, b] = row[f"c{i}"] / spread if spread else None
+    if len(varying) < 2:
+        return out
+    n, x, xx, xy = _pair_sums(df.select(*[
+        ((F.col(c).cast("double") - F.lit(float(stats[f"m_{c}"]))) / F.lit(float(stats[f"s_{c}"]))).alias(f"x{i}") for i, c in enumerate(varying)]),
+        len(varying))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = xx - x * x / n
+        r = (xy - x * x.T / n) / np.sqrt(spread * spread.T)
+    for i, a in enumerate(varying):
+        for j in range(i + 1, len(varying)):
+            # Within rounding of the sums a column is constant on the common rows.
+            if min(spread[i, j], spread[j, i]) > 1e-12 * max(n[i, j], 1.0):
+                out[a, varying[j]] = float(np.clip(r[i, j], -1.0, 1.0))
     return out
 
 
+def _pair_sums(rows: DataFrame, d: int) -> np.ndarray:
+    """Four d x d matrices over the rows where both i and j are present: rows, sums of i, sums of squares of i, products."""
+    def partial(batches):
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            total += [known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["block"])
+
+    def add(batches):
+        total, found = np.zeros((4, d, d)), False
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                total, found = total + np.frombuffer(block).reshape(4, d, d), True
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["block"])
+
+    tasks = max(1, TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    blocks = rows.coalesce(tasks).mapInArrow(partial, "block binary").repartition(max(1, int(tasks**0.5))).mapInArrow(add, "block binary").collect()
+    return np.sum([np.frombuffer(b["block"]).reshape(4, d, d) for b in blocks], axis=0)
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Upper triangle as rows ``(a, b, r)``."""
     rows = [(a, b, r) for (a, b), r in correlations(df, columns).items()]
@@ -88,7 +102,7 @@ def select_by_variance(df: DataFrame, threshold: float = 0.01, columns: Sequence
 
 
 def select_by_rfe(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec, n_features: int = 10,
-                  step: int = 1) -> tuple[list[str], list[tuple[str, int]]]:
+                  step: int = 1, method: str = "newton") -> tuple[list[str], list[tuple[str, int]]]:
     """Drop the ``step`` features of smallest squared coefficient until ``n_features`` are left.
 
     Returns the kept features and, for every feature, its rank (1 = kept, higher = dropped earlier). One matrix is cached;
@@ -99,7 +113,8 @@ def select_by_rfe(df: DataFrame, features: Sequence[str], label: str, spec: Logi
     try:
         c = matrix_counts(matrix)[0]
         while free[:-1].sum() > n_features:
-            beta = fit_many(matrix, features, "label", [fit_task(c["n"], c["pos"], spec, free=free, start=beta)])[0]
+            task = (c["n"], c["pos"], spec, fit_task(c["n"], c["pos"], spec, free=free, start=beta))
+            (beta,), _ = solve_many(matrix, features, [task], method=method)
             left = np.flatnonzero(free[:-1])
             drop = left[np.argsort(beta[left] ** 2, kind="stable")][: min(step, len(left) - n_features)]
             rounds.append([features[i] for i in sorted(drop)])

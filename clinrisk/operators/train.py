@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import json
+import warnings
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from clinrisk.functions.scoring import linear_probability, prediction
 from clinrisk.operators.metrics import auc_by
-from clinrisk.operators.newton import MAX_FEATURES, FitTask, fit_many
+from clinrisk.operators.newton import FitTask, fit_checked
 from clinrisk.operators.split import stratified_folds
 from clinrisk.sources.patients import estimated_megabytes
 
@@ -33,6 +35,7 @@ PARAM_GRIDS = {
     },
 }
 TOLERANCE = 1e-8
+METHODS = ("newton", "first_order")
 SPLIT_MEGABYTES = 128
 COEFFICIENT_SCHEMA = "position int, feature string, coefficient double"
 
@@ -74,6 +77,7 @@ class LinearModel:
     features: list[str]
     coefficients: list[float]
     intercept: float
+    converged: bool = True
 
     def probability(self, features: dict[str, Column]) -> Column:
         return linear_probability(features, dict(zip(self.features, self.coefficients)), self.intercept)
@@ -88,14 +92,15 @@ class LinearModel:
         return LinearModel([r["feature"] for r in rows[:-1]], [r["coefficient"] for r in rows[:-1]], rows[-1]["coefficient"])
 
 
-def training_matrix(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
+def training_matrix(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = (), split_megabytes: int = SPLIT_MEGABYTES) -> DataFrame:
     """Labelled rows as ``(*keep, label, features...)``, cached until ``unpersist`` (a lost executor's part is recomputed).
 
-    A table too small to give every core a file split is spread over the cores once, because every step works on it.
+    A table too small to give every core a file split of ``split_megabytes`` is spread over the cores once, because every
+    step works on it. This changes the partitioning, and so at most the last digits of sums.
     """
     rows = df.where(F.col(label).isNotNull()).select(*keep, F.col(label).alias("label"), *features)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_megabytes(df) < cores * SPLIT_MEGABYTES:
+    if estimated_megabytes(df) < cores * split_megabytes:
         rows = rows.repartition(cores)
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -138,20 +143,50 @@ def fit_wide(matrix: DataFrame, features: Sequence[str], n: int, pos: int, spec:
         regParam=1.0 / (spec.C * n), elasticNetParam=1.0 if spec.penalty == "l1" else 0.0, fitIntercept=not flipped)
     fitted = lr.fit(data)
     beta = [float(b) for b in fitted.coefficients.toArray()]
+    if fitted.summary.totalIterations >= spec.max_iter:
+        warnings.warn("the fit ended before it had converged", RuntimeWarning, stacklevel=2)
     return (beta[:-1], beta[-1]) if flipped else (beta, float(fitted.intercept))
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec) -> LinearModel:
-    """Fit one model: Newton steps while the Hessian is small, Spark ML's solver for wide matrices."""
+def solve_many(
+    matrix: DataFrame, features: Sequence[str], tasks: Sequence[tuple[int, int, LogisticSpec, FitTask]], fold: str | None = None,
+    method: str = "newton",
+) -> tuple[list[np.ndarray], list[bool]]:
+    """Coefficients (intercept last) of several fits over a training matrix, and whether each converged.
+
+    ``tasks``: rows and positive rows of the fit, its spec, and its FitTask. ``newton`` advances all fits together, a pass
+    over the data per step and a block of the squared number of features per fit; ``first_order`` runs Spark ML's solver fit
+    by fit, for feature lists whose square is too large. The method is the caller's choice at any width.
+    """
+    if method == "newton":
+        return fit_checked(matrix, features, "label", [t for *_, t in tasks], fold)
+    if method != "first_order":
+        raise ValueError(f"Unknown method {method!r}, not one of {METHODS}")
+    betas, converged = [], []
+    for n, pos, spec, task in tasks:
+        free = [f for i, f in enumerate(features) if task.free is None or task.free[i]]
+        rows = matrix if task.fold is None else matrix.where(F.col(fold) != task.fold)
+        with warnings.catch_warnings(record=True) as told:
+            warnings.simplefilter("always", RuntimeWarning)
+            coefficients, intercept = fit_wide(rows, free, n, pos, spec)
+        found = dict(zip(free, coefficients))
+        betas.append(np.array([*(found.get(f, 0.0) for f in features), intercept]))
+        converged.append(not any(issubclass(w.category, RuntimeWarning) for w in told))
+    return betas, converged
+
+
+def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec, method: str = "newton") -> LinearModel:
+    """Fit one model; ``method`` as in ``solve_many``."""
     matrix = training_matrix(df, features, label)
     try:
         c = matrix_counts(matrix)[0]
-        if len(features) > MAX_FEATURES:
-            return LinearModel(list(features), *fit_wide(matrix, features, c["n"], c["pos"], spec))
-        beta = fit_many(matrix, features, "label", [fit_task(c["n"], c["pos"], spec)])[0]
+        task = (c["n"], c["pos"], spec, fit_task(c["n"], c["pos"], spec))
+        (beta,), (done,) = solve_many(matrix, features, [task], method=method)
     finally:
         matrix.unpersist()
-    return LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]))
+    if not done:
+        warnings.warn("the fit ended before it had converged", RuntimeWarning, stacklevel=2)
+    return LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]), done)
 
 
 def save_model(model: LinearModel, metadata: dict, spark: SparkSession, path: str) -> None:
@@ -200,7 +235,7 @@ class SearchResult:
 
 def grid_search(
     df: DataFrame, features: Sequence[str], label: str, key: str, name: str = "logistic_regression",
-    grid: dict | None = None, k: int = 5, seed: int = 42,
+    grid: dict | None = None, k: int = 5, seed: int = 42, method: str = "newton",
 ) -> SearchResult:
     """Every grid point on ``k`` stratified folds, scored by mean fold AUC; the first best is refitted on all rows.
 
@@ -226,9 +261,12 @@ def grid_search(
         counts = {r["fold"]: r for r in matrix_counts(matrix, ["fold"])}
         total = {c: sum(r[c] for r in counts.values()) for c in ("n", "pos")}
         jobs = list(itertools.product(fits, sorted(counts)))
-        tasks = [fit_task(total["n"] - counts[f]["n"], total["pos"] - counts[f]["pos"], fits[ident], f) for ident, f in jobs]
+        tasks = []
+        for ident, f in jobs:
+            n, pos = total["n"] - counts[f]["n"], total["pos"] - counts[f]["pos"]
+            tasks.append((n, pos, fits[ident], fit_task(n, pos, fits[ident], f)))
         spark = df.sparkSession
-        betas = fit_many(matrix, features, "label", tasks, "fold")
+        betas, _ = solve_many(matrix, features, tasks, "fold", method)
         models = spark.createDataFrame(
             [(ids[ident], f, [float(b) for b in beta]) for (ident, f), beta in zip(jobs, betas)],
             "candidate int, fold int, beta array<double>")
@@ -242,7 +280,8 @@ def grid_search(
         mean = {c: sum(v.values()) / len(v) for c, v in aucs.items()}
         scores = [mean[ids[identity(s)]] for s in specs]
         best = scores.index(max(scores))
-        beta = fit_many(matrix, features, "label", [fit_task(total["n"], total["pos"], specs[best])])[0]
+        chosen = (total["n"], total["pos"], specs[best], fit_task(total["n"], total["pos"], specs[best]))
+        (beta,), (done,) = solve_many(matrix, features, [chosen], method=method)
     finally:
         matrix.unpersist()
     order = sorted(range(len(points)), key=lambda i: -scores[i])
@@ -255,4 +294,4 @@ def grid_search(
     results = spark.createDataFrame(
         rows, "point int, C double, class_weight string, max_iter int, penalty string, solver string,"
               " fold_scores array<double>, mean_score double, rank int")
-    return SearchResult(points[best], scores[best], LinearModel(list(features), beta[:-1].tolist(), float(beta[-1])), results)
+    return SearchResult(points[best], scores[best], LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]), done), results)

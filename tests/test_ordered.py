@@ -119,8 +119,33 @@ def test_last_n_filters_at_the_scan(spark, sf):
     assert "GreaterThanOrEqual(ts" in plan and "WindowGroupLimit" in plan
 
 
-def test_last_n_with_too_many_groups_for_the_driver(spark, monkeypatch):
-    monkeypatch.setattr(O, "GROUPS_ON_DRIVER", 3)
+def test_last_n_has_one_plan_for_few_and_many_groups(spark):
+    import re
+
+    plans = []
+    for groups in (10, 20_000):
+        df = spark.range(40_000).selectExpr("id", f"id % {groups} AS g", "timestamp_seconds(1704067200 + id * 60) AS ts")
+        df.write.mode("overwrite").parquet(path := group_path(spark, groups))
+        plan = O.top_n_per_group(spark.read.parquet(path), "g", "ts", "id", 1)._jdf.queryExecution().optimizedPlan().toString()
+        plans.append(re.sub(r"[0-9]+|#\w+", "", plan.replace(path, "")))
+    assert plans[0] == plans[1] and "Join" in plans[0]
+
+
+def group_path(spark, groups):
+    from clinrisk.scratch import scratch_path
+
+    return scratch_path(spark, f"groups-{groups}")
+
+
+def test_last_n_keeps_rows_without_a_time_as_the_oldest(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, "a", None), (2, "a", t0), (3, "b", None), (4, "b", None), (5, None, t0), (6, "c", t0), (7, "c", t0 + timedelta(hours=9)), (8, "c", None)]
+    df = spark.createDataFrame(rows, "id bigint, g string, ts timestamp")
+    assert {r["id"] for r in O.top_n_per_group(df, "g", "ts", "id", 2).collect()} == {1, 2, 3, 4, 5, 6, 7}
+    assert {r["id"] for r in O.top_n_per_group(df, "g", "ts", "id", 1).collect()} == {2, 4, 5, 7}
+
+
+def test_last_n_of_many_groups(spark):
     t0 = datetime(2024, 1, 1)
     df = spark.createDataFrame([(i, f"g{i % 8}", t0 + timedelta(minutes=i)) for i in range(200)], "id bigint, g string, ts timestamp")
     got = {r["id"] for r in O.top_n_per_group(df, "g", "ts", "id", 2).collect()}
@@ -170,3 +195,17 @@ def test_folds(spark):
     assert sorted(sizes) == [20, 20, 20, 20, 21] and max(positives) - min(positives) <= 1
     again = {r["k"]: r["fold"] for r in SP.stratified_folds(df.repartition(9), "k", k=5).collect()}
     assert again == {r["k"]: r["fold"] for r in rows}
+
+
+def test_quantiles_do_not_depend_on_the_limits(spark):
+    df = spark.range(9001).selectExpr("(id * 7919 % 9001) / 7.0 + 0.1 AS x")
+    wanted = [0.1, 0.25, 1 / 3, 0.5, 0.75, 0.9]
+    runs = [O.exact_quantiles(df, ["x"], wanted, **limits) for limits in ({}, {"distinct_limit": 10}, {"distinct_limit": 10, "bracket_limit": 5})]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_class_limit_is_a_parameter(spark):
+    df = spark.range(10).selectExpr("id % 4 AS c")
+    assert len(O.class_counts(df, "c", max_classes=4)) == 4
+    with pytest.raises(ValueError, match="More than 3 classes"):
+        O.class_counts(df, "c", max_classes=3)

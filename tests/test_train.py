@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clinrisk.operators import metrics, select, train
 from clinrisk.operators.newton import FitTask, fit_many
+from clinrisk.operators.select import select_by_rfe
 from clinrisk.operators.train import LogisticSpec
 from clinrisk.scratch import scratch_path
 
@@ -152,3 +153,32 @@ def test_elimination_and_importance(spark, data):
     assert [tuple(r) for r in select.importances(spark, model).collect()] == [("a", 3.0), ("b", 1.0), ("c", 0.02)]
     with pytest.raises(ValueError):
         select.select_by_importance(object())
+
+
+def wide_data(spark, width=501, n=300):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(n, width)).round(3)
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=n) > 0).astype(int)
+    names = [f"w{i}" for i in range(width)]
+    rows = [(i, int(t), *map(float, r)) for i, (t, r) in enumerate(zip(y, x))]
+    return names, spark.createDataFrame(rows, ["id", "y", *names])
+
+
+def test_the_method_is_the_callers_choice_at_any_width(spark):
+    names, df = wide_data(spark)
+    spec = LogisticSpec(C=0.01, solver="liblinear", max_iter=100)
+    models = [train.fit(df, names, "y", spec, method=m) for m in train.METHODS]
+    np.testing.assert_allclose(models[0].coefficients, models[1].coefficients, atol=1e-3)
+    kept, ranks = select_by_rfe(df, names, "y", spec, n_features=400, step=101, method="newton")
+    assert len(kept) == 400 and len(ranks) == 501
+    result = train.grid_search(df, names, "y", "id", grid={"C": [0.01], "solver": ["liblinear"]}, k=2)
+    assert len(result.best_model.features) == 501
+    with pytest.raises(ValueError, match="Unknown method"):
+        train.fit(df, names, "y", spec, method="other")
+
+
+def test_fits_cut_short_are_told_of(data):
+    _, _, df = data
+    with pytest.warns(RuntimeWarning, match="before"):
+        model = train.fit(df, FEATURES, "y", LogisticSpec(C=100.0, max_iter=1))
+    assert not model.converged and train.fit(df, FEATURES, "y", LogisticSpec()).converged
