@@ -83,17 +83,23 @@ def split_roundtrip(spark, sf):
     return held_out.groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("patient_id").alias("key_sum"))
 
 
+# Bodies whose age is a fraction (where there is an age) or no number.
+_WRONG_AGE = ("(patient_id % 53 <> 0 AND patient_id % 61 <> 0 AND ((patient_id % 67 = 0 AND age IS NOT NULL)"
+              " OR (patient_id % 67 <> 0 AND patient_id % 71 = 0)))")
+
+
 def payload_sql() -> str:
     return (f"WITH {Q.RAW} SELECT patient_id AS payload_id, patient_id % 59 <> 0 AS valid_json,"
-            " CASE WHEN patient_id % 59 = 0 THEN NULL WHEN patient_id % 53 = 0 THEN 'age' ELSE '' END AS missing, "
-            + ", ".join(f"CASE WHEN patient_id % 59 = 0{' OR patient_id % 53 = 0' if c == 'age' else ''} THEN NULL ELSE {c} END"
+            " CASE WHEN patient_id % 59 = 0 THEN NULL WHEN patient_id % 53 = 0 THEN 'age' ELSE '' END AS missing,"
+            f" CASE WHEN patient_id % 59 = 0 THEN NULL WHEN {_WRONG_AGE} THEN 'age' ELSE '' END AS invalid, "
+            + ", ".join(f"CASE WHEN patient_id % 59 = 0{f' OR patient_id % 53 = 0 OR {_WRONG_AGE}' if c == 'age' else ''} THEN NULL ELSE {c} END"
                         f" AS {c}" for c in REQUEST_COLUMNS) + " FROM raw")
 
 
 @query("parse_requests", payload_sql())
 def parse_requests(spark, sf):
     parsed = requests.parse_requests(derived.payloads(spark, sf)).drop("body")
-    return parsed.withColumn("missing", F.array_join("missing", ","))
+    return parsed.withColumns({c: F.array_join(c, ",") for c in ("missing", "invalid")})
 
 
 @query("required_fields", f"WITH {Q.RAW} SELECT patient_id AS payload_id, 'Missing required field: age' AS error FROM raw"
@@ -409,20 +415,35 @@ def onehot(spark, sf):
     return prep.transform(df, params, ["patient_id"])
 
 
+_PRIORITIES = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_AGE_GROUPS = ["middle", "senior", "young"]
+
+
+@query("onehot_strings", f"WITH {Q.ENGINEERED} SELECT patient_id, " + ", ".join(
+    [f"CAST(coalesce(age_group, '') = '{v}' AS DOUBLE) AS \"f_age_group_{v}\"" for v in _AGE_GROUPS]
+    + [f"CAST(o_orderpriority = '{v}' AS DOUBLE) AS \"f_o_orderpriority_{v}\"" for v in _PRIORITIES])
+    + " FROM eng JOIN orders ON o_orderkey = patient_id")
+def onehot_strings(spark, sf):
+    stored = derived.table(spark, sf, "orders").select(F.col("o_orderkey").alias("patient_id"), "o_orderpriority")
+    df = X.engineer_features(derived.patients(spark, sf)).join(stored, "patient_id")
+    params = prep.fit_prep(df, prep.PrepSpec([], [], ["age_group", "o_orderpriority"]))
+    return prep.transform(df, params, ["patient_id"])
+
+
 def fitted_prep(spark, sf) -> tuple[prep.PrepParams, DataFrame]:
     table = split_table(spark, sf)
     return prep.fit_prep(table.where("split = 'train'"), prep.model_spec(table.columns)), table
 
 
 def _params_sql() -> str:
-    parts = ["SELECT 'spec' AS kind, 'standard' AS \"column\", 0 AS position, CAST(NULL AS INT) AS category, 'scaler' AS stat,"
+    parts = ["SELECT 'spec' AS kind, 'standard' AS \"column\", 0 AS position, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS dtype, 'scaler' AS stat,"
              " CAST(NULL AS DOUBLE) AS value"]
     for i, c in enumerate(Q.SCALED):
-        parts.append(f"SELECT 'continuous', '{c}', {i}, NULL, 'center', round(m_{c}, 6) FROM stats")
-        parts.append(f"SELECT 'continuous', '{c}', {i}, NULL, 'scale', round(s_{c}, 6) FROM stats")
-    parts += [f"SELECT 'binary', '{c}', {i}, NULL, 'passthrough', NULL" for i, c in enumerate(Q.PLAIN)]
+        parts.append(f"SELECT 'continuous', '{c}', {i}, NULL, NULL, 'center', round(m_{c}, 6) FROM stats")
+        parts.append(f"SELECT 'continuous', '{c}', {i}, NULL, NULL, 'scale', round(s_{c}, 6) FROM stats")
+    parts += [f"SELECT 'binary', '{c}', {i}, NULL, NULL, 'passthrough', NULL" for i, c in enumerate(Q.PLAIN)]
     for i, c in enumerate(Q.LEVELS):
-        parts.append(f"SELECT 'categorical', '{c}', {i}, {c}, 'level', CAST(row_number() OVER (ORDER BY {c}) - 1 AS DOUBLE)"
+        parts.append(f"SELECT 'categorical', '{c}', {i}, CAST({c} AS VARCHAR), 'int', 'level', CAST(row_number() OVER (ORDER BY {c}) - 1 AS DOUBLE)"
                      f" FROM (SELECT DISTINCT {c} FROM splits WHERE split = 'train')")
     return f"WITH {Q.STATS} " + " UNION ALL ".join(parts)
 
@@ -618,16 +639,17 @@ def score_requests(spark, sf):
 
 _BAD_JSON, _NO_AGE = "patient_id % 59 = 0", "patient_id % 53 = 0"
 _NULL_INPUT = "(" + " OR ".join(f"{c} IS NULL" for c in score.NUMERIC_INPUTS) + ")"
-_OK = f"NOT ({_BAD_JSON} OR {_NO_AGE} OR {_NULL_INPUT})"
+_OK = f"NOT ({_BAD_JSON} OR {_NO_AGE} OR {_WRONG_AGE} OR {_NULL_INPUT})"
 
 
 @query("score_payloads", f"WITH {Q.STATS}, raw AS (SELECT patient_id, "
        + ", ".join(f"{Q.faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS)
        + f" FROM patients), scored AS ({Q.scored_from('raw', '*')}) SELECT patient_id AS payload_id,"
-       f" CAST(CASE WHEN {_BAD_JSON} OR {_NO_AGE} THEN 400 WHEN {_NULL_INPUT} THEN 500 ELSE 200 END AS INT) AS status,"
-       f" CASE WHEN {_BAD_JSON} THEN 'Invalid JSON' WHEN {_NO_AGE} THEN 'Validation failed' WHEN {_NULL_INPUT} THEN"
+       f" CAST(CASE WHEN {_BAD_JSON} OR {_NO_AGE} OR {_WRONG_AGE} THEN 400 WHEN {_NULL_INPUT} THEN 500 ELSE 200 END AS INT) AS status,"
+       f" CASE WHEN {_BAD_JSON} THEN 'Invalid JSON' WHEN {_NO_AGE} OR {_WRONG_AGE} THEN 'Validation failed' WHEN {_NULL_INPUT} THEN"
        " 'Input has no value for a numeric field' END AS error,"
-       f" CASE WHEN {_NO_AGE} AND NOT ({_BAD_JSON}) THEN 'Missing required field: age' END AS details,"
+       f" CASE WHEN {_BAD_JSON} THEN NULL WHEN {_NO_AGE} THEN 'Missing required field: age'"
+       f" WHEN {_WRONG_AGE} THEN 'Invalid value for field: age' END AS details,"
        f" CASE WHEN {_OK} THEN {_PRED} END AS prediction, CASE WHEN {_OK} THEN round(probability, 4) END AS probability,"
        f" CASE WHEN {_OK} THEN {Q.RISK_LEVEL} END AS risk_level, CASE WHEN {_OK} THEN round({_CONFIDENCE}, 4) END AS confidence"
        " FROM scored")

@@ -18,7 +18,10 @@ from clinrisk.schema import BINARY, CATEGORICAL, CONTINUOUS, ENGINEERED_NUMERIC
 
 SCALERS = ["standard", "robust", "minmax"]
 MAX_CATEGORIES = 1000
-PARAMS_SCHEMA = "kind string, column string, position int, category int, stat string, value double"
+PARAMS_SCHEMA = "kind string, column string, position int, category string, dtype string, stat string, value double"
+# How categories are stored: as text, with the name of their type.
+PARSERS = {"int": int, "double": float, "string": str, "boolean": lambda text: text == "true"}
+Category = int | float | str | bool | None
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ class PrepParams:
     spec: PrepSpec
     center: dict[str, float]
     scale: dict[str, float]
-    categories: dict[str, list[int | None]]
+    categories: dict[str, list[Category]]
 
     def feature_columns(self, get: Field) -> dict[str, Column]:
         """Feature name -> expression; scaled columns, then passthrough, then one-hot by column and category."""
@@ -76,12 +79,12 @@ class PrepParams:
         return names
 
     def to_rows(self) -> list[tuple]:
-        rows = [("spec", self.spec.scaler, 0, None, "scaler", None)]
+        rows = [("spec", self.spec.scaler, 0, None, None, "scaler", None)]
         for i, c in enumerate(self.spec.continuous):
-            rows += [("continuous", c, i, None, "center", self.center[c]), ("continuous", c, i, None, "scale", self.scale[c])]
-        rows += [("binary", c, i, None, "passthrough", None) for i, c in enumerate(self.spec.binary)]
+            rows += [("continuous", c, i, None, None, stat, of[c]) for stat, of in (("center", self.center), ("scale", self.scale))]
+        rows += [("binary", c, i, None, None, "passthrough", None) for i, c in enumerate(self.spec.binary)]
         for i, c in enumerate(self.spec.categorical):
-            rows += [("categorical", c, i, level, "level", float(j)) for j, level in enumerate(self.categories[c])]
+            rows += [("categorical", c, i, *_as_text(level), "level", float(j)) for j, level in enumerate(self.categories[c])]
         return rows
 
     def to_table(self, spark: SparkSession) -> DataFrame:
@@ -97,22 +100,37 @@ class PrepParams:
         levels: dict[str, list] = {c: [] for c in names["categorical"]}
         for r in rows:
             if r["stat"] == "level":
-                levels[r["column"]].append(r["category"])
+                levels[r["column"]].append(None if r["category"] is None else PARSERS[r["dtype"]](r["category"]))
         return PrepParams(PrepSpec(names["continuous"], names["binary"], names["categorical"], scaler),
                           stats["center"], stats["scale"], levels)
 
 
+def _as_text(level: Category) -> tuple[str | None, str | None]:
+    if level is None:
+        return None, None
+    if isinstance(level, bool):
+        return str(level).lower(), "boolean"
+    return (repr(level), "double") if isinstance(level, float) else (str(level), "int" if isinstance(level, int) else "string")
+
+
 def fit_scaler(df: DataFrame, columns: list[str], scaler: str) -> tuple[dict[str, float], dict[str, float]]:
-    """``(center, scale)`` per column; a zero spread scales by 1."""
+    """``(center, scale)`` per column; a zero spread scales by 1, a column without any value raises ``ValueError``."""
     if not columns:
         return {}, {}
+
+    def present(found: dict) -> None:
+        if empty := [c for c in columns if found[c] is None]:
+            raise ValueError(f"No values in columns: {empty}")
+
     if scaler == "robust":
         quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        present({c: q[0] for c, q in quartiles.items()})
         center = {c: q[1] for c, q in quartiles.items()}
         scale = {c: q[2] - q[0] for c, q in quartiles.items()}
     else:
         low, spread = (F.avg, F.stddev_pop) if scaler == "standard" else (F.min, F.max)
         row = df.agg(*[a for c in columns for a in (low(c).alias(f"a_{c}"), spread(c).alias(f"b_{c}"))]).first()
+        present({c: row[f"a_{c}"] for c in columns})
         center = {c: float(row[f"a_{c}"]) for c in columns}
         scale = {c: float(row[f"b_{c}"]) for c in columns}
         if scaler == "minmax":
@@ -120,19 +138,35 @@ def fit_scaler(df: DataFrame, columns: list[str], scaler: str) -> tuple[dict[str
     return center, {c: s if s > 0 else 1.0 for c, s in scale.items()}
 
 
-def fit_categories(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[int | None]]:
-    """Sorted categories per column (NULL last) from one grouped pass; too many distinct values raise ``ValueError``."""
+def fit_categories(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[Category]]:
+    """Sorted categories per column (NULL last) from one grouped pass; too many distinct values raise ``ValueError``.
+
+    Categories keep their own type: integers, floating-point numbers, text or booleans. A column without any value has the
+    category NULL only, and so no feature.
+    """
     if not columns:
         return {}
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("int").alias("category")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in columns])
     levels = df.select(F.inline(pairs)).distinct()
+    types = {c: _kind(df.schema[c].dataType.typeName()) for c in columns}
     found: dict[str, list] = {c: [] for c in columns}
     for r in levels.limit(max_categories * len(columns) + 1).collect():
-        found[r["column"]].append(r["category"])
+        kind = types[r["column"]]
+        found[r["column"]].append(None if r["category"] is None else PARSERS[kind](r["category"]))
     crowded = [c for c in columns if len(found[c]) > max_categories]
     if crowded or sum(map(len, found.values())) > max_categories * len(columns):
         raise ValueError(f"More than {max_categories} categories in {crowded or columns}")
-    return {c: sorted(v, key=lambda x: (x is None, x or 0)) for c, v in found.items()}
+    return {c: sorted(x for x in v if x is not None) + [None] * (None in v) for c, v in found.items()}
+
+
+def _kind(type_name: str) -> str:
+    if type_name in ("byte", "short", "integer", "long"):
+        return "int"
+    if type_name in ("float", "double"):
+        return "double"
+    if type_name in ("string", "boolean"):
+        return type_name
+    raise ValueError(f"Categories of type {type_name} are not supported")
 
 
 def fit_prep(df: DataFrame, spec: PrepSpec | None = None, max_categories: int = MAX_CATEGORIES) -> PrepParams:

@@ -128,17 +128,19 @@ def score_payloads(df: DataFrame, scorer: Scorer, body: str = "body") -> DataFra
     unusable = F.lit(False)
     for c in NUMERIC_INPUTS:
         unusable = unusable | F.col(c).isNull()
-    parsed = parse_requests(df, body).select(*keep, "valid_json", "missing", unusable.alias("unusable"),
+    parsed = parse_requests(df, body).select(*keep, "valid_json", "missing", "invalid", unusable.alias("unusable"),
                                              scorer.probability(F.col, REQUEST_COLUMNS).alias("_p"))
     bad, unusable = ~F.col("valid_json"), F.col("unusable")
-    status = F.when(bad | (F.size("missing") > 0), 400).when(unusable, 500).otherwise(200)
-    error = (F.when(bad, "Invalid JSON").when(F.size("missing") > 0, "Validation failed")
+    wrong = (F.size("missing") > 0) | (F.size("invalid") > 0)
+    status = F.when(bad | wrong, 400).when(unusable, 500).otherwise(200)
+    error = (F.when(bad, "Invalid JSON").when(wrong, "Validation failed")
              .when(unusable, "Input has no value for a numeric field"))
-    staged = parsed.select(*keep, "missing", status.alias("status"), error.alias("error"),
+    staged = parsed.select(*keep, "missing", "invalid", status.alias("status"), error.alias("error"),
                            F.when(status == 200, F.col("_p")).alias("_p"))
-    details = F.transform("missing", lambda c: F.concat(F.lit("Missing required field: "), c))
+    details = F.concat(F.transform("missing", lambda c: F.concat(F.lit("Missing required field: "), c)),
+                       F.transform("invalid", lambda c: F.concat(F.lit("Invalid value for field: "), c)))
     out = staged.select(*keep, "status", "error",
-                        F.when(F.size("missing") > 0, details).alias("details"), *scorer.response(F.col("_p")))
+                        F.when(F.size(details) > 0, details).alias("details"), *scorer.response(F.col("_p")))
     out = out.withColumns({"probability": S.rounded(F.col("probability"), 4), "confidence": S.rounded(F.col("confidence"), 4),
                            "threshold_used": F.when(F.col("status") == 200, F.col("threshold_used"))})
     fields = ["prediction", "prediction_label", "probability", "risk_level", "confidence", "threshold_used"]

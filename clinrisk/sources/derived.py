@@ -105,7 +105,10 @@ def predictions_of(events: DataFrame) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(payload_id, body)``: JSON bodies of ``patients_raw``; some lack ``age``, some are not JSON."""
+    """``(payload_id, body)``: JSON bodies of ``patients_raw``.
+
+    Some lack ``age``, some are not JSON, some write age as ``55.0`` (a valid integer), as ``55.5`` or as ``"x"`` (invalid).
+    """
     def body(columns):
         return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
@@ -113,7 +116,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patients_raw(spark, sf_dir).select(
         F.col("patient_id").alias("payload_id"),
         F.when(F.col("patient_id") % 59 == 0, F.lit("{bad"))
-        .when(F.col("patient_id") % 53 == 0, body(without_age)).otherwise(body(REQUEST_COLUMNS)).alias("body"),
+        .when(F.col("patient_id") % 53 == 0, body(without_age))
+        .when(F.col("patient_id") % 61 == 0, body([F.col("age").cast("double").alias("age"), *without_age]))
+        .when(F.col("patient_id") % 67 == 0, body([(F.col("age") + 0.5).alias("age"), *without_age]))
+        .when(F.col("patient_id") % 71 == 0, body([F.lit("x").alias("age"), *without_age]))
+        .otherwise(body(REQUEST_COLUMNS)).alias("body"),
     )
 
 

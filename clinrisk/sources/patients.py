@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import logging
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +22,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
-def read_patients(spark: SparkSession, path: str, schema: T.StructType = PATIENT_SCHEMA) -> DataFrame:
+CORRUPT = "_corrupt_record"
+
+
+def read_patients(spark: SparkSession, path: str, schema: T.StructType = PATIENT_SCHEMA, corrupt: bool = False) -> DataFrame:
     """Scan headed CSV without a type-inference pass.
 
-    Only the header is read up front: declared columns get their declared type, other columns are kept as text. A malformed
-    field becomes NULL. A missing path raises ``FileNotFoundError``.
+    Only the header is read up front: declared columns get their declared type, other columns are kept as text. Files of a
+    folder may order their columns differently: each set of files with one header is read by that header. A malformed field
+    becomes NULL; with ``corrupt`` the column ``_corrupt_record`` keeps the text of lines that are too short, too long or hold
+    such a field, and is NULL for others. A missing path raises ``FileNotFoundError``.
     """
     declared = {f.name: f for f in schema}
     try:
@@ -33,8 +40,35 @@ def read_patients(spark: SparkSession, path: str, schema: T.StructType = PATIENT
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Data file not found: {path}") from error
         raise
-    in_file = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
-    return nan_to_null(spark.read.schema(in_file).option("header", True).csv(path))
+    parts = []
+    for names, files in _headers(spark, path, header).items():
+        fields = [declared.get(c, T.StructField(c, T.StringType())) for c in names]
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        if corrupt:
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+            fields = [*fields, T.StructField(CORRUPT, T.StringType())]
+        parts.append(reader.schema(T.StructType(fields)).csv(files))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return nan_to_null(out)
+
+
+def _headers(spark: SparkSession, path: str, header: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header. The lines are scanned once, without parsing, for the first one of each file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    first = (lines.where("start = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("line"))
+             .groupBy("line").agg(F.collect_list("file").alias("files")).collect())
+    if len(first) <= 1:
+        return {tuple(header): [path]}
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first:
+        names = next(csv.reader([r["line"]]))
+        out.setdefault(tuple(names), []).extend(sorted(r["files"]))
+    return out
+
+
+def malformed(df: DataFrame) -> DataFrame:
+    """One row ``(n_rows, n_malformed)`` of a table read with ``corrupt``."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("n_malformed"))
 
 
 def validate_schema(df: DataFrame, expected: list[str] | None = None) -> bool:

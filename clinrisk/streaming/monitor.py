@@ -2,38 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clinrisk.operators.monitor import WINDOW_SIZE, last_n, risk_counts
+from clinrisk.scratch import remove
 from clinrisk.streaming.runner import event_time, start_append, start_batches
 
 
-def _state(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 def stream_last_n(stream: DataFrame, state: str, checkpoint: str, n: int = WINDOW_SIZE, group: str = "model", ts: str = "ts",
                   tie: str = "request_id", trigger: dict | None = None) -> StreamingQuery:
     """Keep the last ``n`` predictions per model as a table ``state/batch=<id>``.
 
-    Batch ``id`` reads the state of ``id - 1`` and writes its own, so replaying a batch gives the same table.
+    Batch ``id`` reads the state of ``id - 1`` and writes its own, so replaying a batch gives the same table. The state of
+    ``id - 1`` must exist: without it the stream fails, as starting anew would forget what the checkpoint holds for done.
+    Older states, which no replay can ask for, are deleted.
     """
     spark = stream.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> DataFrame:
-        before = _state(spark, f"{state}/batch={batch_id - 1}") if batch_id else None
-        rows = batch if before is None else before.unionByName(batch)
+        rows = spark.read.parquet(f"{state}/batch={batch_id - 1}").unionByName(batch) if batch_id else batch
         return last_n(rows, n, group, ts, tie)
 
-    return start_batches(stream, process, state, checkpoint, trigger, reread=True)
+    def written(batch_id: int) -> None:
+        if batch_id >= 2:
+            remove(spark, f"{state}/batch={batch_id - 2}")
+
+    return start_batches(stream, process, state, checkpoint, trigger, reread=True, written=written)
 
 
 def last_state(query: StreamingQuery, spark: SparkSession, state: str) -> DataFrame:

@@ -17,11 +17,12 @@ def read_table_stream(spark: SparkSession, directory: str, file_glob: str, schem
 
 
 def start_batches(stream: DataFrame, process: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str,
-                  trigger: dict | None = None, reread: bool = False) -> StreamingQuery:
+                  trigger: dict | None = None, reread: bool = False, written: Callable[[int], None] | None = None) -> StreamingQuery:
     """Write ``process(batch, id)`` to ``out/batch=<id>``.
 
     The folder of a batch is overwritten when the batch is replayed after a failure, so each batch counts once. With
-    ``reread`` the batch is cached while it is processed, for processes that look at it more than once.
+    ``reread`` the batch is cached while it is processed, for processes that look at it more than once. ``written(id)`` is
+    called after a batch's folder is complete.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist() if reread else batch
@@ -30,6 +31,8 @@ def start_batches(stream: DataFrame, process: Callable[[DataFrame, int], DataFra
         finally:
             if reread:
                 batch.unpersist()
+        if written:
+            written(batch_id)
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

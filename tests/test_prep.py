@@ -67,3 +67,24 @@ def test_parameters_survive_storage(spark):
 def test_missing_feature_column(spark):
     with pytest.raises(ValueError, match="Missing columns"):
         prep.fit_prep(spark.range(3), prep.PrepSpec(["a"], [], []))
+
+
+def test_categories_keep_their_type(spark):
+    df = spark.createDataFrame([("b", 1.2, True), ("a", 1.8, None), (None, 1.2, False)], "s string, d double, b boolean")
+    params = prep.fit_prep(df, prep.PrepSpec([], [], ["s", "d", "b"]))
+    assert params.categories == {"s": ["a", "b", None], "d": [1.2, 1.8], "b": [False, True, None]}
+    assert params.feature_names() == ["f_s_b", "f_s_null", "f_d_1.8", "f_b_True", "f_b_null"]
+    rows = {tuple(r) for r in prep.transform(df, params).collect()}
+    assert rows == {(1.0, 0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 1.0, 0.0, 1.0), (0.0, 1.0, 0.0, 0.0, 0.0)}
+    path = scratch_path(spark, "prep")
+    prep.save_prep(params, spark, path)
+    assert prep.load_prep(spark, path) == params
+    with pytest.raises(ValueError, match="not supported"):
+        prep.fit_categories(spark.sql("SELECT DATE'2024-01-01' AS t"), ["t"])
+
+
+@pytest.mark.parametrize("scaler", prep.SCALERS)
+def test_a_column_without_values_is_named(spark, scaler):
+    df = spark.createDataFrame([(1, None), (2, None)], "a int, empty int")
+    with pytest.raises(ValueError, match="empty"):
+        prep.fit_scaler(df, ["a", "empty"], scaler)

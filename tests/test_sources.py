@@ -87,3 +87,17 @@ def test_derived_tables_are_row_local(spark, sf):
         assert "Exchange" not in plan
     sizes = {r[0] for r in derived.batch_requests(spark, sf).select(F.size("patients")).distinct().collect()}
     assert sizes == {0, 1, 2, 3, 4, 101}
+
+
+def test_numbers_in_payloads(spark):
+    from clinrisk.schema import REQUEST_COLUMNS
+    from clinrisk.sources.requests import parse_requests
+
+    def body(age):
+        return "{" + ", ".join(f'"{c}": {age if c == "age" else 1}' for c in REQUEST_COLUMNS) + "}"
+
+    bodies = [body(a) for a in ("55", "55.0", "5.5e1", "55.5", '"x"', '"NaN"', "null", "3000000000", "true")]
+    rows = parse_requests(spark.createDataFrame(list(enumerate(bodies)), "i int, body string")).orderBy("i").collect()
+    assert [r.age for r in rows] == [55, 55, 55, None, None, None, None, None, None]
+    assert [r.invalid for r in rows] == [[], [], [], ["age"], ["age"], ["age"], [], ["age"], ["age"]]
+    assert all(r.missing == [] and r.valid_json and r.oldpeak == 1.0 for r in rows)
