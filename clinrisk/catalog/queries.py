@@ -64,6 +64,23 @@ def scan_patients(spark, sf):
     return df
 
 
+@query("scan_layouts", f"WITH {Q.PATIENTS} SELECT count(*) + count(*) FILTER (WHERE patient_id % 97 = 0) AS n_rows,"
+                       " count(*) FILTER (WHERE patient_id % 97 = 0) AS n_malformed, "
+                       + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_sum" for c in PATIENT_COLUMNS if c != "oldpeak") + " FROM patients")
+def scan_layouts(spark, sf):
+    """Files of one folder with two column orders, and one with lines that are too short."""
+    path, df = scratch_path(spark, "layouts"), derived.patients(spark, sf)
+    df.where("patient_id % 2 = 0").select(PATIENT_COLUMNS).write.option("header", True).csv(f"{path}/a")
+    df.where("patient_id % 2 <> 0").select(PATIENT_COLUMNS[::-1]).write.option("header", True).csv(f"{path}/b")
+    short = df.where("patient_id % 97 = 0").select(F.concat_ws(",", *PATIENT_COLUMNS[:3]).alias("value"))
+    head = spark.createDataFrame([(",".join(PATIENT_COLUMNS),)], "value string")
+    head.unionAll(short).coalesce(1).write.text(f"{path}/c")
+    read = patients.read_patients(spark, f"{path}/*", corrupt=True)
+    whole = F.col(patients.CORRUPT).isNull()
+    return read.agg(F.count(F.lit(1)).alias("n_rows"), F.count(patients.CORRUPT).alias("n_malformed"), *[
+        F.sum(F.when(whole, F.col(c))).cast("bigint").alias(f"{c}_sum") for c in PATIENT_COLUMNS if c != "oldpeak"])
+
+
 _TYPES = {"patient_id": "bigint", **{c: "double" if c == "oldpeak" else "int" for c in PATIENT_COLUMNS}}
 
 
@@ -533,6 +550,59 @@ def lr_fit_l1(spark, sf):
     return rounded(fitted_model(spark, sf, penalty="l1", C=0.1).to_table(spark), 5)
 
 
+# Two features and an intercept, small enough for Newton steps in SQL: penalised log-loss with balanced class weights.
+_TWO = {"age10": "(age - 50) / 10.0e0", "chol50": "(chol - 240) / 50.0e0"}
+_DET = "(h11 * (h22 * h00 - h20 * h20) - h12 * (h12 * h00 - h20 * h10) + h10 * (h12 * h20 - h22 * h10))"
+_NEWTON = f"""{Q.PATIENTS}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(target) AS DOUBLE) AS pos FROM patients),
+d AS (SELECT {_TWO['age10']} AS x1, {_TWO['chol50']} AS x2, CAST(target AS DOUBLE) AS y,
+  CASE WHEN target = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w FROM patients, n),
+newton(step, b1, b2, b0) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, b1 - (g1 * (h22 * h00 - h20 * h20) - h12 * (g2 * h00 - h20 * g0) + h10 * (g2 * h20 - h22 * g0)) / {_DET},
+    b2 - (h11 * (g2 * h00 - h20 * g0) - g1 * (h12 * h00 - h20 * h10) + h10 * (h12 * g0 - g2 * h10)) / {_DET},
+    b0 - (h11 * (h22 * g0 - g2 * h20) - h12 * (h12 * g0 - g2 * h10) + g1 * (h12 * h20 - h22 * h10)) / {_DET}
+  FROM newton, LATERAL (
+    SELECT b1 + sum(w * (p - y) * x1) AS g1, b2 + sum(w * (p - y) * x2) AS g2, b0 + sum(w * (p - y)) AS g0,
+      1 + sum(w * p * (1 - p) * x1 * x1) AS h11, 1 + sum(w * p * (1 - p) * x2 * x2) AS h22, 1 + sum(w * p * (1 - p)) AS h00,
+      sum(w * p * (1 - p) * x1 * x2) AS h12, sum(w * p * (1 - p) * x1) AS h10, sum(w * p * (1 - p) * x2) AS h20
+    FROM (SELECT *, 1 / (1 + exp(-(b1 * x1 + b2 * x2 + b0))) AS p FROM d) q) s
+  WHERE step < 15),
+fitted AS (SELECT b1, b2, b0 FROM newton WHERE step = 15)"""
+_FITTED_ROWS = ("rows_ AS (SELECT 0 AS position, 'age10' AS feature, b1 AS coefficient FROM fitted UNION ALL SELECT 1, 'chol50', b2 FROM fitted"
+                " UNION ALL SELECT 2, '(intercept)', b0 FROM fitted)")
+
+
+def two_features(spark, sf):
+    df = derived.patients(spark, sf).select("target", *[F.expr(e).alias(c) for c, e in _TWO.items()])
+    return df, train.fit(df, list(_TWO), "target", train.LogisticSpec(1.0, "l2", "liblinear", 100, "balanced"))
+
+
+@query("lr_fit_two", f"WITH RECURSIVE {_NEWTON}, {_FITTED_ROWS} SELECT position, feature, round(coefficient, 6) AS coefficient FROM rows_")
+def lr_fit_two(spark, sf):
+    return rounded(two_features(spark, sf)[1].to_table(spark), 6)
+
+
+@query("accuracy_two", f"WITH RECURSIVE {_NEWTON} SELECT count(*) AS n, round(avg(CASE WHEN (b1 * x1 + b2 * x2 + b0 >= 0) = (y = 1) THEN 1.0e0"
+                       " ELSE 0.0e0 END), 9) AS accuracy FROM d, fitted")
+def accuracy_two(spark, sf):
+    df, model = two_features(spark, sf)
+    return rounded(train.accuracy(df, model, "target"), 9)
+
+
+@query("importances_two", f"WITH RECURSIVE {_NEWTON}, {_FITTED_ROWS} SELECT feature, round(abs(coefficient), 6) AS importance FROM rows_"
+                          " WHERE position < 2")
+def importances_two(spark, sf):
+    return rounded(select.importances(spark, two_features(spark, sf)[1]), 6)
+
+
+@query("importance_select_two", f"WITH RECURSIVE {_NEWTON}, {_FITTED_ROWS} SELECT feature FROM rows_ WHERE position < 2 AND abs(coefficient)"
+                                " > 0.5 * (SELECT sum(abs(coefficient)) FROM rows_ WHERE position < 2)")
+def importance_select_two(spark, sf):
+    kept = select.select_by_importance(two_features(spark, sf)[1], 0.5)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
 @query("rfe")
 def rfe(spark, sf):
     x, names = training_features(spark, sf)
@@ -1074,8 +1144,11 @@ def prediction_stream(spark, sf) -> DataFrame:
 
 @query("stream_last_n", f"WITH {_LAST} SELECT model, {_STATS} FROM last_n GROUP BY model")
 def stream_last_n(spark, sf):
-    state = scratch_path(spark, "last-n")
-    q = runner.finish(stream_monitor.stream_last_n(prediction_stream(spark, sf), state, scratch_path(spark, "checkpoint")))
+    state, landing = scratch_path(spark, "last-n"), scratch_path(spark, "landing")
+    events = derived.table(spark, sf, "events")
+    events.repartitionByRange(5, "ts").write.parquet(landing)
+    files = runner.read_table_stream(spark, landing, "*.parquet", events.schema, max_files=1)
+    q = runner.finish(stream_monitor.stream_last_n(derived.predictions_of(files), state, scratch_path(spark, "checkpoint")))
     return rounded(monitor.window_stats(stream_monitor.last_state(q, spark, state)), 9)
 
 

@@ -45,7 +45,8 @@ def read_patients(spark: SparkSession, path: str, schema: T.StructType = PATIENT
         fields = [declared.get(c, T.StructField(c, T.StringType())) for c in names]
         reader = spark.read.option("header", True).option("enforceSchema", False)
         if corrupt:
-            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+            # Without pruning, or lines would be judged by the columns that a query asks for.
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
             fields = [*fields, T.StructField(CORRUPT, T.StringType())]
         parts.append(reader.schema(T.StructType(fields)).csv(files))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -54,8 +55,9 @@ def read_patients(spark: SparkSession, path: str, schema: T.StructType = PATIENT
 
 def _headers(spark: SparkSession, path: str, header: list[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by header. The lines are scanned once, without parsing, for the first one of each file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    first = (lines.where("start = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                        F.monotonically_increasing_id().alias("at"))
+    first = (lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
              .groupBy("line").agg(F.collect_list("file").alias("files")).collect())
     if len(first) <= 1:
         return {tuple(header): [path]}
@@ -67,8 +69,9 @@ def _headers(spark: SparkSession, path: str, header: list[str]) -> dict[tuple[st
 
 
 def malformed(df: DataFrame) -> DataFrame:
-    """One row ``(n_rows, n_malformed)`` of a table read with ``corrupt``."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("n_malformed"))
+    """One row of a table read with ``corrupt``: ``n_rows``, ``n_malformed``, and per column how many values were read."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("n_malformed"),
+                  *[F.count(c).alias(f"n_{c}") for c in df.columns if c != CORRUPT])
 
 
 def validate_schema(df: DataFrame, expected: list[str] | None = None) -> bool:

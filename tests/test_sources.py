@@ -101,3 +101,14 @@ def test_numbers_in_payloads(spark):
     assert [r.age for r in rows] == [55, 55, 55, None, None, None, None, None, None]
     assert [r.invalid for r in rows] == [[], [], [], ["age"], ["age"], ["age"], [], ["age"], ["age"]]
     assert all(r.missing == [] and r.valid_json and r.oldpeak == 1.0 for r in rows)
+
+
+def test_csv_files_with_different_headers_and_bad_lines(spark, tmp_path):
+    from clinrisk.sources.patients import malformed, read_patients
+
+    (tmp_path / "a.csv").write_text("age,sex,note\n50,1,x\n60,0,\"y, z\"\n")
+    (tmp_path / "b.csv").write_text("sex,age\n1,70\n0\n1,80,9\n1,old\n")
+    df = read_patients(spark, str(tmp_path), corrupt=True)
+    rows = {(r.age, r.sex, r.note) for r in df.where("_corrupt_record IS NULL").collect()}
+    assert rows == {(50, 1, "x"), (60, 0, "y, z"), (70, 1, None)}
+    assert malformed(df).first().asDict() == {"n_rows": 6, "n_malformed": 3, "n_age": 4, "n_sex": 6, "n_note": 2}

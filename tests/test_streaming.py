@@ -105,3 +105,17 @@ def test_scoring_stream_and_reload(spark, scorer, tmp_path):  # noqa: F811
     versions = {r["id"]: r["model_version"] for r in spark.read.parquet(reloaded).collect()}
     assert len(versions) == 21 and versions[0] == "1.0.0" and versions[99] == "1.0.1"
     assert MODEL.features == ["f_a"]
+
+
+def test_a_missing_state_stops_the_stream_and_old_states_go(spark, landing):
+    import os
+
+    from pyspark.errors import StreamingQueryException
+
+    folder, _ = landing
+    state, cp = scratch_path(spark, "state"), scratch_path(spark, "cp")
+    runner.finish(SM.stream_last_n(stream_of(spark, folder), state, cp, n=25))
+    assert sorted(os.listdir(state)) == ["batch=3", "batch=4"]
+    spark.createDataFrame(rows(10), SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(StreamingQueryException):
+        runner.finish(SM.stream_last_n(stream_of(spark, folder), scratch_path(spark, "lost"), cp, n=25))
