@@ -12,7 +12,7 @@ from clinrisk.catalog import sql as Q
 from clinrisk.functions import features as X
 from clinrisk.functions import scoring as S
 from clinrisk.operators import (
-    eventlog, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train,
+    eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train,
 )
 from clinrisk.plans.training import TrainConfig
 from clinrisk.plans.training import train as train_plan
@@ -550,6 +550,57 @@ def lr_fit_l1(spark, sf):
     return rounded(fitted_model(spark, sf, penalty="l1", C=0.1).to_table(spark), 5)
 
 
+# ------------------------------------------------------------------------------------------ exploration
+
+@query("impute", f"WITH {Q.RAW} SELECT patient_id, coalesce(CAST(age AS DOUBLE), (SELECT quantile_cont(age, 0.5) FROM raw)) AS age,"
+                 " round(coalesce(CAST(chol AS DOUBLE), (SELECT avg(chol) FROM raw)), 9) AS chol FROM raw")
+def impute(spark, sf):
+    df = derived.patients_raw(spark, sf).select("patient_id", "age", "chol")
+    return rounded(explore.impute(df, {**explore.fit_fill(df, ["age"]), **explore.fit_fill(df, ["chol"], "mean")}), 9, ["chol"])
+
+
+@query("ordinal_codes", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INT) AS o_orderpriority_code FROM orders")
+def ordinal_codes(spark, sf):
+    df = derived.table(spark, sf, "orders")
+    return explore.ordinal_encode(df, explore.fit_ordinal(df, ["o_orderpriority"])).select("o_orderkey", "o_orderpriority_code")
+
+
+@query("histogram", """WITH b AS (SELECT CAST(min(l_quantity) AS DOUBLE) AS lo, CAST(max(l_quantity) AS DOUBLE) AS hi FROM lineitem),
+c AS (SELECT CAST(least(floor((CAST(l_quantity AS DOUBLE) - lo) / ((hi - lo) / 7)), 6) AS INT) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1)
+SELECT CAST(i AS INT) AS bin, round(lo + i * ((hi - lo) / 7), 9) AS lower, round(lo + (i + 1) * ((hi - lo) / 7), 9) AS upper, coalesce(n, 0) AS n
+FROM range(7) r(i) CROSS JOIN b LEFT JOIN c ON c.bin = i""")
+def histogram(spark, sf):
+    return rounded(explore.histogram(derived.table(spark, sf, "lineitem"), "l_quantity", 7), 9)
+
+
+def _tests_sql(c: str) -> str:
+    side = "avg({c}) FILTER (target = {k}) AS m{k}, var_samp({c}) FILTER (target = {k}) / count({c}) FILTER (target = {k}) AS e{k}, " \
+           "count({c}) FILTER (target = {k}) AS n{k}"
+    return (f"SELECT '{c}' AS \"column\", round(r, 9) AS r, round((m1 - m0) / sqrt(e0 + e1), 6) AS t,"
+            f" round((e0 + e1) * (e0 + e1) / (e0 * e0 / (n0 - 1) + e1 * e1 / (n1 - 1)), 4) AS freedom FROM (SELECT corr({c}, target) AS r, "
+            + side.format(c=c, k=0) + ", " + side.format(c=c, k=1) + " FROM raw)")
+
+
+@query("label_tests", f"WITH {Q.RAW} " + " UNION ALL ".join(map(_tests_sql, CONTINUOUS)))
+def label_tests(spark, sf):
+    out = explore.label_tests(derived.patients_raw(spark, sf), CONTINUOUS, "target")
+    return out.select("column", F.round("r", 9).alias("r"), F.round("t", 6).alias("t"), F.round("freedom", 4).alias("freedom"))
+
+
+@query("chi_square", f"WITH {Q.RAW}, k AS (SELECT cp, target, CAST(count(*) AS DOUBLE) AS o FROM raw WHERE cp IS NOT NULL GROUP BY ALL),"
+       " g AS (SELECT a.cp, b.target, a.n * b.n / (SELECT sum(o) FROM k) AS e FROM (SELECT cp, sum(o) AS n FROM k GROUP BY 1) a,"
+       " (SELECT target, sum(o) AS n FROM k GROUP BY 1) b) SELECT CAST(sum(coalesce(o, 0)) AS BIGINT) AS n,"
+       " round(sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e), 6) AS statistic,"
+       " CAST((count(DISTINCT cp) - 1) * (count(DISTINCT target) - 1) AS BIGINT) AS freedom,"
+       " round(sqrt(sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) / sum(coalesce(o, 0)) / (least(count(DISTINCT cp), count(DISTINCT target)) - 1)), 9)"
+       " AS cramers_v FROM g LEFT JOIN k USING (cp, target)")
+def chi_square(spark, sf):
+    out = explore.chi_square(derived.patients_raw(spark, sf), "cp", "target")
+    return out.select("n", F.round("statistic", 6).alias("statistic"), "freedom", F.round("cramers_v", 9).alias("cramers_v"))
+
+
+# ------------------------------------------------------------------------------------------ fits
+
 # Two features and an intercept, small enough for Newton steps in SQL: penalised log-loss with balanced class weights.
 _TWO = {"age10": "(age - 50) / 10.0e0", "chol50": "(chol - 240) / 50.0e0"}
 _DET = "(h11 * (h22 * h00 - h20 * h20) - h12 * (h12 * h00 - h20 * h10) + h10 * (h12 * h20 - h22 * h10))"
