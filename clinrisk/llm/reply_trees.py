@@ -2,7 +2,7 @@
 
 Messages name their parent. Branches are enumerated by self-joins that double the distance at every step, so a thread of
 depth d takes about log2(d) joins upwards (depth and score of every leaf) and as many downwards (the messages of the chosen
-branches); no message ever carries its whole path.
+branches); no message ever carries its whole path, and one that has reached its root takes part in no further join.
 """
 
 from __future__ import annotations
