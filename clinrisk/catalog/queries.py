@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -881,7 +882,7 @@ def pr_curve(spark, sf):
     return rounded(metrics.pr_curve(derived.predictions(spark, sf), "probability", "y_true"), 9, ["precision", "recall"])
 
 
-_BIN_EDGES = [float(e) for e in __import__("numpy").linspace(0.0, 1.0, 11)[1:-1]]
+_BIN_EDGES = [float(e) for e in np.linspace(0.0, 1.0, 11)[1:-1]]
 
 
 @query("calibration", f"WITH {Q.PREDICTIONS} SELECT CAST(" + " + ".join(f"CAST(probability > {e!r}e0 AS INT)" for e in _BIN_EDGES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,7 +86,7 @@ class ModelRegistry:
         if not self.versions().where((F.col("model") == name) & (F.col("version") == version)).isEmpty():
             raise ValueError(f"Version exists: {name} v{version}")
         texts = {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in metadata.items()}
-        row = (name, version, created_at or datetime.now(), path, {k: float(v) for k, v in metrics.items()}, texts)
+        row = (name, version, created_at or datetime.now(UTC).replace(tzinfo=None), path, {k: float(v) for k, v in metrics.items()}, texts)
         self.spark.createDataFrame([row], VERSION_SCHEMA).write.mode("append").parquet(f"{self.path}/versions")
         return version
 

@@ -126,14 +126,20 @@ def latency_quantiles(df: DataFrame, quantiles: Sequence[float] = (0.5, 0.95), w
 def held(evaluations: DataFrame, step: timedelta, hold: timedelta) -> DataFrame:
     """Alert periods ``(pending_since, firing_since, resolved_after, n_evaluations)`` from ``(at, breach)`` rows.
 
-    A period is a run of true evaluations one step apart that lasts at least ``hold``. The window runs over the evaluation
-    table, one row per step of covered time.
+    A period is a run of true evaluations one step apart that lasts at least ``hold``. Runs are found and numbered inside
+    days; only a table of one row per day is ordered as a whole, which tells each day the last breach before it and how
+    many runs began.
     """
-    breaches = evaluations.where("breach")
-    previous = F.lag("at").over(Window.orderBy("at"))
+    breaches = evaluations.where("breach").withColumn("_day", F.to_date("at"))
+    inside, days = Window.partitionBy("_day").orderBy("at"), Window.orderBy("_day")
+    last = breaches.groupBy("_day").agg(F.max("at").alias("_last")).select("_day", F.lag("_last").over(days).alias("_before"))
+    previous = F.coalesce(F.lag("at").over(inside), F.col("_before"))
     starts = F.when(previous.isNull() | (F.col("at") - previous > _interval(step)), 1).otherwise(0)
-    numbered = breaches.withColumn("_start", starts).withColumn(
-        "_run", F.sum("_start").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    marked = breaches.join(last, "_day").withColumn("_start", starts)
+    began = F.sum("_begun").over(days.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = marked.groupBy("_day").agg(F.sum("_start").alias("_begun")).select("_day", F.coalesce(began, F.lit(0)).alias("_earlier"))
+    numbered = marked.join(earlier, "_day").withColumn(
+        "_run", F.col("_earlier") + F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("_run").agg(F.min("at").alias("pending_since"), F.max("at").alias("resolved_after"),
                                         F.count(F.lit(1)).alias("n_evaluations"))
     return (runs.where(F.col("resolved_after") - F.col("pending_since") >= _interval(hold))
@@ -190,11 +196,18 @@ def gaps(df: DataFrame, longer_than: timedelta, by: Sequence[str] = (), ts: str
     """``(*by, last_seen, next_seen, gap_seconds)`` of the pauses between neighbouring events longer than a bound.
 
     Two events in the same slot of that width are never further apart, so the first and last time of each slot are enough.
+    The next slot is looked for inside the day; for a day's last slot it is the first one of the next day with events, from
+    a table of one row per day.
     """
     slot = F.window(ts, _text(longer_than))["start"]
     ends = df.groupBy(*by, slot.alias("slot")).agg(F.min(ts).alias("first"), F.max(ts).alias("last_seen"))
-    following = F.lead("first").over(Window.partitionBy(*by).orderBy("slot"))
-    pauses = ends.withColumn("next_seen", following).where(F.col("next_seen") - F.col("last_seen") > _interval(longer_than))
+    ends = ends.withColumn("_day", F.to_date("slot")).withColumn("_group", F.struct(*by) if by else F.lit(0))
+    after = (ends.groupBy("_group", "_day").agg(F.min("first").alias("_first"))
+             .withColumn("_after", F.lead("_first").over(Window.partitionBy("_group").orderBy("_day"))).drop("_first"))
+    after = after.select(F.col("_group").alias("_g"), F.col("_day").alias("_d"), "_after")
+    joined = ends.join(after, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_day") == F.col("_d")))
+    following = F.coalesce(F.lead("first").over(Window.partitionBy("_group", "_day").orderBy("slot")), F.col("_after"))
+    pauses = joined.withColumn("next_seen", following).where(F.col("next_seen") - F.col("last_seen") > _interval(longer_than))
     seconds = (F.col("next_seen").cast("timestamp").cast("double") - F.col("last_seen").cast("timestamp").cast("double"))
     return pauses.select(*by, "last_seen", "next_seen", seconds.alias("gap_seconds"))
 
