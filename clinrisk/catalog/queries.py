@@ -767,8 +767,8 @@ _OK = f"NOT ({_BAD_JSON} OR {_NO_AGE} OR {_WRONG_AGE} OR {_NULL_INPUT})"
 @query("score_payloads", f"WITH {Q.STATS}, raw AS (SELECT patient_id, "
        + ", ".join(f"{Q.faulty(c, 'patient_id', c)} AS {c}" for c in PATIENT_COLUMNS)
        + f" FROM patients), scored AS ({Q.scored_from('raw', '*')}) SELECT patient_id AS payload_id,"
-       f" CAST(CASE WHEN {_BAD_JSON} OR {_NO_AGE} OR {_WRONG_AGE} THEN 400 WHEN {_NULL_INPUT} THEN 500 ELSE 200 END AS INT) AS status,"
-       f" CASE WHEN {_BAD_JSON} THEN 'Invalid JSON' WHEN {_NO_AGE} OR {_WRONG_AGE} THEN 'Validation failed' WHEN {_NULL_INPUT} THEN"
+       f" CAST(CASE WHEN {_BAD_JSON} OR {_NO_AGE} THEN 400 WHEN {_NULL_INPUT} OR {_WRONG_AGE} THEN 500 ELSE 200 END AS INT) AS status,"
+       f" CASE WHEN {_BAD_JSON} THEN 'Invalid JSON' WHEN {_NO_AGE} THEN 'Validation failed' WHEN {_NULL_INPUT} OR {_WRONG_AGE} THEN"
        " 'Input has no value for a numeric field' END AS error,"
        f" CASE WHEN {_BAD_JSON} THEN NULL WHEN {_NO_AGE} THEN 'Missing required field: age'"
        f" WHEN {_WRONG_AGE} THEN 'Invalid value for field: age' END AS details,"
