@@ -14,6 +14,7 @@ from clinrisk.scratch import scratch_path
 
 # What separates words: space and \x09-\x0D. ``bytes.split()`` splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,12 +39,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches hold at most BATCH_BYTES: they stand several times in memory, in Spark and in Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def mapped(df: DataFrame, schema: str | StructType, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``each`` over Arrow batches. A batch is bounded in bytes by Spark, so long texts do not add up."""
+    """``each`` over Arrow batches, which are bounded in bytes, so long texts do not add up."""
     def run(batches):
         for batch in batches:
             yield from each(batch)
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def binaries(values: list[bytes]) -> pa.Array:

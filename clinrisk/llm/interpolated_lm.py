@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinrisk.llm.common import Joined, landed, mapped, mixed, pair_hash, text_bytes
+from clinrisk.llm.common import Joined, landed, mapped, mixed, pair_hash, small_batches, text_bytes
 
 # Text of a chunk, and distinct words and bigrams of a bucket over all chunks: what a task holds.
-CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+ROWS_AT_ONCE = 1000
 START, END = mixed(np.array([11, 13], np.uint64))
 # Cells of the histogram that EM runs on: context frequencies by powers of two, probabilities ten to a decade.
 CONTEXTS, CELLS, DECADES = 40, 121, 12
@@ -69,6 +70,19 @@ def planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts as planes of as many bytes as the largest needs, after one byte that says how many."""
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + counts.astype("<u8").view(np.uint8).reshape(len(counts), 8)[:, :width].T.tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def unplanes(data: bytes, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
@@ -82,7 +96,7 @@ def _chunked(docs: DataFrame, schema: str, emit) -> DataFrame:
     def run(batches):
         part, seq, held = TaskContext.get().partitionId(), 0, ([], [], [])
         size = 0
-        for batch in batches:
+        for batch in (b.slice(low, ROWS_AT_ONCE) for b in batches for low in range(0, b.num_rows, ROWS_AT_ONCE)):
             for key, text, trained in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 for column, value in zip(held, (key, trained, text)):
                     column.append(value)
@@ -93,7 +107,7 @@ def _chunked(docs: DataFrame, schema: str, emit) -> DataFrame:
         if held[0]:
             yield from emit(_name(part, seq, held[2]), *held)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _name(part: int, seq: int, texts: list[bytes]) -> str:
@@ -123,7 +137,7 @@ def add_up(group: pa.Table) -> pa.Table:
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, counts, len(distinct)).astype(np.uint64)
     ends = np.cumsum([len(k) for k in keys])
-    out = [planes(total[at[e - len(k):e]]) for k, e in zip(keys, ends)]
+    out = [narrow(total[at[e - len(k):e]]) for k, e in zip(keys, ends)]
     n = len(out) + 1
     return pa.table({
         "chunk": pa.array([*group.column("chunk").to_pylist(), None], pa.string()), "kind": pa.array([kind] * n, pa.int32()),
@@ -199,7 +213,7 @@ def score_texts(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
             raise RuntimeError("the documents were not read in the same partitions twice")
         chunk = Chunk(left.column("text").to_pylist(), buckets)
         order = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        total = [np.concatenate([unplanes(t, np.uint64) for t, k in zip(order.column("totals").to_pylist(), order.column("kind").to_pylist()) if k == want])
+        total = [np.concatenate([widened(t) for t, k in zip(order.column("totals").to_pylist(), order.column("kind").to_pylist()) if k == want])
                  for want in (0, 1)]
         if len(total[0]) != len(chunk.words) or len(total[1]) != len(chunk.grams):
             raise RuntimeError("a chunk's counts do not fit its words")
@@ -208,7 +222,7 @@ def score_texts(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
         base = np.log10((n_word + 1.0) / (n + v + 1.0))
         per = lambda weights: np.bincount(chunk.text, weights, chunk.n_texts)
         ends = np.cumsum(np.bincount(chunk.text, minlength=chunk.n_texts))[:-1]
-        cut = lambda x: [planes(p) for p in np.split(x.astype(np.uint64), ends)]
+        cut = lambda x: [narrow(p) for p in np.split(x.astype(np.uint64), ends)]
         return pa.table({
             "doc_id": left.column("doc_id"), "trained": left.column("trained"),
             "n_tokens": pa.array(per(None).astype(np.int64)), "n_known": pa.array(per((n_word > 0).astype(float)).astype(np.int64)),
@@ -218,7 +232,11 @@ def score_texts(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
     counted = landed(sent.groupBy("chunk").cogroup(returned.groupBy("chunk")).applyInArrow(meet, STREAM.format(kind)), "counted")
 
     def cells(batch: pa.RecordBatch):
-        gram, word, context = (np.concatenate([unplanes(x, np.uint64) for x in batch.column(c).to_pylist()] or [np.empty(0, np.uint64)]).astype(float)
+        for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield from some_cells(batch.slice(low, ROWS_AT_ONCE))
+
+    def some_cells(batch: pa.RecordBatch):
+        gram, word, context = (np.concatenate([widened(x) for x in batch.column(c).to_pylist()] or [np.empty(0, np.uint64)]).astype(float)
                                for c in ("n_gram", "n_word", "n_context"))
         # Each token is left out of the counts that predict it.
         rest = context - 1
@@ -231,15 +249,19 @@ def score_texts(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
     mixtures = learn_mixtures([(r["cell"] // CELLS**2, r["cell"] // CELLS % CELLS, r["cell"] % CELLS, r["n"]) for r in found], 1 / (v + 1))
 
     def scored(batch: pa.RecordBatch):
+        for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield some_scored(batch.slice(low, ROWS_AT_ONCE))
+
+    def some_scored(batch: pa.RecordBatch):
         score = []
         for texts in zip(*(batch.column(c).to_pylist() for c in streams)):
-            gram, word, context = (unplanes(x, np.uint64).astype(float) for x in texts)
+            gram, word, context = (widened(x).astype(float) for x in texts)
             a, b, c = mixtures[_context(context)].T
             p = a * gram / np.maximum(context, 1) + b * word / max(n, 1) + c / (v + 1)
             # A context never seen has no bigram part: what that would get is shared by the others.
             p = np.where(context > 0, p, (b * word / max(n, 1) + c / (v + 1)) / (b + c)) if n else np.ones(len(p))
             score.append(float(np.log10(p).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "trained", "n_tokens", "n_known", "base")), pa.array(score, pa.float64())],
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "trained", "n_tokens", "n_known", "base")), pa.array(score, pa.float64())],
                                          ["doc_id", "trained", "n_tokens", "n_known", "base", "score"])
 
     out = mapped(counted, f"doc_id {kind}, trained boolean, n_tokens long, n_known long, base double, score double", scored)
