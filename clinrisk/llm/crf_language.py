@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinrisk.llm.common import mapped, slices
+from clinrisk.llm.common import mapped, slices, small_batches
 
 # Bounds of the fit: documents, and fragments of each, spread evenly over its whole text.
 MAX_LABELLED, FRAGMENTS, FRAGMENT_WORDS = 2000, 4, 40
@@ -275,5 +275,5 @@ def label_languages(docs: DataFrame, train: Column, limit: int = MAX_LABELLED) -
             [keys, pa.array(langs), pa.array(scores), pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())])))],
             ["doc_id", "lang_pred", "score", "runs"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(
         run, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang: string, words: bigint>>")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinrisk.llm.common import Joined, landed, mapped, mixed, pair_hash, slices, text_bytes
+from clinrisk.llm.common import Joined, landed, mapped, mixed, pair_hash, slices, small_batches, text_bytes
 from clinrisk.llm.components import connected
 
 # 20 bands of 5: a pair of similarity 0.85 shares no band with a chance of 1e-5, one of 0.9 of 1e-8.
@@ -265,7 +265,7 @@ def _in_blocks(members: DataFrame, work, schema: str) -> DataFrame:
         for whole in _groups(batches):
             yield from work(whole)
 
-    return placed.mapInArrow(run, schema)
+    return small_batches(placed).mapInArrow(run, schema)
 
 
 def _groups(batches) -> Iterator[pa.Table]:
