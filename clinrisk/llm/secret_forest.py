@@ -1,8 +1,8 @@
 """Secret scans: candidate strings, and a random forest that takes false findings out.
 
-A candidate is a word of at least MIN_LENGTH characters, without quotes and brackets, with a digit or of a known key's form. The forest sees its
-length, its changes between kinds of characters, how much of it is dictionary words, its path separators and its
-neighbouring words. All of it is SQL expressions and Spark ML.
+A candidate is a run of at least MIN_LENGTH characters without quotes, brackets and separators, with a digit, of a known key's form
+or assigned to a secret's name; a word has as many as stand in it. The forest sees its length, its changes between kinds of characters, how much
+of it is dictionary words, its path separators and its neighbouring words. All of it is SQL expressions and Spark ML.
 """
 
 from __future__ import annotations
@@ -26,31 +26,59 @@ KEYWORD = "(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|priv
 FEATURES = ["length", "digits", "uppers", "lowers", "hex", "distinct", "transitions", "longest_run", "coverage", "slashes", "dots", "ats", "dashes",
             "keyword", "assigned", "after_words"]
 KNOWN = "(?:AKIA|ASIA)[A-Z0-9]{16}"
-_CORE = f"{KNOWN}|[A-Za-z0-9+/=_.@:~%-]*[0-9][A-Za-z0-9+/=_.@:~%-]*"
+# What a secret's name looks like, what may stand between a name and its value, and an assigned value. Repetitions are bounded or possessive,
+# so that a long word takes time in proportion to its length.
+_NAME = r"[A-Za-z0-9_.-]{0,40}?(?i:token|secret|passw|pwd|api.?key|access.?key|auth(?!ors?(?:[^a-z]|$))|credential|private)[A-Za-z0-9_.-]{0,40}"
+_OPENING = r"[\"'`\\(\[]"
+_TO_VALUE = rf"[\"'`\\]*+\]?[=:]++>?{_OPENING}*+"
+_CLOSED = r"\s\"'`\\<>,;&(){}\[\]|#"
+_VALUE = f"[^{_CLOSED}=:$][^{_CLOSED}]*+"
+_ASSIGNED = f"{_NAME}{_TO_VALUE}{_VALUE}"
+_PIECE = f"{KNOWN}|{_ASSIGNED}|(?:[A-Za-z][A-Za-z_.-]{{0,80}}+{_TO_VALUE})?[A-Za-z0-9+/_.@~%-][A-Za-z0-9+/=_.@:~%-]*+"
+_NAMED = f"^({_NAME}|[A-Za-z][A-Za-z_.-]*+){_TO_VALUE}((?s:.+))$"
+# Inside a run, a secret's name with a value or a known key begins a candidate of its own.
+_BREAK = rf"(?<=[=:+/@~%(\[\"'`\\])(?={_NAME}{_TO_VALUE}[^{_CLOSED}]{{{MIN_LENGTH}}})|(?<=[+/@~%])(?={KNOWN}(?![A-Za-z0-9]))"
+# The end of the two words before an assigned value.
+_AWAITING = rf"{_NAME}[\"'`\\]*+\]? ?[=:]++>?{_OPENING}*+$"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, position, word, name, value, before, after of every candidate.
 
-    ``name`` is what stands before ``=`` or ``:`` in the word; ``before`` the two words before it. Every word is looked at
-    once, in its place in the array of the text's words, and the text itself is not carried along.
+    ``position`` is the number of the word that a candidate stands in, ``word`` the candidate with its name. ``name`` is what
+    ``=`` or ``:`` assigns it to, also across quotes; ``before`` the two words before it, or the run before it in its word.
+    Every word is looked at once, in its place in the array of the text's words, and the text itself is not carried along.
     """
     words = F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+")
 
     def found(array: Column) -> Column:
-        one = lambda w, i: F.when(
-            (F.length(w) >= MIN_LENGTH) & w.rlike(f"[0-9]|{KNOWN}"),
-            F.struct(i.alias("position"), w.alias("word"), F.concat_ws(" ", F.get(array, i - 2), F.get(array, i - 1)).alias("before"),
-                     F.get(array, i + 1).alias("after")))
+        def one(w: Column, i: Column) -> Column:
+            before = F.concat_ws(" ", F.get(array, i - 2), F.get(array, i - 1))
+            awaited = F.coalesce(F.get(array, i - 1).rlike(f"[=:]>?{_OPENING}*+$") & before.rlike(_AWAITING), F.lit(False))
+            parts = F.regexp_replace(w, _BREAK, " ")
+            pieces = F.when(awaited, F.regexp_extract_all(parts, F.lit(f"^{_OPENING}*+{_VALUE}|{_PIECE}"), 0)).otherwise(
+                F.regexp_extract_all(parts, F.lit(_PIECE), 0))
+            assigned = w.rlike("[=:]") & w.rlike(_ASSIGNED)
+            return F.when((F.length(w) >= MIN_LENGTH) & (w.rlike(f"[0-9]|{KNOWN}") | assigned | awaited),
+                          F.struct(i.alias("position"), before.alias("before"), F.get(array, i + 1).alias("after"), awaited.alias("awaited"),
+                                   pieces.alias("pieces")))
         return F.filter(F.transform(array, one), lambda x: x.isNotNull())
 
+    def parted(c: Column) -> Column:
+        def one(piece: Column, j: Column) -> Column:
+            return F.struct(c["position"].alias("position"), piece.alias("word"),
+                            F.when(j == 0, c["before"]).otherwise(F.get(c["pieces"], j - 1)).alias("before"),
+                            F.coalesce(F.get(c["pieces"], j + 1), c["after"]).alias("after"), (c["awaited"] & (j == 0)).alias("awaited"))
+        return F.filter(F.transform(c["pieces"], one), lambda x: F.length(x["word"]) >= MIN_LENGTH)
+
     parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("_words"))
-    rows = parts.select("doc_id", "text_hash", F.explode(found(F.col("_words"))).alias("c")).select("doc_id", "text_hash", "c.*")
-    core = F.rtrim(F.regexp_extract("word", _CORE, 0), F.lit(".:"))
-    named = "^([A-Za-z][A-Za-z_.-]*)[=:]+(.+)$"
-    rows = rows.withColumn("core", core).withColumn("name", F.regexp_extract("core", named, 1))
-    value = F.when(F.col("name") != "", F.regexp_extract("core", named, 2)).otherwise(F.col("core"))
-    return (rows.withColumn("value", value).where(F.length("value") >= MIN_LENGTH)
+    rows = parts.select("doc_id", "text_hash", F.explode(found(F.col("_words"))).alias("c"))
+    rows = rows.select("doc_id", "text_hash", F.explode(parted(F.col("c"))).alias("c")).select("doc_id", "text_hash", "c.*")
+    core = F.regexp_replace(F.rtrim("word", F.lit(".:")), f"^{_OPENING}+", "")
+    rows = rows.withColumn("core", core).withColumn("name", F.regexp_extract("core", _NAMED, 1))
+    rows = rows.withColumn("value", F.when(F.col("name") != "", F.regexp_extract("core", _NAMED, 2)).otherwise(F.col("core")))
+    wanted = F.col("value").rlike(f"[0-9]|{KNOWN}") | F.col("awaited") | F.col("name").rlike(f"^{_NAME}$")
+    return (rows.where((F.length("value") >= MIN_LENGTH) & wanted)
             .select("doc_id", "text_hash", "position", "word", "name", "value", "before", "after"))
 
 
