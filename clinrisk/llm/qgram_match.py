@@ -27,10 +27,27 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(text: bytes) -> bytes:
-    """A-Z lower-cased and each white-space byte a space, byte for byte; zero bytes, which part documents, become spaces."""
+    """UTF-8 with its case folded and each white-space byte a space; zero bytes, which part documents, become spaces."""
+    if not text.isascii():
+        text = text.decode("utf-8", "replace").casefold().encode()
     return text.translate(_PLAIN).replace(b"\0", b" ")
 
 
+class Offsets:
+    """From byte offsets in ``plain(text)`` to character offsets in ``text``, whose folded characters can be longer or several."""
+
+    def __init__(self, text: bytes):
+        self.ends = None if text.isascii() else np.cumsum([len(c.casefold().encode()) for c in text.decode("utf-8", "replace")])
+
+    def start(self, at: int) -> int:
+        """The character that byte ``at`` belongs to."""
+        return at if self.ends is None else int(np.searchsorted(self.ends, at, "right"))
+
+    def end(self, at: int) -> int:
+        """The first character that begins at byte ``at`` or later."""
+        return at if self.ends is None else int(np.searchsorted(self.ends, at, "left")) + 1 if at else 0
+
+
 def grams(data: bytes) -> np.ndarray:
     """All runs of Q = 8 bytes as 64-bit integers."""
     n = len(data) - Q + 1
@@ -108,7 +125,7 @@ class Index:
         return cls(patterns, owner, distinct, np.append(first, len(gram)), pattern[order], position[order], bits, present, edits)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, object, int, int, int]]:
-        """(text, item, start, end, edits) in bytes: for each text and item the occurrence with fewest edits, the first of equals."""
+        """(text, item, start, end, edits) in bytes of the plain texts: for each text and item the occurrence with fewest edits, the first of equals."""
         out: dict[tuple[int, object], tuple[int, int, int]] = {}
         for low, high in slices(texts):
             for text, pattern, start, end, edits in self._find([plain(t) for t in texts[low:high]]):
@@ -195,7 +212,7 @@ def indexes(benchmark: DataFrame, edit_rate: float = EDIT_RATE, max_bytes: int =
 def passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
     """doc_id, item_id, start, end, edits of every row of ``docs`` and benchmark item that occurs in it.
 
-    Start and end are character offsets of the best occurrence. Rows without a passage, empty and NULL texts among them, are
+    Case is that of Unicode's folding. Start and end are character offsets of the best occurrence. Rows without a passage, empty and NULL texts among them, are
     not returned; repeated rows are each looked at. At most one edit in ten bytes is tolerated.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
@@ -206,10 +223,10 @@ def passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
         def each(batch: pa.RecordBatch, index: Index = index):
             texts = text_bytes(batch.column(1))
             hits = index.find(texts)
-            chars = lambda t, n: len(texts[t][:n].decode("utf-8", "replace"))
+            offsets = {t: Offsets(texts[t]) for t in {h[0] for h in hits}}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], _arrow[kinds[1].simpleString()]),
-                 pa.array([chars(h[0], h[2]) for h in hits], pa.int64()), pa.array([chars(h[0], h[3]) for h in hits], pa.int64()),
+                 pa.array([offsets[h[0]].start(h[2]) for h in hits], pa.int64()), pa.array([offsets[h[0]].end(h[3]) for h in hits], pa.int64()),
                  pa.array([h[4] for h in hits], pa.int32())],
                 ["doc_id", "item_id", "start", "end", "edits"])
 

@@ -186,3 +186,14 @@ def test_passages_odd_inputs(spark, odd, empty, monkeypatch):
     assert clean.columns == docs.columns and clean.where("doc_id IN (3, 90, 91)").count() == 0 and clean.where("doc_id IS NULL").count() == 3
     assert qgram_match.passages(empty, items).count() == 0 and qgram_match.passages(odd, items.where("false")).count() == 0
     assert qgram_match.without_passages(odd, items.where("false")).count() == odd.count()
+
+
+def test_passages_in_other_case_are_found_beyond_ascii(spark):
+    texts = ["Les élèves préférés répètent très sérieusement là-bas où l'été dernier régnait, déjà, une fièvre générale et éphémère",
+             "Съешь же ещё этих мягких французских булок, да выпей чаю", "Οδυσσέας και Πηνελόπη, ο νόστος της θάλασσας", "Die Straße ist größer, weißer und heißer als außen am Fluß"]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    docs = frame(spark, [(i, f"É ß {i} vor " + t.upper() + " NACH É", "xx") for i, t in enumerate(texts)] + [(9, "É ß nothing of these is in here, not in any case at all")])
+    rows = {(r.doc_id, r.item_id): r for r in qgram_match.passages(docs, items).collect()}
+    assert set(rows) == {(i, i) for i in range(4)} and not any(r.edits for r in rows.values())
+    assert all(f"É ß {i} vor {t.upper()} NACH É"[rows[i, i].start:rows[i, i].end] == t.upper() for i, t in enumerate(texts))
+    assert [r.doc_id for r in qgram_match.without_passages(docs, items).collect()] == [9]
