@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from clinrisk.llm.common import LOWER, UPPER, landed
 
 MIN_LENGTH = 8
-# Bounds of the fit: labelled findings, taken by the order of a hash; words of the dictionary and how often each must occur.
+# Bounds of the fit: distinct labelled findings, taken by the order of a hash within each label; words of the dictionary and how often each must occur.
 MAX_LABELLED, DICTIONARY_WORDS, MIN_COUNT = 20_000, 500, 5
 SECRET_AT, MASK = 0.5, "[SECRET]"
 TREES, DEPTH, SEED = 30, 6, 11
@@ -128,22 +128,36 @@ def label_rules() -> Column:
             .when((F.length(F.regexp_replace(value, "[^0-9]", "")) * 5 <= F.length(value)) & ~assigned, 0))
 
 
+def _sample(labelled: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` distinct labelled findings by the order of a hash: half of each label, or more of one if the other has fewer.
+
+    Copies count once, however many there are.
+    """
+    key = ["name", "value", "before", "after"]
+    distinct = labelled.where(F.col("label").isNotNull()).select(*key, F.col("label").cast("double").alias("label")).distinct()
+    first = [distinct.where(F.col("label") == label).orderBy(F.xxhash64(*key), *key).limit(limit) for label in (0.0, 1.0)]
+    both = landed(first[0].unionByName(first[1]), "labelled")
+    counts = {r["label"]: r["count"] for r in both.groupBy("label").count().collect()}
+    share = {label: max(limit // 2, limit - counts.get(1 - label, 0)) for label in (0.0, 1.0)}
+    first = [both.where(F.col("label") == label).orderBy(F.xxhash64(*key), *key).limit(share[label]) for label in (0.0, 1.0)]
+    return first[0].unionByName(first[1])
+
+
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, limit: int = MAX_LABELLED) -> DataFrame:
     """All candidates of ``docs`` with the forest's score (0 to 1) and verdict ``secret``.
 
     ``findings``: labelled candidates (word, name, value, before, after, label 0 or 1); by default the corpus's own, labelled
-    by ``label_rules``. Without findings of both labels there is no forest, and the verdict is that of the only label, or
-    false. NULL and empty texts have no candidates; repeated rows have theirs each.
+    by ``label_rules``. What is learned depends on distinct findings, not on copies. Without findings of both labels there is
+    no forest, and the verdict is that of the only label, or false. NULL and empty texts have no candidates; repeated rows have theirs each.
     """
     found = landed(candidates(docs), "candidates")
     words = dictionary(found)
     rows = features(found, words)
-    labelled = rows.withColumn("label", label_rules().cast("double")) if findings is None else features(findings, words)
+    labelled = found.withColumn("label", label_rules()) if findings is None else findings
     vector = VectorAssembler(inputCols=[f"f_{c}" for c in FEATURES], outputCol="features")
     names = [f"f_{c}" for c in FEATURES]
-    order = F.xxhash64("value", "before", "after")
-    sample = landed(labelled.where(F.col("label").isNotNull()).withColumn("_order", order).orderBy("_order", "label", *names).limit(limit)
-                    .select(*names, F.col("label").cast("double").alias("label")), "findings")
+    chosen = _sample(labelled, limit)
+    sample = landed(features(chosen, words).select(*names, "label"), "findings")
     seen = {r["label"] for r in sample.select("label").distinct().collect()}
     kept = ["doc_id", "text_hash", "position", "value"]
     if len(seen) < 2:

@@ -169,6 +169,21 @@ def test_secrets_in_one_word_are_all_masked(spark, sf):
     assert not [x for x in secrets if x in after] and after.count(secret_forest.MASK) == 5 and "page=2" in after and "2024-01-05" in after
 
 
+def test_copies_do_not_crowd_findings_out(spark):
+    # 400 copies of every false finding and only a few secrets: any order of copies would fill the sample of 40 with one row.
+    secrets = [f"see password={hashlib.sha256(bytes([i])).hexdigest()[:20]} here" for i in range(8)]
+    false = [f"mail a{i}.bc@mail{i}.example.com to" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(secrets)], "doc_id long, text string")
+    copies = spark.createDataFrame([(100 + i, t) for i, t in enumerate(false)], "doc_id long, text string").crossJoin(spark.range(400)).select("doc_id", "text")
+    both = docs.unionByName(copies)
+    labelled = secret_forest.candidates(both).withColumn("label", secret_forest.label_rules())
+    sample = secret_forest._sample(labelled, 40).collect()
+    assert len(sample) == len({(r["name"], r["value"], r.before, r.after) for r in sample}) == 40
+    assert collections.Counter(r.label for r in sample) == {1.0: 8, 0.0: 32}
+    verdicts = {(r.doc_id, r.secret) for r in secret_forest.find_secrets(both, limit=40).select("doc_id", "secret").distinct().collect()}
+    assert verdicts == {(i, True) for i in range(8)} | {(100 + i, False) for i in range(60)}
+
+
 # ------------------------------------------------------------------------------------------------ reply trees
 
 def best_paths(nodes, top):
