@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from clinrisk.llm.common import SPACES, mapped, slices, text_bytes
 
 Q, EDIT_RATE, MIN_BYTES = 8, 0.1, 24
-# Longer items are looked for in windows, so that a document holding a large part of one is found.
-WHOLE_BYTES, WINDOW_BYTES, STEP_BYTES = 512, 256, 128
+# Items longer than a window are looked for in windows as well, so that a document holding a part of one is found: any run of
+# WINDOW_BYTES + STEP_BYTES - 1 bytes. Over WHOLE_BYTES they are looked for in windows only; from Q to MIN_BYTES - 1 exactly.
+WHOLE_BYTES, WINDOW_BYTES, STEP_BYTES = 512, 112, 28
 # Benchmark text that goes to the tasks at once; a larger benchmark is looked for in as many passes as it takes.
-MAX_INDEX_BYTES = 32 << 20
+MAX_INDEX_BYTES = 4 << 20
 _PLAIN = bytes(32 if b in SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,18 +99,21 @@ class Index:
     bits: int
     present: np.ndarray
     edits: np.ndarray
+    left_out: list[int]
 
     @classmethod
     def of(cls, items: list[tuple[object, bytes]], edit_rate: float = EDIT_RATE) -> Index:
-        patterns, owner = [], []
+        patterns, owner, left_out = [], [], []
         for item, text in items:
             text = plain(text).strip()
-            if len(text) > WHOLE_BYTES:
-                parts = [text[i:i + WINDOW_BYTES] for i in range(0, len(text) - WINDOW_BYTES + STEP_BYTES, STEP_BYTES)]
-            else:
-                parts = [text] if len(text) >= MIN_BYTES else []
+            n = len(text)
+            parts = [text] if Q <= n <= WHOLE_BYTES else []
+            if n > WINDOW_BYTES:
+                parts += [text[i:i + WINDOW_BYTES] for i in [*range(0, n - WINDOW_BYTES, STEP_BYTES), n - WINDOW_BYTES]]
             patterns += parts
             owner += [item] * len(parts)
+            # A window leaves the rest of its item out; of items that are not looked for as a whole, only the window counts.
+            left_out += [n - len(p) if n <= WHOLE_BYTES else 0 for p in parts]
         lengths = np.array([len(p) for p in patterns], np.int64)
         every = [grams(p) for p in patterns]
         pattern = np.repeat(np.arange(len(patterns)), [len(g) for g in every])
@@ -122,7 +126,8 @@ class Index:
         present[(distinct * _ODD) >> np.uint64(64 - bits)] = True
         # As many edits as the rate allows, but so few that the lemma still asks for a q-gram.
         edits = np.minimum((edit_rate * lengths).astype(np.int64), np.maximum((lengths - Q) // Q, 0))
-        return cls(patterns, owner, distinct, np.append(first, len(gram)), pattern[order], position[order], bits, present, edits)
+        edits[lengths < MIN_BYTES] = 0
+        return cls(patterns, owner, distinct, np.append(first, len(gram)), pattern[order], position[order], bits, present, edits, left_out)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, object, int, int, int]]:
         """(text, item, start, end, edits) in bytes of the plain texts: for each text and item the occurrence with fewest edits, the first of equals."""
@@ -155,15 +160,18 @@ class Index:
         band = (at - starts[text] - position + shift) // step
         need = np.array([len(p) for p in self.patterns])[pattern] + 1 - Q * (self.edits[pattern] + 1)
         seen: set[tuple[int, int]] = set()
+        whole: set[tuple[int, object]] = set()
         for t, p, b in self._bands(text, pattern, position, band, need):
-            if (t, p) in seen:
+            if (t, p) in seen or (self.left_out[p] and (t, self.items[p]) in whole):
                 continue
             k = int(self.edits[p])
             found = self._verify(texts[t], p, b * (2 * k + 1) - shift, k)
             if found:
                 if not found[2]:
                     seen.add((t, p))
-                yield t, p, *found
+                if not self.left_out[p]:
+                    whole.add((t, self.items[p]))
+                yield t, p, found[0], found[1], found[2] + self.left_out[p]
 
     @staticmethod
     def _bands(text, pattern, position, band, need):
@@ -195,7 +203,7 @@ class Index:
 def indexes(benchmark: DataFrame, edit_rate: float = EDIT_RATE, max_bytes: int = MAX_INDEX_BYTES) -> list[Callable[[], Index]]:
     """One index for each pass: the benchmark's items (item_id, text), dealt by hash so that none is larger than about ``max_bytes``.
 
-    Each is collected only when its pass is set up. NULL texts and items of under MIN_BYTES are no passages.
+    Each is collected only when its pass is set up. NULL texts and items of under Q bytes are no passages.
     """
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.encode("text", "UTF-8").alias("text"))
     size, most = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
@@ -213,7 +221,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
     """doc_id, item_id, start, end, edits of every row of ``docs`` and benchmark item that occurs in it.
 
     Case is that of Unicode's folding. Start and end are character offsets of the best occurrence. Rows without a passage, empty and NULL texts among them, are
-    not returned; repeated rows are each looked at. At most one edit in ten bytes is tolerated.
+    not returned; repeated rows are each looked at. At most one edit in ten bytes is tolerated. Where only
+    a window of an item of up to WHOLE_BYTES occurs, each byte of the item outside it counts as an edit.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
     out = None
@@ -239,7 +248,7 @@ _arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark item."""
+    """The rows of ``docs``, all columns, whose text holds no benchmark item and no window of one."""
     for make in indexes(benchmark, edit_rate):
         index = make()
 

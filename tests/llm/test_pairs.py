@@ -197,3 +197,17 @@ def test_passages_in_other_case_are_found_beyond_ascii(spark):
     assert set(rows) == {(i, i) for i in range(4)} and not any(r.edits for r in rows.values())
     assert all(f"É ß {i} vor {t.upper()} NACH É"[rows[i, i].start:rows[i, i].end] == t.upper() for i, t in enumerate(texts))
     assert [r.doc_id for r in qgram_match.without_passages(docs, items).collect()] == [9]
+
+
+def test_parts_of_items_and_short_items_are_found():
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)).encode()
+    middle, long, short = words(70), words(300), b"Short item 42"
+    assert 480 < len(middle) <= 512 < len(long)
+    run = qgram_match.WINDOW_BYTES + qgram_match.STEP_BYTES - 1
+    parts = [(1, middle[50:50 + 390]), *((1, middle[i:i + run]) for i in range(0, len(middle) - run, 13)), *((2, long[i:i + run]) for i in range(0, len(long) - run, 13)),
+             (1, middle[-run:]), (3, b"a SHORT  item 42".replace(b"  ", b" ") + b"."), (3, short)]
+    docs = [words(20) + b" " + p + b" " + words(20) for _, p in parts] + [words(30), b"a short item 41 shart item 42 " + words(5), words(3) + b" " + middle]
+    got = {(t, i): (s, e, k) for t, i, s, e, k in Index.of([(1, middle), (2, long), (3, short)]).find(docs)}
+    assert set(got) == {(t, i) for t, (i, _) in enumerate(parts)} | {(len(parts) + 2, 1)}
+    assert got[len(parts) + 2, 1][2] == 0 and all(k > 0 for (t, i), (_, _, k) in got.items() if i == 1 and t < len(parts))
