@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, packing, preference, qgram_match, reply_trees, secret_forest, setsketch, url_filter
+from clinrisk.llm import (boosted_rules, crf_language, hard_negatives, interpolated_lm, packing, preference, qgram_match, reply_trees, secret_forest,
+                          setsketch, url_filter, whitening)
 from clinrisk.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +116,15 @@ def op5_secret_forest(spark, sf):
     found = secret_forest.find_secrets(table(spark, sf, "documents"))
     return found.select("doc_id", F.col("position").cast("long").alias("word_number"), F.length("value").alias("length"),
                         F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
+@query("op12_bit_sliced")
+def op12_bit_sliced(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_packed_negatives")
+def op13_packed_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(rows, "vec_id % 50 = 0")
