@@ -13,7 +13,7 @@ def connected(links: DataFrame) -> DataFrame:
 
     Each round ties a node's neighbours to the smallest node it knows, first the larger neighbours, then the others; the
     number of rounds grows with the logarithm of a component's size. A hub's links are reduced by a partial minimum and
-    joined back, so they need not meet in one task.
+    joined back on the hub; adaptive execution splits that join where the hub's rows are many.
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = landed(ordered, "links"), None
@@ -34,3 +34,18 @@ def connected(links: DataFrame) -> DataFrame:
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % (1 << 31))).first()
     return tuple(row)
+
+
+def components_of(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with component_id, the smallest doc_id reachable by ``links`` (a, b) between ``classes``.
+
+    Rows of one class have equal n_shingles, high and low; a class has those, its node, smallest doc_id (id) and number of
+    copies. A row that is alone has its own doc_id, which may be NULL.
+    """
+    # Classes that are one document and have no link need no label.
+    tied = (classes.join(connected(links), "node", "left").where((F.col("copies") > 1) | F.col("label").isNotNull())
+            .withColumn("label", F.coalesce("label", "node")))
+    smallest = tied.groupBy("label").agg(F.min("id").alias("component_id"))
+    known = tied.join(smallest, "label").where(F.col("component_id").isNotNull()).select("n_shingles", "high", "low", "component_id")
+    out = rows.join(known, ["n_shingles", "high", "low"], "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinrisk.llm import (boosted_rules, crf_language, hard_negatives, interpolated_lm, packing, preference, qgram_match, reply_trees, secret_forest,
+from clinrisk.llm import (boosted_rules, crf_language, hard_negatives, interpolated_lm, packing, partition_join, preference, qgram_match, reply_trees, secret_forest,
                           setsketch, url_filter, whitening)
 from clinrisk.llm.common import fold, table
 
@@ -128,3 +128,8 @@ def op13_packed_negatives(spark, sf):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf, "embeddings").select("vec_id", label.alias("label"), "embedding")
     return hard_negatives.mine(rows, "vec_id % 50 = 0")
+
+
+@query("op11_partition_join")
+def op11_partition_join(spark, sf):
+    return partition_join.similar_sets(table(spark, sf, "documents"), percent=85, size=4)

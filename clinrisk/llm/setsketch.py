@@ -7,25 +7,22 @@
    the wanted similarity plausible are confirmed on the full sets.
 4. What the stars leave open: buckets whose members are still in different components. Their pairs across components are
    compared inside tasks, in blocks, and only links that join two components are given out. So no pair of a bucket goes
-   unexamined, and rows never grow with the square of a bucket.
+   unexamined and no row stands for a pair; but a member of an open bucket of n goes to n / 256 tasks, n * n / 256 rows in all.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinrisk.llm.common import Joined, landed, mapped, mixed, pair_hash, slices, small_batches, text_bytes
-from clinrisk.llm.components import connected
+from clinrisk.llm.blocks import confirmed, exact_work, in_blocks, pairs
+from clinrisk.llm.common import Joined, landed, mapped, mixed, pair_hash, slices, text_bytes
+from clinrisk.llm.components import components_of, connected
 
-# 20 bands of 5: a pair of similarity 0.85 shares no band with a chance of 1e-5, one of 0.9 of 1e-8.
-REGISTERS, ROWS, BASE, RATE, TOP = 100, 5, 1.2, 20.0, 255
-SLACK, BLOCK = 0.17, 256
+REGISTERS, BASE, RATE, TOP, SLACK = 100, 1.2, 20.0, 255, 0.17
 _XOR, _ODD = (mixed(np.arange(s, s + REGISTERS, dtype=np.uint64)).astype(np.uint32) for s in (1001, 2001))
 _ODD |= np.uint32(1)
 
@@ -115,14 +112,19 @@ def registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def band_rows(percent: int) -> int:
+    """20 bands of 5: a pair of similarity 0.85 shares no band with a chance of 1e-5. Below 0.85, 25 bands of 4: one of 0.8, 2e-6."""
+    return 5 if percent >= 85 else 4
+
+
+def sketched(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, text_hash, n_shingles, a 128-bit fingerprint of the set (high, low) and the registers (NULL for an empty set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batch: pa.RecordBatch):
         texts = text_bytes(batch.column(1))
         for low, high in slices(texts):
-            keys, sizes = shingle_sets(texts[low:high])
+            keys, sizes = shingle_sets(texts[low:high], size)
             some = sizes > 0
             a, b, r = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64), [None] * len(sizes)
             if some.any():
@@ -142,14 +144,14 @@ def node_id() -> Column:
     return F.xxhash64("n_shingles", "high", "low")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, classes: DataFrame, size: int = 3) -> DataFrame:
     """node and its packed shingle set, from the text of each class's smallest doc_id; ``classes``: node, id."""
     chosen = docs.select("doc_id", "text").join(classes.select("id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text")
 
     def each(batch: pa.RecordBatch):
         texts = text_bytes(batch.column(1))
         for low, high in slices(texts):
-            keys, sizes = shingle_sets(texts[low:high])
+            keys, sizes = shingle_sets(texts[low:high], size)
             ends = np.cumsum(sizes)
             some = np.flatnonzero(sizes)
             if len(some):
@@ -164,39 +166,28 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.select(node_id().alias("node"), "set")
 
 
-def linked(percent: int, inside, n_a, n_b):
-    return 100 * inside >= percent * (n_a + n_b - inside)
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (xxhash64) of every row of ``docs``.
 
-    Documents are linked where 100 * intersection >= ``percent`` * union of their sets of three-word shingles; component_id
+    Documents are linked where 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles; component_id
     is the smallest doc_id reachable and kept says that it is the row's own. A text without words (or NULL) is linked with
     nothing. Repeated rows are equal documents and share the outcome; a NULL doc_id is never the smallest of a component
     that has another.
     """
-    rows = landed(sketched(docs), "sketches")
+    rows = landed(sketched(docs, size), "sketches")
     classes = landed(
         rows.where("n_shingles > 0").groupBy("n_shingles", "high", "low")
         .agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
         .withColumn("node", node_id()), "classes")
-    links = _links(docs, classes, percent)
-    labels = connected(links)
-    member = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # Classes that are one document and have no link need no label.
-    tied = member.where((F.col("copies") > 1) | F.col("label").isNotNull()).select("n_shingles", "high", "low", "id", "label")
-    smallest = tied.groupBy("label").agg(F.min("id").alias("component_id"))
-    known = tied.join(smallest, "label").where(F.col("component_id").isNotNull()).select("n_shingles", "high", "low", "component_id")
-    out = rows.drop("registers").join(known, ["n_shingles", "high", "low"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
-
-
-def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    out = components_of(rows.drop("registers"), classes, _links(docs, classes, percent, size))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+
+
+def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """a, b: links between classes (nodes) that join up every component."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)),
-                        lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))
+    width = band_rows(percent)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // width - 1)),
+                        lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width))))
     banded = classes.select("node", F.explode(bands).alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     banded = landed(banded.join(sizes, "key"), "buckets")
@@ -205,19 +196,20 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     star = landed(banded.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     brief = classes.select("node", "n_shingles", "registers")
     likely = landed(_likely(star, brief, percent), "likely")
-    stars = landed(_confirmed(likely, docs, classes, percent), "links")
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = landed(sets_of(docs, classes.join(nodes, "node"), size).dropDuplicates(["node"]), "sets")
+    stars = landed(confirmed(likely, sets, percent), "links")
     # Buckets that still hold several components, without the centre's pairs, which are settled.
     labels = connected(stars)
     labelled = banded.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     rest = landed(labelled.join(open_keys, "key").join(centres, "key").withColumn("central", F.col("node") == F.col("centre"))
                   .select("key", "node", "label", "size", "central"), "open")
-    near = landed(_in_blocks(rest.join(brief, "node"), _near(percent), "key long, node long"), "open")
+    near = landed(in_blocks(rest.join(brief, "node"), _near(percent), "key long, node long"), "open")
     again = near.distinct().join(rest, ["key", "node"])
     nodes = near.select("node").distinct()
-    sets = sets_of(docs, classes.join(nodes, "node"))
-    sets = landed(sets.dropDuplicates(["node"]), "sets")
-    more = _in_blocks(again.join(sets, "node"), _exact(percent), "a long, b long")
+    sets = landed(sets_of(docs, classes.join(nodes, "node"), size).dropDuplicates(["node"]), "sets")
+    more = in_blocks(again.join(sets, "node"), exact_work(percent), "a long, b long")
     return stars.unionByName(landed(more, "links"))
 
 
@@ -233,152 +225,24 @@ def _likely(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     return mapped(joined, "a long, b long", each)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = landed(sets_of(docs, classes.join(nodes, "node")).dropDuplicates(["node"]), "sets")
-    joined = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a")
-              .join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b").select("a", "b", "s_a", "s_b"))
-
-    def each(batch: pa.RecordBatch):
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
-            keep.append(linked(percent, int((both[1:] == both[:-1]).sum()), len(x) // 8, len(y) // 8))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return mapped(joined, "a long, b long", each)
-
-
-def _in_blocks(members: DataFrame, work, schema: str) -> DataFrame:
-    """``work(table)`` for all pairs of blocks of each bucket: a block is some BLOCK members, dealt by hash.
-
-    Members are sorted to their block pairs; a task holds one at a time.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                         lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    placed = (members.withColumn("blocks", blocks).withColumn("own", own).withColumn("pair", F.explode(others))
-              .repartition("key", "pair").sortWithinPartitions("key", "pair", "own", "node"))
-
-    def run(batches):
-        for whole in _groups(batches):
-            yield from work(whole)
-
-    return small_batches(placed).mapInArrow(run, schema)
-
-
-def _groups(batches) -> Iterator[pa.Table]:
-    """Tables of whole groups (key, pair) from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = _group_ids(batch)
-        if held and ids[0] != _group_ids(held[-1])[-1]:
-            yield pa.Table.from_batches(held)
-            held = []
-        cut = int(np.flatnonzero(ids == ids[-1])[0])
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _group_ids(table: pa.RecordBatch | pa.Table) -> np.ndarray:
-    """A number for each row's (key, pair); equal for equal groups."""
-    pair = table.column("pair")
-    pair = pair.combine_chunks() if isinstance(pair, pa.ChunkedArray) else pair
-    i, j = (pair.field(f).to_numpy().astype(np.uint64) for f in ("i", "j"))
-    return pair_hash(table.column("key").to_numpy().view(np.uint64), (i << np.uint64(32)) | j)
-
-
-def _pairs(table: pa.Table, piece: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of each group across components and without the bucket's centre; of two blocks, only pairs across them."""
-    ids = _group_ids(table)
-    border = np.flatnonzero(np.diff(ids, prepend=~ids[:1]) != 0)
-    end = np.repeat(np.append(border[1:], len(ids)), np.diff(np.append(border, len(ids))))
-    label, own, central = (table.column(c).to_numpy() for c in ("label", "own", "central"))
-    pair = table.column("pair").combine_chunks()
-    two = pair.field("i").to_numpy() != pair.field("j").to_numpy()
-    row, low = np.arange(len(ids)), 0
-    counts = end - row - 1
-    while low < len(ids):
-        high = max(low + 1, int(np.searchsorted(np.cumsum(counts[low:]), piece)) + low)
-        a = np.repeat(row[low:high], counts[low:high])
-        offset = np.arange(len(a)) - np.repeat(np.cumsum(counts[low:high]) - counts[low:high], counts[low:high])
-        b = a + 1 + offset
-        ok = (label[a] != label[b]) & ~central[a] & ~central[b] & (~two[a] | (own[a] != own[b]))
-        yield a[ok], b[ok]
-        low = high
-
-
 def _near(percent: int):
     def work(table: pa.Table):
         r, n = registers(table.column("registers")), table.column("n_shingles").to_numpy()
         hit = np.zeros(table.num_rows, bool)
-        for a, b in _pairs(table):
+        for a, b in pairs(table):
             found = plausible(r[a], r[b], n[a], n[b], percent)
             hit[a[found]] = hit[b[found]] = True
         yield from table.select(["key", "node"]).filter(pa.array(hit)).to_batches()
     return work
 
 
-def _exact(percent: int):
-    def work(table: pa.Table):
-        ids, node, label = _group_ids(table), table.column("node").to_numpy(), table.column("label").to_numpy()
-        sets = table.column("set").to_pylist()
-        out = []
-        border = [*np.flatnonzero(np.diff(ids, prepend=~ids[:1]) != 0), len(ids)]
-        for low, high in zip(border, border[1:]):
-            if high - low > 1:
-                out += _joining_links(node[low:high], label[low:high], [np.frombuffer(s, np.uint64) for s in sets[low:high]], percent)
-        a = np.array(out, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
-    return work
-
-
-def _joining_links(node, label, sets, percent: int) -> list[tuple[int, int]]:
-    """Links that join different components of a block: at most one fewer than its members."""
-    n = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
-    _, shingle, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = df[shingle] > 1
-    owner, shingle = owner[shared], shingle[shared]
-    order = np.argsort(shingle, kind="stable")
-    holders = owner[order]
-    start = np.searchsorted(shingle[order], np.arange(len(df)))
-    own_start = np.searchsorted(owner, np.arange(len(sets) + 1))
-    root = {x: x for x in label.tolist()}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i in range(len(sets)):
-        mine = shingle[own_start[i]:own_start[i + 1]]
-        many = df[mine]
-        at = np.repeat(start[mine] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        inside = np.bincount(holders[at], minlength=len(sets))
-        for j in np.flatnonzero(linked(percent, inside, n[i], n)):
-            if j > i and (x := find(int(label[i]))) != (y := find(int(label[j]))):
-                root[x] = y
-                out.append((int(node[i]), int(node[j])))
-    return out
-
-
-def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, that near_duplicates keeps; of rows with one doc_id and one text, any one.
 
     Rows with NULL text are no copies of each other and stay.
     """
     text_hash = F.xxhash64("text")
-    groups = near_duplicates(docs, percent)
+    groups = near_duplicates(docs, percent, size)
     dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__dup_id"), F.col("text_hash").alias("__dup_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__dup_id")) & (text_hash == F.col("__dup_hash"))
     kept = docs.join(dropped, same, "left_anti")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clinrisk.llm import qgram_match, queries, setsketch
+from clinrisk.llm import blocks, qgram_match, queries, setsketch
 from clinrisk.llm.components import connected
 from clinrisk.llm.qgram_match import Index, plain
 
@@ -78,7 +78,7 @@ def test_components_equal_all_pairs(spark, sf, copies):
 
 
 def test_blocks_inside_large_buckets(copies, monkeypatch):
-    monkeypatch.setattr(setsketch, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
     got = setsketch.near_duplicates(copies)
     assert outcome(got) == components([(r.doc_id, r.text) for r in copies.collect()])
 
