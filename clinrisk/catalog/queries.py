@@ -13,7 +13,7 @@ from clinrisk.catalog import sql as Q
 from clinrisk.functions import features as X
 from clinrisk.functions import scoring as S
 from clinrisk.operators import (
-    eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train,
+    bootstrap, eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train,
 )
 from clinrisk.plans.training import TrainConfig
 from clinrisk.plans.training import train as train_plan
@@ -867,6 +867,39 @@ def avg_precision(spark, sf):
     return rounded(metrics.average_precision(derived.predictions(spark, sf), "probability", "y_true"), 9)
 
 
+_REPLICATES = 60
+_POISSON = " + ".join(f"CAST(u >= {x} AS INT)" for x in bootstrap.poisson_limits())
+
+
+def _hash_sql(text: str, at: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), {at}, 8) AS BIGINT) % {bootstrap.PRIME}"
+
+
+_BOOTSTRAP = f"""WITH {Q.PREDICTIONS}, k AS (SELECT probability AS s, y_true AS y, {_hash_sql("'42-' || request_id", 1)} AS h1,
+  {_hash_sql("'42-' || request_id", 9)} AS h2 FROM predictions),
+d AS (SELECT r, {", ".join(f"{_hash_sql(f"'42-{c}-' || r", 1)} AS {c}" for c in "abc")} FROM range(1, {_REPLICATES + 1}) t(r)),
+u AS (SELECT r, s, y, (h1 * a % {bootstrap.PRIME} + h2 * b % {bootstrap.PRIME} + c) % {bootstrap.PRIME} AS u FROM k, d),
+g AS (SELECT r, s, CAST(coalesce(sum(w) FILTER (y = 1), 0) AS DOUBLE) AS pos, CAST(coalesce(sum(w) FILTER (y <> 1), 0) AS DOUBLE) AS neg
+  FROM (SELECT r, s, y, {_POISSON} AS w FROM u) GROUP BY r, s),
+o AS (SELECT *, sum(pos) OVER (PARTITION BY r ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cum FROM g),
+c AS (SELECT r, sum(neg * (cum - pos / 2)) / (sum(pos) * sum(neg)) AS roc_auc, sum(pos) FILTER (s >= 0.5) AS tp, sum(neg) FILTER (s >= 0.5) AS fp,
+  sum(pos) FILTER (s < 0.5) AS fn, sum(neg) FILTER (s < 0.5) AS tn FROM o GROUP BY r),
+m AS (SELECT r, roc_auc, (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / (tp + fp) AS "precision", tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1,
+  tn / (tn + fp) AS specificity, tn / (tn + fn) AS npv FROM c)"""
+
+
+@query("bootstrap_intervals", _BOOTSTRAP + " UNION ALL ".join(
+    f' SELECT \'{c}\' AS metric, count("{c}") AS replicates, round(avg("{c}"), 9) AS mean, round(stddev_samp("{c}"), 9) AS std_error,'
+    f' round(quantile_cont("{c}", 0.025), 9) AS lower, round(quantile_cont("{c}", 0.975), 9) AS upper FROM m' for c in bootstrap.METRICS))
+def bootstrap_intervals(spark, sf):
+    return rounded(bootstrap.bootstrap_intervals(derived.predictions(spark, sf), "probability", "y_true", "request_id", _REPLICATES), 9)
+
+
+@query("bootstrap_replicates", _BOOTSTRAP + " SELECT r AS replicate, " + ", ".join(f'round("{c}", 9) AS {c if c != "precision" else chr(34) + c + chr(34)}' for c in bootstrap.METRICS) + " FROM m")
+def bootstrap_replicates(spark, sf):
+    return rounded(bootstrap.bootstrap_replicates(derived.predictions(spark, sf), "probability", "y_true", "request_id", _REPLICATES), 9)
+
+
 @query("roc_curve", f"""WITH {Q.PREDICTIONS}{_AREAS}, d AS (SELECT *, lag(cp) OVER o AS cp0, lead(cp) OVER o AS cp2, lag(cq) OVER o AS cq0,
   lead(cq) OVER o AS cq2 FROM pre WINDOW o AS (ORDER BY t DESC))
   SELECT t AS threshold, round(cq / CAST(tq_all AS DOUBLE), 9) AS fpr, round(cp / CAST(tp_all AS DOUBLE), 9) AS tpr FROM d

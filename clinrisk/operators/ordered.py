@@ -226,14 +226,26 @@ def assign_by_cuts(
 
 # --------------------------------------------------------------------------------------------- score prefixes
 
-SCORE_BUCKETS = 1024
+# A table is cut into SCORE_BUCKETS buckets, or into as many of BUCKET_ROWS rows as it takes; bucket totals are broadcast, so
+# there is an upper bound.
+SCORE_BUCKETS, BUCKET_ROWS, MOST_BUCKETS = 1024, 1_000_000, 1 << 16
 
 
-def quantile_splits(df: DataFrame, score: str, buckets: int) -> list[float]:
-    """Equal-depth inner bucket edges, ascending and distinct: at most ``buckets - 1`` numbers on the driver."""
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    row = df.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10 * buckets)).first()
-    return sorted(set(row[0] or []))
+def quantile_splits(df: DataFrame, score: str, buckets: int | None = None) -> list[float]:
+    """Equal-depth inner bucket edges, ascending and distinct: at most ``buckets - 1`` numbers on the driver.
+
+    Without ``buckets`` their number follows from the rows, which the same aggregate counts; only a table of more rows than
+    SCORE_BUCKETS buckets should hold is read a second time.
+    """
+    def cut(n: int) -> tuple:
+        probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+        return tuple(df.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10 * n), F.count(score)).first())
+
+    edges, rows = cut(buckets or SCORE_BUCKETS)
+    wanted = min(-(-rows // BUCKET_ROWS), MOST_BUCKETS)
+    if buckets is None and wanted > SCORE_BUCKETS:
+        edges, _ = cut(wanted)
+    return sorted(set(edges or []))
 
 
 def bucketed(df: DataFrame, score: str, edges: Sequence[float], out: str) -> DataFrame:
@@ -245,13 +257,13 @@ def bucketed(df: DataFrame, score: str, edges: Sequence[float], out: str) -> Dat
 
 
 def score_prefix(
-    df: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets: int = SCORE_BUCKETS
+    df: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """One row per distinct score: ``(*by, score, pos, neg, cum_pos, cum_neg, total_pos, total_neg, next_pos, next_neg)``.
 
     ``cum_*`` count the rows at or above the score, ``next_*`` are the counts of the next lower score (NULL at the last).
     Rows are counted per score before anything moves, so a hot score is one row; the running sum is computed inside
-    equal-depth buckets, and bucket totals (at most ``buckets`` rows per group) give the offsets.
+    equal-depth buckets, whose number follows from the rows, and bucket totals (one row per bucket and group) give the offsets.
     """
     # The group is one struct and the bucket is made non-nullable: rows of a NULL group stay, and no null filter makes the
     # two uses of the counts differ, so that Spark reads the shuffled counts twice instead of the table.
@@ -275,7 +287,7 @@ def score_prefix(
         F.coalesce(F.sum("b_neg").over(before), F.lit(0)).alias("o_neg"),
         F.sum("b_pos").over(group).alias("total_pos"), F.sum("b_neg").over(group).alias("total_neg"),
         F.lead("top").over(descending).alias("next_top"))
-    # Without groups the offsets have at most `buckets` rows; with groups their number is unknown, so nothing is hinted.
+    # Without groups the offsets have at most MOST_BUCKETS rows; with groups their number is unknown, so nothing is hinted.
     offsets = offsets if by else F.broadcast(offsets)
     inside = Window.partitionBy(*keys, "bucket").orderBy(F.desc("score"))
     joined = counts.join(offsets, [*keys, "bucket"])
