@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinrisk.llm.common import mapped, pair_hash, small_batches
+from clinrisk.llm.common import mapped, pair_hash, released, small_batches
 
 BLOCK = 256
 
@@ -34,7 +34,7 @@ def in_blocks(members: DataFrame, work, schema: str) -> DataFrame:
         for whole in groups(batches):
             yield from work(whole)
 
-    return small_batches(placed).mapInArrow(run, schema)
+    return small_batches(placed).mapInArrow(released(run), schema)
 
 
 def groups(batches) -> Iterator[pa.Table]:
@@ -64,7 +64,7 @@ def group_ids(table: pa.RecordBatch | pa.Table) -> np.ndarray:
     return pair_hash(table.column("key").to_numpy().view(np.uint64), (i << np.uint64(32)) | j)
 
 
-def pairs(table: pa.Table, piece: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs(table: pa.Table, piece: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of each group across components and without the bucket's centre; of two blocks, only pairs across them."""
     ids = group_ids(table)
     border = np.flatnonzero(np.diff(ids, prepend=~ids[:1]) != 0)

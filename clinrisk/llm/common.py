@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -45,12 +46,29 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which free memory goes back to the system: workers are kept for later tasks, and with them what they hold."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def mapped(df: DataFrame, schema: str | StructType, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``each`` over Arrow batches, which are bounded in bytes, so long texts do not add up."""
     def run(batches):
         for batch in batches:
             yield from each(batch)
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(released(run), schema)
 
 
 def binaries(values: list[bytes]) -> pa.Array:

@@ -8,23 +8,32 @@ are turned into transfer matrices in parallel, vectors are passed from chunk to
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinrisk.llm.common import mapped, slices, small_batches
+from clinrisk.llm.common import mapped, released, slices, small_batches
 
 # Bounds of the fit: documents, and fragments of each, spread evenly over its whole text.
 MAX_LABELLED, FRAGMENTS, FRAGMENT_WORDS = 2000, 4, 40
 TABLE_BITS, SIZES, CHUNK, CACHED_WORDS = 17, (2, 3, 4, 5), 256, 300_000
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Letters, and the marks that go with them; other numbers than digits are neither.
+NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
+def letters_of(word: str) -> str:
+    """The letters of a word with their marks; empty if it has no letter."""
+    if word.isalpha():
+        return word
+    kept = NOT_LETTERS.sub("", word)
+    return kept if LETTER.search(kept) else ""
+
+
 def split_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
@@ -39,7 +48,7 @@ class Features:
 
     @classmethod
     def of(cls, words: list[bytes]) -> Features:
-        letters = [NOT_LETTERS.sub("", w.decode("utf-8", "replace")).encode() for w in words]
+        letters = [letters_of(w.decode("utf-8", "replace")).encode() for w in words]
         joined = b"".join(b"^" + w + b"$" if w else b"" for w in letters)
         lengths = np.array([len(w) + 2 if w else 0 for w in letters], np.int64)
         codes = np.frombuffer(joined, np.uint8).astype(np.uint64)
@@ -191,12 +200,17 @@ def fit(fragments: list[tuple[str, list[bytes]]], steps: int = 40, rate: float =
 
 
 def labelled_fragments(docs: DataFrame, train: Column, limit: int = MAX_LABELLED) -> list[tuple[str, list[bytes]]]:
-    """Fragments of at most ``limit`` labelled documents with a letter, taken by the order of a hash of their key."""
-    usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    n = usable.count()
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 40))
-    chosen = (usable.withColumn("_place", place).where(F.col("_place") <= F.lit(int(min(1.0, 1.2 * limit / max(n, 1)) * (1 << 40))))
-              .orderBy("_place", "doc_id", "lang", F.xxhash64("text")).limit(limit).select("lang", "text"))
+    """Fragments of at most ``limit`` labelled documents, drawn from distinct texts, as many of each language as there are or as fit.
+
+    Of every language the texts are taken by the order of a hash, in turn with those of the others, so that a rare language is
+    learned and copies count once.
+    """
+    usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    texts = usable.select("lang", F.xxhash64("text").alias("hash"), "doc_id").groupBy("lang", "hash").agg(F.min("doc_id").alias("id"))
+    ranked = texts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("rank") <= limit)
+    chosen = ranked.orderBy("rank", "hash", "lang").limit(limit).select(F.col("lang").alias("_lang"), F.col("hash").alias("_hash"), F.col("id").alias("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_hash"))
+    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["lang", "text"]).orderBy("doc_id", "lang").select("lang", "text")
 
     def each(batch: pa.RecordBatch):
         langs, parts = [], []
@@ -276,4 +290,4 @@ def label_languages(docs: DataFrame, train: Column, limit: int = MAX_LABELLED) -
             ["doc_id", "lang_pred", "score", "runs"])
 
     return small_batches(docs.select("doc_id", "text")).mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang: string, words: bigint>>")
+        released(run), f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang: string, words: bigint>>")

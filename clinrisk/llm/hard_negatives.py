@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinrisk.llm.common import landed, small_batches
+from clinrisk.llm.common import landed, released, small_batches
 from clinrisk.llm.vectors import complete, dimensions, matrix
 
 SCALE, POSITIVES, NEGATIVES = 256, 5, 3
@@ -214,7 +214,7 @@ def mine(rows: DataFrame, anchor: str, key: str = "vec_id", label: str = "label"
 def _one_pass(every: DataFrame, chosen: pa.Table, d: int, positives: int, negatives: int, least: int, most: int) -> DataFrame:
     ids, labels = (chosen.column(c).to_numpy() for c in ("id", "label"))
     q = matrix(chosen.column("q").chunk(0), d)
-    near = small_batches(every).mapInArrow(_positives(ids, labels, q, positives), "anchor long, score long, id long, own long")
+    near = small_batches(every).mapInArrow(released(_positives(ids, labels, q, positives)), "anchor long, score long, id long, own long")
     score, other = np.full((len(ids), positives), NONE), np.full((len(ids), positives), LAST)
     taken, left_out = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
     # At most ``positives`` + 1 rows for each anchor of the pass.
@@ -225,7 +225,7 @@ def _one_pass(every: DataFrame, chosen: pa.Table, d: int, positives: int, negati
         elif taken[a] < positives:
             score[a, taken[a]], other[a, taken[a]] = s, LAST if i is None else i
             taken[a] += 1
-    far = small_batches(every).mapInArrow(_negatives(labels, q, score, negatives, least, most), "pair long, score long, id long, own long")
+    far = small_batches(every).mapInArrow(released(_negatives(labels, q, score, negatives, least, most)), "pair long, score long, id long, own long")
     copies = chosen.column("copies").to_numpy()
 
     def named(batches):

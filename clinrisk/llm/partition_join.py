@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinrisk.llm.blocks import confirmed, exact_work, in_blocks, pairs
-from clinrisk.llm.common import landed, mapped, mixed, pair_hash, slices, small_batches, text_bytes
+from clinrisk.llm.common import landed, mapped, mixed, pair_hash, released, slices, small_batches, text_bytes
 from clinrisk.llm.components import components_of, connected
 from clinrisk.llm.setsketch import shingle_sets
 
@@ -156,7 +156,7 @@ def fingerprints(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return a.view(np.int64), b.view(np.int64), pair_hash(pair_hash(a, b), sizes.astype(np.uint64)).view(np.int64)
 
 
-def _sets(texts: list[bytes], size: int, piece: int = 1 << 20):
+def _sets(texts: list[bytes], size: int, piece: int = 1 << 19):
     for low, high in slices(texts, piece):
         yield low, high, *shingle_sets(texts[low:high], size)
 
@@ -271,18 +271,18 @@ def met(rows: DataFrame) -> DataFrame:
         if len(held[0]) and (out := groups(*held)):
             yield out
 
-    found = small_batches(placed).mapInArrow(run, "key long, node long, role int")
+    found = small_batches(placed).mapInArrow(released(run), "key long, node long, role int")
     return found.groupBy("key", "node").agg(F.bit_or("role").alias("role"))
 
 
-def near(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, piece: int = 50_000) -> np.ndarray:
-    """Which pairs of histogram rows may be similar: sizes allow it, and the histograms differ by no more than similar sets can."""
+def near(bins: tuple[np.ndarray, np.ndarray], at: tuple[np.ndarray, np.ndarray], n_a: np.ndarray, n_b: np.ndarray, percent: int, piece: int = 20_000) -> np.ndarray:
+    """Which pairs of histograms (rows ``at`` of ``bins``) may be similar: sizes allow it, and they differ by no more than similar sets can."""
     out = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     for low in range(0, len(out), piece):
-        at = low + np.flatnonzero(out[low:low + piece])
-        x, y = a[at], b[at]
+        some = low + np.flatnonzero(out[low:low + piece])
+        x, y = bins[0][at[0][some]], bins[1][at[1][some]]
         apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-        out[at] = apart <= difference(n_a[at], n_b[at], percent)
+        out[some] = apart <= difference(n_a[some], n_b[some], percent)
     return out
 
 
@@ -335,7 +335,8 @@ def _likely(star: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
         F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "h_a", "h_b")
 
     def each(batch: pa.RecordBatch):
-        keep = near(bins_of(batch.column(4)), bins_of(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+        row = np.arange(batch.num_rows)
+        keep = near((bins_of(batch.column(4)), bins_of(batch.column(5))), (row, row), batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return mapped(joined, "a long, b long", each)
@@ -348,7 +349,7 @@ def _near_work(percent: int):
         for a, b in pairs(table):
             asks = ((role[a] & PROBE > 0) & (role[b] & INDEX > 0)) | ((role[b] & PROBE > 0) & (role[a] & INDEX > 0))
             a, b = a[asks], b[asks]
-            found = near(bins[a], bins[b], n[a], n[b], percent)
+            found = near((bins, bins), (a, b), n[a], n[b], percent)
             hit[a[found]] = hit[b[found]] = True
         yield from table.select(["key", "node"]).filter(pa.array(hit)).to_batches()
     return work

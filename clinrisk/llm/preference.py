@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +17,19 @@ MAX_LABELLED = 20_000
 CUT = 0.3
 
 
-def labelled_sample(features: DataFrame, labels: DataFrame, label: str, use: Column, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES and 0/1 labels of at most ``limit`` labelled documents for which ``use`` holds.
+def labelled_rows(features: DataFrame, labels: DataFrame, label: str, use: Column) -> DataFrame:
+    """doc_id, FEATURES and _label (0 or 1) of all labelled documents for which ``use`` holds.
 
     NULL labels and keys are left out. A document labelled more than once has its lowest label.
     """
     known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.min(label).cast("int").alias("_label")))
-    rows = (features.where(use).select("doc_id", *FEATURES).join(known, "doc_id")
+    return features.where(use).select("doc_id", *FEATURES).join(known, "doc_id")
+
+
+def labelled_sample(features: DataFrame, labels: DataFrame, label: str, use: Column, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and 0/1 labels of at most ``limit`` of the ``labelled_rows``."""
+    rows = (labelled_rows(features, labels, label, use)
             .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(limit).select(*FEATURES, "_label").toArrow())
     x = np.column_stack([rows.column(c).to_numpy() for c in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
     return x, (rows.column("_label").to_numpy() > 0).astype(int)
@@ -57,12 +62,19 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def pairs_of(y: np.ndarray, partners: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the preferred and of the other document of each pair: every row meets ``partners`` of the other label."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng = np.random.default_rng(seed)
+    winners = np.concatenate([np.repeat(good, partners), rng.choice(good, len(bad) * partners)])
+    return winners, np.concatenate([rng.choice(bad, len(good) * partners), np.repeat(bad, partners)])
+
+
 def fit_ranking(x: np.ndarray, y: np.ndarray, partners: int = 8, l2: float = 1.0, steps: int = 30, seed: int = 7) -> Ranking:
     """P(a preferred to b) = sigmoid(strength(a) - strength(b)), fitted on pairs of a document labelled 1 and one labelled 0.
 
-    Every labelled document gets ``partners`` of the other label. The strength below which as large a share of labelled
-    documents lies as is labelled 0 becomes the threshold, midway between its neighbours. Without pairs all weights are zero
-    and every document scores CUT, that is, passes.
+    Every labelled document gets ``partners`` of the other label. The threshold is left at 0: it follows from all labelled rows.
+    Without pairs all weights are zero and every document scores CUT, that is, passes.
     """
     z = transformed(x)
     mean, scale = (z.mean(axis=0), z.std(axis=0) + 1e-9) if len(z) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
@@ -71,9 +83,7 @@ def fit_ranking(x: np.ndarray, y: np.ndarray, partners: int = 8, l2: float = 1.0
     w = np.zeros(z.shape[1])
     if not len(good) or not len(bad):
         return Ranking(w, mean, scale, 0.0)
-    rng = np.random.default_rng(seed)
-    winners = np.concatenate([np.repeat(good, partners), rng.choice(good, len(bad) * partners)])
-    losers = np.concatenate([rng.choice(bad, len(good) * partners), np.repeat(bad, partners)])
+    winners, losers = pairs_of(y, partners, seed)
     difference = z[winners] - z[losers]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(difference @ w, -500, 500)))
@@ -83,8 +93,33 @@ def fit_ranking(x: np.ndarray, y: np.ndarray, partners: int = 8, l2: float = 1.0
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    threshold = float(np.quantile(z @ w, len(bad) / len(y), method="midpoint"))
-    return Ranking(w, mean, scale, threshold)
+    return Ranking(w, mean, scale, 0.0)
+
+
+def with_threshold(model: Ranking, rows: DataFrame) -> Ranking:
+    """``model`` with the strength below which as large a share of all labelled ``rows`` lies as is labelled 0.
+
+    The quantile is exact up to a millionth of the rows. If all have one label, or all weights are zero, everything passes
+    whose strength is that of the least labelled row or more.
+    """
+    def each(batch: pa.RecordBatch):
+        strength = model.strength(np.column_stack([batch.column(c).to_numpy() for c in FEATURES]))
+        yield pa.RecordBatch.from_arrays([pa.array(strength), batch.column("_label")], ["strength", "_label"])
+
+    strengths = mapped(rows.select(*FEATURES, "_label"), "strength double, _label int", each)
+    bad = strengths.agg(F.avg((F.col("_label") <= 0).cast("double"))).first()[0]
+    if bad is None or not model.weights.any():
+        return model
+    # Rows at the quantile itself are below it; the next larger strength is not.
+    below = strengths.agg(F.percentile_approx("strength", F.lit(float(bad)), 1_000_000)).first()[0]
+    above = strengths.where(F.col("strength") > below).agg(F.min("strength")).first()[0]
+    return replace(model, threshold=(below + above) / 2 if above is not None and bad > 0 else below)
+
+
+def ranking_of(stats: DataFrame, labels: DataFrame, train: Column, limit: int = MAX_LABELLED) -> Ranking:
+    """Weights from at most ``limit`` labelled rows, the threshold from all of them."""
+    model = fit_ranking(*labelled_sample(stats, labels, "quality", train, limit))
+    return with_threshold(model, labelled_rows(stats, labels, "quality", train))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, limit: int = MAX_LABELLED) -> DataFrame:
@@ -94,8 +129,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, limit: int
     text alone; empty and NULL texts score as texts without words. Repeated rows are scored one by one.
     """
     stats = landed(document_statistics(docs), "quality")
-    x, y = labelled_sample(stats, labels, "quality", train, limit)
-    model = fit_ranking(x, y)
+    model = ranking_of(stats, labels, train, limit)
     kind = stats.schema["doc_id"].dataType.simpleString()
 
     def each(batch: pa.RecordBatch):
@@ -109,7 +143,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, limit: int
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs``, all columns, that score at least CUT; learned from all labelled rows of ``docs``."""
     stats = landed(document_statistics(docs), "quality")
-    model = fit_ranking(*labelled_sample(stats, labels, "quality", F.lit(True), limit))
+    model = ranking_of(stats, labels, F.lit(True), limit)
 
     def each(batch: pa.RecordBatch):
         stats = statistics(text_bytes(batch.column("text")))

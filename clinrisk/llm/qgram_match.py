@@ -14,38 +14,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clinrisk.llm.common import SPACES, mapped, slices, text_bytes
 
 Q, EDIT_RATE, MIN_BYTES = 8, 0.1, 24
-# Items longer than a window are looked for in windows as well, so that a document holding a part of one is found: any run of
-# WINDOW_BYTES + STEP_BYTES - 1 bytes. Over WHOLE_BYTES they are looked for in windows only; from Q to MIN_BYTES - 1 exactly.
-WHOLE_BYTES, WINDOW_BYTES, STEP_BYTES = 512, 112, 28
+# Items are looked for as a whole, those longer than a window in windows as well, so that a document holding a part of one is found:
+# any run of WINDOW_BYTES + STEP_BYTES - 1 bytes. Items of Q to MIN_BYTES - 1 bytes are looked for exactly.
+WINDOW_BYTES, STEP_BYTES = 112, 28
+# A stretch that repeats itself every 1 to PERIODS bytes, as rulers and table borders do, counts as REPEATED bytes and a period.
+PERIODS, REPEATED = 8, 16
+# Texts that are worked through at once; some hundred bytes of memory go with each of theirs.
+SLICE_BYTES = 1 << 19
 # Benchmark text that goes to the tasks at once; a larger benchmark is looked for in as many passes as it takes.
 MAX_INDEX_BYTES = 4 << 20
 _PLAIN = bytes(32 if b in SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain(text: bytes) -> bytes:
+def folded(text: bytes) -> bytes:
     """UTF-8 with its case folded and each white-space byte a space; zero bytes, which part documents, become spaces."""
     if not text.isascii():
         text = text.decode("utf-8", "replace").casefold().encode()
     return text.translate(_PLAIN).replace(b"\0", b" ")
 
 
+def repeats(data: bytes) -> np.ndarray | None:
+    """Which bytes of ``data`` count: in a stretch of one period, the first REPEATED and one period; whole periods are left out."""
+    kept = None
+    for period in range(1, min(PERIODS, len(data) - REPEATED) + 1):
+        codes = np.frombuffer(data, np.uint8)
+        same = codes[period:] == codes[:-period]
+        if same.tobytes().find(b"\1" * (REPEATED + period)) < 0:
+            continue
+        edges = np.flatnonzero(np.diff(same.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        start, length = edges[::2], edges[1::2] - edges[::2]
+        over = (length - REPEATED) // period * period
+        long = over > 0
+        kept = np.ones(len(data), bool) if kept is None else kept
+        for low, n in zip((start[long] + period + REPEATED).tolist(), over[long].tolist()):
+            kept[low:low + n] = False
+    return kept
+
+
+def plain(text: bytes) -> bytes:
+    """The text as it is compared: folded, and without what only repeats a short stretch."""
+    text = folded(text)
+    kept = repeats(text)
+    return text if kept is None else np.frombuffer(text, np.uint8)[kept].tobytes()
+
+
 class Offsets:
     """From byte offsets in ``plain(text)`` to character offsets in ``text``, whose folded characters can be longer or several."""
 
     def __init__(self, text: bytes):
+        kept = repeats(folded(text))
+        self.kept = None if kept is None else np.append(np.flatnonzero(kept), len(kept))
         self.ends = None if text.isascii() else np.cumsum([len(c.casefold().encode()) for c in text.decode("utf-8", "replace")])
 
     def start(self, at: int) -> int:
         """The character that byte ``at`` belongs to."""
+        at = at if self.kept is None else int(self.kept[at])
         return at if self.ends is None else int(np.searchsorted(self.ends, at, "right"))
 
     def end(self, at: int) -> int:
-        """The first character that begins at byte ``at`` or later."""
+        """The first character that begins at byte ``at`` or later, after what is left out before it."""
+        at = at if self.kept is None else int(self.kept[at])
         return at if self.ends is None else int(np.searchsorted(self.ends, at, "left")) + 1 if at else 0
 
 
@@ -107,17 +141,17 @@ class Index:
         for item, text in items:
             text = plain(text).strip()
             n = len(text)
-            parts = [text] if Q <= n <= WHOLE_BYTES else []
+            parts = [text] if n >= Q else []
             if n > WINDOW_BYTES:
                 parts += [text[i:i + WINDOW_BYTES] for i in [*range(0, n - WINDOW_BYTES, STEP_BYTES), n - WINDOW_BYTES]]
             patterns += parts
             owner += [item] * len(parts)
-            # A window leaves the rest of its item out; of items that are not looked for as a whole, only the window counts.
-            left_out += [n - len(p) if n <= WHOLE_BYTES else 0 for p in parts]
+            # A window leaves the rest of its item out.
+            left_out += [n - len(p) for p in parts]
         lengths = np.array([len(p) for p in patterns], np.int64)
         every = [grams(p) for p in patterns]
-        pattern = np.repeat(np.arange(len(patterns)), [len(g) for g in every])
-        position = np.concatenate([np.arange(len(g)) for g in every]) if every else np.empty(0, np.int64)
+        pattern = np.repeat(np.arange(len(patterns), dtype=np.int32), [len(g) for g in every])
+        position = np.concatenate([np.arange(len(g), dtype=np.int32) for g in every]) if every else np.empty(0, np.int32)
         gram = np.concatenate(every) if every else np.empty(0, np.uint64)
         order = np.argsort(gram, kind="stable")
         distinct, first = np.unique(gram[order], return_index=True)
@@ -132,7 +166,7 @@ class Index:
     def find(self, texts: list[bytes]) -> list[tuple[int, object, int, int, int]]:
         """(text, item, start, end, edits) in bytes of the plain texts: for each text and item the occurrence with fewest edits, the first of equals."""
         out: dict[tuple[int, object], tuple[int, int, int]] = {}
-        for low, high in slices(texts):
+        for low, high in slices(texts, SLICE_BYTES):
             for text, pattern, start, end, edits in self._find([plain(t) for t in texts[low:high]]):
                 key, found = (low + text, self.items[pattern]), (edits, start, end)
                 out[key] = min(out.get(key, found), found)
@@ -156,7 +190,7 @@ class Index:
         text = np.searchsorted(ends, at, "right")
         starts = np.concatenate([[0], ends[:-1]])
         step = 2 * self.edits[pattern] + 1
-        shift = 1 << 12  # keeps diagonals before a document's first byte positive
+        shift = max(map(len, self.patterns))  # keeps diagonals before a document's first byte positive
         band = (at - starts[text] - position + shift) // step
         need = np.array([len(p) for p in self.patterns])[pattern] + 1 - Q * (self.edits[pattern] + 1)
         seen: set[tuple[int, int]] = set()
@@ -222,9 +256,11 @@ def passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
 
     Case is that of Unicode's folding. Start and end are character offsets of the best occurrence. Rows without a passage, empty and NULL texts among them, are
     not returned; repeated rows are each looked at. At most one edit in ten bytes is tolerated. Where only
-    a window of an item of up to WHOLE_BYTES occurs, each byte of the item outside it counts as an edit.
+    a window of an item occurs, each byte of the item outside it counts as an edit. Stretches that only repeat up to PERIODS
+    bytes count as short ones, whatever their length, in documents and items alike.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    item_kind = to_arrow_type(kinds[1])
     out = None
     for make in indexes(benchmark, edit_rate):
         index = make()
@@ -234,7 +270,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
             hits = index.find(texts)
             offsets = {t: Offsets(texts[t]) for t in {h[0] for h in hits}}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], _arrow[kinds[1].simpleString()]),
+                [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], item_kind),
                  pa.array([offsets[h[0]].start(h[2]) for h in hits], pa.int64()), pa.array([offsets[h[0]].end(h[3]) for h in hits], pa.int64()),
                  pa.array([h[4] for h in hits], pa.int32())],
                 ["doc_id", "item_id", "start", "end", "edits"])
@@ -244,18 +280,21 @@ def passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
     return out
 
 
-_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def without_passages(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark item and no window of one."""
+    """The rows of ``docs``, all columns, whose text holds no benchmark item and no window of one.
+
+    Only the doc_id and a hash of the texts that hold one come out of the search; rows of one doc_id and text share the outcome.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    searched, found = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("hash")), None
     for make in indexes(benchmark, edit_rate):
         index = make()
 
         def each(batch: pa.RecordBatch, index: Index = index):
-            clean = np.ones(batch.num_rows, bool)
-            clean[[h[0] for h in index.find(text_bytes(batch.column("text")))]] = False
-            yield batch.filter(pa.array(clean))
+            hits = sorted({h[0] for h in index.find(text_bytes(batch.column(1)))})
+            yield batch.select([0, 2]).take(pa.array(hits, pa.int64()))
 
-        docs = mapped(docs, docs.schema, each)
-    return docs
+        part = mapped(searched, f"doc_id {kind}, hash long", each)
+        found = part if found is None else found.unionByName(part)
+    found = found.distinct().select(F.col("doc_id").alias("__hit_id"), F.col("hash").alias("__hit_hash"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_hash")), "left_anti")

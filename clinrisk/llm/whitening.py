@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinrisk.llm.common import small_batches
+from clinrisk.llm.common import released, small_batches
 from clinrisk.llm.vectors import complete, dimensions, matrix
 
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 32
@@ -139,7 +139,7 @@ def _sums(vectors: DataFrame, vector: str, d: int) -> tuple[int, list[int], np.n
         first, second = [*i.tolist(), *range(d), -1], [*j.tolist(), *[-1] * d, -1]
         yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array([Decimal(int(v)) for v in values], pa.decimal128(38, 0))], ["i", "j", "value"])
 
-    parts = small_batches(vectors.select(vector)).mapInArrow(run, "i int, j int, value decimal(38,0)")
+    parts = small_batches(vectors.select(vector)).mapInArrow(released(run), "i int, j int, value decimal(38,0)")
     products, sums, n = np.zeros((d, d), object), [0] * d, 0
     for i, j, value in parts.groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
         if i < 0:
@@ -163,7 +163,7 @@ def _identity_error(vectors: DataFrame, vector: str, d: int, model: Whitening) -
         i, j = np.indices((k, k))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i.ravel(), np.arange(k)).astype(np.int32)), pa.array(np.append(j.ravel(), np.full(k, -1)).astype(np.int32)), pa.array(np.append(products.ravel(), total))], ["i", "j", "value"])
 
-    parts = small_batches(vectors.select(vector)).mapInArrow(run, "i int, j int, value double")
+    parts = small_batches(vectors.select(vector)).mapInArrow(released(run), "i int, j int, value double")
     products, means = np.zeros((k, k)), np.zeros(k)
     for i, j, value in parts.groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
         if j < 0:
@@ -208,4 +208,4 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", comp
                      pa.array(model.project(centred).ravel()), pa.array(model.explained[component]), pa.array(np.full(len(row), error))],
                     [key, "component", "n", "deviation", "whitened", "explained", "identity_error"])
 
-    return small_batches(vectors).mapInArrow(each, schema)
+    return small_batches(vectors).mapInArrow(released(each), schema)

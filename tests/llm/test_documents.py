@@ -14,6 +14,8 @@ from clinrisk.llm import boosted_rules, crf_language, interpolated_lm, preferenc
 from clinrisk.llm.common import Joined, fold, words
 from clinrisk.llm.stats import FEATURES, statistics
 
+from .conftest import PROSE, frame
+
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -100,9 +102,24 @@ def test_preference_fit_is_at_its_optimum():
     x = np.abs(rng.normal(size=(80, len(FEATURES))))
     y = (x[:, 2] < 0.8).astype(int)
     model = preference.fit_ranking(x, y)
+    z = (preference.transformed(x) - model.mean) / model.scale
+    winners, losers = preference.pairs_of(y, 8, 7)
+    assert (y[winners] == 1).all() and (y[losers] == 0).all()
+    difference = z[winners] - z[losers]
+    # The gradient of the penalised logistic loss of the pairs is zero.
+    assert np.abs(difference.T @ (1 / (1 + np.exp(difference @ model.weights))) - model.weights).max() < 1e-6
     strength = model.strength(x)
-    assert ((strength > model.threshold) == (y == 1)).mean() > 0.95
-    assert np.isclose((strength < model.threshold).mean(), 1 - y.mean())
+    assert (strength[y == 1][:, None] > strength[y == 0]).mean() > 0.95
+
+
+def test_preference_threshold_is_a_quantile_of_all_labelled_rows(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    stats = preference.document_statistics(docs)
+    for limit in (20_000, 40):  # the bound is on the fit only
+        model = preference.ranking_of(stats, labels, F.lit(True), limit)
+        rows = preference.labelled_rows(stats, labels, "quality", F.lit(True)).toPandas()
+        strength = model.strength(rows[FEATURES].to_numpy())
+        assert len(rows) > 40 and abs((strength < model.threshold).sum() - (rows._label == 0).sum()) <= (strength == np.median(strength)).sum() + 1
 
 
 def test_preference_odd_inputs(spark, odd, empty, labels):
@@ -158,13 +175,25 @@ def test_code_switched_text_is_split_into_runs(spark, sf):
     assert [r.lang for r in runs] == ["en", "fr"] and abs(runs[0].words - 60) <= 3 and sum(r.words for r in runs) == 120
 
 
-def test_languages_odd_inputs(odd, empty):
+def test_languages_odd_inputs(spark, odd, empty):
     got = {r.doc_id: r for r in crf_language.label_languages(odd, F.lit(True)).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (40, 41, 42, 48)) and got[0].lang_pred == "en"
+    marks = frame(spark, [(1, "\u00bd \u2461 \u2167 \u00b2"), (2, "\u0301 \u0308"), (3, "\u4e2d\u6587"), (4, "e\u0301te\u0301"), (5, "\u00bd a")])
+    alone = {r.doc_id: r.lang_pred for r in crf_language.label_languages(marks.unionByName(frame(spark, [(9, PROSE[0], "fr")])), F.col("doc_id") == 9).collect()}
+    assert alone == {1: "und", 2: "und", 3: "fr", 4: "fr", 5: "fr", 9: "fr"}
     assert crf_language.label_languages(empty, F.lit(True)).count() == 0
     assert {r.lang_pred for r in crf_language.label_languages(odd, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_sample_holds_rare_languages_and_no_copies(spark):
+    rows = [(i, PROSE[0], "en") for i in range(300)] + [(400 + i, f"{PROSE[1]} {i}", "en") for i in range(60)] + [(500, PROSE[2], "xx"), (501, PROSE[3], "xx"), (502, PROSE[4], None)]
+    got = crf_language.labelled_fragments(frame(spark, rows), F.lit(True), limit=10)
+    # Two texts of the rare language and eight others, of four fragments each, copies of one text at most once.
+    assert collections.Counter(lang for lang, _ in got) == {"xx": 8, "en": 32}
+    copies = [words for lang, words in got if lang == "en" and words[-1] == PROSE[0].lower().encode().split()[-1]]
+    assert len(copies) <= 1
+
+
 # ------------------------------------------------------------------------------------------------ language model
 
 def tokens(text):

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clinrisk.llm import blocks, qgram_match, queries, setsketch
 from clinrisk.llm.components import connected
-from clinrisk.llm.qgram_match import Index, plain
+from clinrisk.llm.qgram_match import Index, Offsets, plain
 
 from .conftest import PROSE, frame
 
@@ -162,6 +163,46 @@ def test_passages_equal_edit_distances():
                 assert edits == k == distance(p, plain(doc)[s:e])
 
 
+def test_items_of_all_lengths_are_found_whole_with_their_edits():
+    rng = random.Random(8)
+    for n in (8, 20, 24, 60, 111, 113, 400, 512, 513, 700, 2000):
+        item = bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+        index = Index.of([(1, item)])
+        changed = bytearray(item)
+        places = rng.sample(range(0, n, 11), min(int(index.edits[0]), len(range(0, n, 11))))
+        for k in places:
+            changed[k] = ord("z")
+        doc = b"start " + bytes(changed) + b" end"
+        ((t, i, s, e, edits),) = index.find([doc])
+        assert (t, i, edits) == (0, 1, len(places)) and 6 - len(places) <= s <= 6 + len(places) and abs(e - 6 - n) <= len(places)
+
+
+def test_stretches_that_repeat_themselves():
+    item = b"Results follow here\n" + b"-" * 60 + b"\n| a | b |\n" + b"=-" * 30 + b"\nlast line of it all"
+    index = Index.of([(1, item), (2, b"-" * 150), (3, b"0 " * 70), (4, b"no such thing anywhere in it")])
+    start = time.perf_counter()
+    long = [b"-" * 10**6, b"0 " * 10**5, b"ab" * 10**5 + item + b"-" * 10**5, b"Results follow here\n" + b"-" * 61 + b"\n| a | b |\n" + b"=-" * 500 + b"\nlast line of it all", (b"-" * 70 + b"\n") * 3000]
+    got = {(t, i): k for t, i, _, _, k in index.find(long)}
+    assert time.perf_counter() - start < 10
+    assert got[0, 2] == 0 and got[1, 3] == 0 and got[2, 1] == 0 and got[3, 1] == 0 and got[4, 2] == 0 and not any(i == 4 for _, i in got)
+    for text in (*long[:3], item, "Größe ".encode() + "ß".encode() * 50 + b" x"):
+        at, shown = Offsets(text), plain(text)
+        whole = text.decode()
+        assert at.start(0) == 0 and at.end(len(shown)) == len(whole)
+        assert all(plain(whole[at.start(i)].encode())[:1] in shown[max(i - 1, 0):i + 1] for i in range(0, len(shown), 7))
+
+
+def test_rows_with_passages_go_by_key(spark):
+    benchmark = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again"), (2, None), (3, "tiny")], "item_id smallint, text string")
+    rows = [(1, "x the QUICK brown fox jumps over the lazy dog again y"), (1, "another text of row one"), (None, "the quick brown fox jumps over the lazy dog again"), (None, None), (2, None), (3, ""), (4, "tiny")]
+    docs = frame(spark, rows)
+    left = qgram_match.without_passages(docs, benchmark)
+    assert left.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([rows[1], rows[3], rows[4], rows[5], rows[6]])
+    found = qgram_match.passages(docs, benchmark)
+    assert dict(found.dtypes)["item_id"] == "smallint" and {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (None, 1)}
+
+
 def test_exact_passages_of_the_table_are_found(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "benchmark"))
     expected = {(d, i) for d, t in zip(docs.doc_id, docs.text) for i, p in zip(items.item_id, items.text) if p in t}
