@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from clinrisk.llm import packing, preference, qgram_match, secret_forest, setsketch
 from clinrisk.llm.common import landed, table
 
+# What counts as a near-duplicate here: words in a shingle, and hundredths of two sets' union that they share.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 # Learned models cannot be stated in SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
@@ -23,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are linked with nothing and stay.
     """
-    return setsketch.one_of_each(docs)
+    return setsketch.one_of_each(docs, percent=SIMILAR_PERCENT, size=SHINGLE_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
