@@ -13,7 +13,7 @@ from clinrisk.catalog import sql as Q
 from clinrisk.functions import features as X
 from clinrisk.functions import scoring as S
 from clinrisk.operators import (
-    bootstrap, eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train,
+    bootstrap, eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train, trees,
 )
 from clinrisk.plans.training import TrainConfig
 from clinrisk.plans.training import train as train_plan
@@ -686,6 +686,103 @@ def train_plan_query(spark, sf):
     return train_plan(derived.patients_raw(spark, sf), TrainConfig()).metrics
 
 
+# ------------------------------------------------------------------------------------------ tree ensembles
+
+def fixed_trees(features: list[str], kind: str) -> trees.TreeModel:
+    """Five trees of depth three whose splits and leaves follow from their numbers, so that SQL can state them."""
+    grown = []
+    for t in range(5):
+        nodes = []
+        for i in range(7):
+            feature = features[(t * 11 + i * 5) % len(features)]
+            nodes.append(trees.Node(i, 0.5, feature, ((t + 2 * i) % 5 - 2) / 4 + 0.1, 2 * i + 1, 2 * i + 2))
+        nodes += [trees.Node(i, ((t * 3 + i * 7) % 11 - (0 if kind == "vote" else 5)) / 10) for i in range(7, 15)]
+        grown.append(nodes)
+    return trees.TreeModel(kind, features, grown, [1.0] * 5 if kind == "vote" else [0.5 + 0.1 * t for t in range(5)])
+
+
+def _tree_sql(nodes: list[trees.Node], at: int = 0) -> str:
+    n = nodes[at]
+    if n.feature is None:
+        return f"{n.value}e0"
+    return f"CASE WHEN {n.feature} > {n.threshold!r}e0 THEN {_tree_sql(nodes, n.right)} ELSE {_tree_sql(nodes, n.left)} END"
+
+
+def _ensemble_sql(kind: str) -> str:
+    model = fixed_trees(Q.FEATURES, kind)
+    total = " + ".join(f"{w!r}e0 * ({_tree_sql(t)})" for t, w in zip(model.trees, model.weights))
+    p = f"({total}) / 5.0e0" if kind == "vote" else f"1.0e0 / (1.0e0 + exp(-2.0e0 * ({total})))"
+    return f"WITH {Q.STATS}, f AS (SELECT patient_id, {Q.FEATURE_EXPRS} FROM eng, stats) SELECT patient_id, round({p}, 7) AS probability FROM f"
+
+
+def tree_scores(spark, sf, kind: str) -> DataFrame:
+    params, _ = fitted_prep(spark, sf)
+    model = fixed_trees(params.feature_names(), kind)
+    scored = score.score_proba(derived.patients(spark, sf), score.Scorer(params, model))
+    return rounded(scored.select("patient_id", "probability"), 7)
+
+
+@query("score_forest", _ensemble_sql("vote"))
+def score_forest(spark, sf):
+    return tree_scores(spark, sf, "vote")
+
+
+@query("score_boosted", _ensemble_sql("boost"))
+def score_boosted(spark, sf):
+    return tree_scores(spark, sf, "boost")
+
+
+def _node_rows_sql() -> str:
+    """Rows and positives of every node, then the gains of splits, of the training rows."""
+    def paths(nodes, at=0, path="TRUE"):
+        yield at, path
+        n = nodes[at]
+        if n.feature is not None:
+            yield from paths(nodes, n.left, f"{path} AND {n.feature} <= {n.threshold!r}e0")
+            yield from paths(nodes, n.right, f"{path} AND {n.feature} > {n.threshold!r}e0")
+
+    model = fixed_trees(Q.FEATURES, "vote")
+    counted = " UNION ALL ".join(
+        f"SELECT {t} AS tree, {at} AS node, {f"'{nodes[at].feature}'" if nodes[at].feature else 'NULL'} AS feature, CAST(count(*) AS DOUBLE) AS n,"
+        f" CAST(coalesce(sum(target), 0) AS DOUBLE) AS pos FROM f WHERE {path}" for t, nodes in enumerate(model.trees) for at, path in paths(nodes))
+    return (f"WITH {Q.FEATURE_TABLE}, f AS (SELECT * FROM features WHERE split = 'train'), c AS ({counted}),"
+            " g AS (SELECT *, CASE WHEN n > 0 THEN 2 * pos / n * (1 - pos / n) ELSE 0 END AS gini FROM c),"
+            " s AS (SELECT p.tree, p.node, p.feature, p.n, p.gini - (l.n * l.gini + r.n * r.gini) / p.n AS gain FROM g p"
+            " JOIN g l ON l.tree = p.tree AND l.node = 2 * p.node + 1 JOIN g r ON r.tree = p.tree AND r.node = 2 * p.node + 2 WHERE p.n > 0)")
+
+
+@query("forest_importances", _node_rows_sql() + f""", w AS (SELECT tree, feature, sum(gain * n) AS g FROM s GROUP BY tree, feature),
+u AS (SELECT feature, sum(g / t) AS v FROM w JOIN (SELECT tree, sum(g) AS t FROM w GROUP BY tree) USING (tree) GROUP BY feature)
+SELECT name AS feature, round(coalesce(v / (SELECT sum(v) FROM u), 0), 9) AS importance
+FROM (SELECT unnest([{", ".join(f"'{f}'" for f in Q.FEATURES)}]) AS name) LEFT JOIN u ON feature = name""")
+def forest_importances(spark, sf):
+    """Importances of fixed splits on the training rows."""
+    x, names = training_features(spark, sf)
+    model = trees.refreshed(x, fixed_trees(names, "vote"), "target")
+    return rounded(select.importances(spark, model), 9)
+
+
+@query("forest_nodes", _node_rows_sql() + " SELECT tree, node, CAST(n AS BIGINT) AS n, round(gain, 9) AS gain FROM s")
+def forest_nodes(spark, sf):
+    x, names = training_features(spark, sf)
+    table = trees.refreshed(x, fixed_trees(names, "vote"), "target").to_table(spark)
+    return table.where("kind = 'vote' AND left IS NOT NULL AND n > 0").select("tree", "node", F.col("n").cast("long").alias("n"), F.round("gain", 9).alias("gain"))
+
+
+@query("forest_fit")
+def forest_fit(spark, sf):
+    """Node table of a forest grown on the training rows."""
+    x, names = training_features(spark, sf)
+    model = train.fit(x, names, "target", train.get_model("random_forest", {"n_estimators": 10, "max_depth": 5, "class_weight": "balanced"}))
+    return model.to_table(spark)
+
+
+@query("boosted_plan")
+def boosted_plan(spark, sf):
+    """Raw patients to test metrics of boosted trees at their tuned threshold."""
+    return train_plan(derived.patients_raw(spark, sf), TrainConfig(model_name="gradient_boosting", model_params={"n_estimators": 10, "max_depth": 3})).metrics
+
+
 # ------------------------------------------------------------------------------------------ scoring
 
 def fixed_scorer(spark, sf) -> score.Scorer:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clinrisk.operators.prep import PrepParams, load_prep, save_prep
 from clinrisk.operators.train import LinearModel, load_model, save_model
+from clinrisk.operators.trees import TreeModel
 
 VERSION_SCHEMA = ("model string, version string, created_at timestamp_ntz, path string,"
                   " metrics map<string,double>, metadata map<string,string>")
@@ -76,7 +77,7 @@ class ModelRegistry:
         row = next_versions(self.versions().where(F.col("model") == model)).first()
         return row["next"] if row else FIRST_VERSION
 
-    def register(self, model: LinearModel, prep: PrepParams, metrics: Mapping[str, float], metadata: Mapping,
+    def register(self, model: LinearModel | TreeModel, prep: PrepParams, metrics: Mapping[str, float], metadata: Mapping,
                  created_at: datetime | None = None) -> str:
         name = metadata.get("model_name", "unknown")
         version = self.next_version(name)
@@ -98,7 +99,7 @@ class ModelRegistry:
             raise ValueError(f"Model not found: {name} v{version}")
         return row.asDict(recursive=True)
 
-    def load(self, name: str, version: str = "latest") -> tuple[LinearModel, PrepParams]:
+    def load(self, name: str, version: str = "latest") -> tuple[LinearModel | TreeModel, PrepParams]:
         path = self.info(name, version)["path"]
         return load_model(self.spark, path), load_prep(self.spark, f"{path}/prep")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from clinrisk.functions.features import Field, engineered_columns
 from clinrisk.operators.prep import PrepParams
 from clinrisk.operators.quality import validate_batches
 from clinrisk.operators.train import LinearModel
+from clinrisk.operators.trees import TreeModel
 from clinrisk.schema import BINARY, CONTINUOUS, MAX_REQUEST_PATIENTS, REQUEST_COLUMNS, REQUEST_RULES, SCORED_RULES
 from clinrisk.sources.requests import parse_requests
 
@@ -30,7 +33,7 @@ class Scorer:
     """Fitted preprocessing and model. Everything is a literal in the plan, so scoring moves no data."""
 
     prep: PrepParams
-    model: LinearModel
+    model: LinearModel | TreeModel
     threshold: float = DEFAULT_THRESHOLD
 
     def probability(self, get: Field, columns: Iterable[str]) -> Column:
@@ -41,7 +44,11 @@ class Scorer:
         missing = wanted - set(derived)
         if missing:
             raise ValueError(f"Missing columns: {sorted(missing)}")
-        margin = self.margin(lambda c: derived[c] if c in derived else get(c))
+        field = lambda c: derived[c] if c in derived else get(c)
+        if isinstance(self.model, TreeModel):
+            absent = reduce(or_, [field(c).isNull() for c in [*self.prep.spec.continuous, *self.prep.spec.binary]], F.lit(False))
+            return F.when(~absent, self.model.probability(self.prep.feature_columns(field)))
+        margin = self.margin(field)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
     def margin(self, get: Field) -> Column:

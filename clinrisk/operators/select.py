@@ -7,12 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinrisk.operators.newton import TASKS_PER_CORE
 from clinrisk.operators.train import LinearModel, LogisticSpec, fit_task, matrix_counts, solve_many, training_matrix
+from clinrisk.operators.trees import TreeModel, node_importances
 
 CORRELATION_SCHEMA = "a string, b string, r double"
 
@@ -129,15 +130,20 @@ def select_by_rfe(df: DataFrame, features: Sequence[str], label: str, spec: Logi
     return kept, [(f, ranks[f]) for f in features]
 
 
-def importances(df_or_spark, model: LinearModel) -> DataFrame:
-    """``(feature, importance)`` with importance = |coefficient|, largest first, ties by name."""
+def importances(df_or_spark, model: LinearModel | TreeModel) -> DataFrame:
+    """``(feature, importance)``, largest first, ties by name: |coefficient|, or the share of the gain of a tree model's splits."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+    if isinstance(model, TreeModel):
+        return node_importances(model.to_table(spark))
     rows = [(f, abs(b)) for f, b in zip(model.features, model.coefficients)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def select_by_importance(model: LinearModel, threshold: float = 0.01) -> list[str]:
-    """Features whose share of the summed |coefficient| is above the threshold."""
+def select_by_importance(model: LinearModel | TreeModel, threshold: float = 0.01) -> list[str]:
+    """Features whose share of the summed |coefficient|, or of the gain, is above the threshold."""
+    if isinstance(model, TreeModel):
+        share = {r["feature"]: r["importance"] for r in importances(SparkSession.active(), model).collect()}
+        return [f for f in model.features if share[f] > threshold]
     coefficients = getattr(model, "coefficients", None)
     if coefficients is None:
         raise ValueError("Model has no coefficients to rank features by")

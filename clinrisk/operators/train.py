@@ -19,11 +19,14 @@ from clinrisk.functions.scoring import linear_probability, prediction
 from clinrisk.operators.metrics import auc_by
 from clinrisk.operators.newton import FitTask, fit_checked
 from clinrisk.operators.split import stratified_folds
+from clinrisk.operators.trees import KINDS, TreeModel, TreeSpec, fit_trees
 from clinrisk.sources.patients import estimated_megabytes
 
 # Default hyperparameters and search grid per model name.
 DEFAULT_PARAMS = {
     "logistic_regression": {"C": 1.0, "penalty": "l2", "solver": "liblinear", "max_iter": 200, "class_weight": "balanced"},
+    "random_forest": {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1, "class_weight": None, "random_state": 42},
+    "gradient_boosting": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "random_state": 42},
 }
 PARAM_GRIDS = {
     "logistic_regression": {
@@ -62,11 +65,13 @@ class LogisticSpec:
             raise ValueError(f"Unsupported class_weight or C: {self.class_weight}, {self.C}")
 
 
-def get_model(name: str, params: dict | None = None) -> LogisticSpec:
+def get_model(name: str, params: dict | None = None) -> LogisticSpec | TreeSpec:
     """The model of that name; ``None`` takes our defaults, ``{}`` the library's."""
     if name not in DEFAULT_PARAMS:
         raise ValueError(f"Unknown model: {name}. Available: {list(DEFAULT_PARAMS)}")
     params = DEFAULT_PARAMS[name] if params is None else params
+    if name in KINDS:
+        return TreeSpec(name, **params)
     return LogisticSpec(**{k: v for k, v in params.items() if k != "random_state"})
 
 
@@ -175,8 +180,10 @@ def solve_many(
     return betas, converged
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec, method: str = "newton") -> LinearModel:
-    """Fit one model; ``method`` as in ``solve_many``."""
+def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec | TreeSpec, method: str = "newton") -> LinearModel | TreeModel:
+    """Fit one model; ``method``, for logistic regression, as in ``solve_many``."""
+    if isinstance(spec, TreeSpec):
+        return fit_trees(df, features, label, spec)
     matrix = training_matrix(df, features, label)
     try:
         c = matrix_counts(matrix)[0]
@@ -189,28 +196,29 @@ def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec,
     return LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]), done)
 
 
-def save_model(model: LinearModel, metadata: dict, spark: SparkSession, path: str) -> None:
-    """``path/model`` (coefficient table) and ``path/metadata`` (one JSON line)."""
+def save_model(model: LinearModel | TreeModel, metadata: dict, spark: SparkSession, path: str) -> None:
+    """``path/model`` (table of coefficients or nodes) and ``path/metadata`` (one JSON line)."""
     model.to_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
     line = json.dumps(metadata, default=str)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def load_model(spark: SparkSession, path: str) -> LinearModel:
-    """From the folder given to ``save_model`` or from its coefficient table."""
+def load_model(spark: SparkSession, path: str) -> LinearModel | TreeModel:
+    """From the folder given to ``save_model`` or from its table of coefficients or nodes."""
     path = path.rstrip("/")
-    return LinearModel.from_table(spark.read.parquet(path if path.endswith("/model") else f"{path}/model"))
+    table = spark.read.parquet(path if path.endswith("/model") else f"{path}/model")
+    return (TreeModel if "tree" in table.columns else LinearModel).from_table(table)
 
 
-def accuracy(df: DataFrame, model: LinearModel, label: str, threshold: float = 0.5) -> DataFrame:
+def accuracy(df: DataFrame, model: LinearModel | TreeModel, label: str, threshold: float = 0.5) -> DataFrame:
     """One row ``(n, accuracy)`` of a table of feature columns."""
     p = model.probability({f: F.col(f) for f in model.features})
     hit = (prediction(p, threshold) == F.col(label)).cast("double")
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
 
 
-def train_model(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec,
-                validation: DataFrame | None = None) -> tuple[LinearModel, dict[str, float]]:
+def train_model(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec | TreeSpec,
+                validation: DataFrame | None = None) -> tuple[LinearModel | TreeModel, dict[str, float]]:
     """Fit, and the accuracy on the training and (if given) validation rows."""
     model = fit(df, features, label, spec)
     scores = {"train_accuracy": accuracy(df, model, label).first()["accuracy"]}

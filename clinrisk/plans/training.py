@@ -13,6 +13,7 @@ from clinrisk.operators.registry import ModelRegistry
 from clinrisk.operators.score import Scorer
 from clinrisk.operators.split import stratified_split
 from clinrisk.operators.train import LinearModel, get_model, grid_search, train_model
+from clinrisk.operators.trees import TreeModel
 from clinrisk.scratch import scratch_path
 from clinrisk.sources.patients import validate_schema
 from clinrisk.sources.splits import load_splits, save_splits
@@ -23,6 +24,7 @@ class TrainConfig:
     key: str = "patient_id"
     label: str = "target"
     model_name: str = "logistic_regression"
+    model_params: dict | None = None
     scaler: str = "standard"
     train_ratio: float = 0.70
     val_ratio: float = 0.15
@@ -102,7 +104,7 @@ def train(df: DataFrame, config: TrainConfig = TrainConfig(), registry: ModelReg
                              config.seed)
         model, best_params, scores = search.best_model, search.best_params, {"cv_score": search.best_score}
     else:
-        model, scores = train_model(x["train"], features, config.label, get_model(config.model_name),
+        model, scores = train_model(x["train"], features, config.label, get_model(config.model_name, config.model_params),
                                     x["val"] if config.validation else None)
 
     threshold = config.threshold
@@ -119,5 +121,5 @@ def train(df: DataFrame, config: TrainConfig = TrainConfig(), registry: ModelReg
     return TrainResult(Scorer(params, model, threshold), evaluated, report, best_params, scores, version)
 
 
-def _scored(x: DataFrame, model: LinearModel, keep: list[str]) -> DataFrame:
+def _scored(x: DataFrame, model: LinearModel | TreeModel, keep: list[str]) -> DataFrame:
     return x.select(*keep, model.probability({f: F.col(f) for f in model.features}).alias("probability"))
