@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +15,14 @@ from clinrisk.functions import scoring as S
 from clinrisk.operators import (
     bootstrap, eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train, trees,
 )
-from clinrisk.plans.training import TrainConfig
+from clinrisk.plans.training import SHORT, TrainConfig
 from clinrisk.plans.training import train as train_plan
 from clinrisk.schema import (
     CATEGORICAL, CONTINUOUS, DECODE_LABELS, DISPLAY_LABELS, PATIENT_COLUMNS, REQUEST_COLUMNS, REQUEST_RULES, TABLE_RULES,
 )
 from clinrisk.scratch import scratch_path
 from clinrisk.sources import derived, patients, requests, splits
+from clinrisk.streaming import alerts as stream_alerts
 from clinrisk.streaming import monitor as stream_monitor
 from clinrisk.streaming import runner
 from clinrisk.streaming import scoring as stream_scoring
@@ -686,6 +687,12 @@ def train_plan_query(spark, sf):
     return train_plan(derived.patients_raw(spark, sf), TrainConfig()).metrics
 
 
+@query("short_plan")
+def short_plan(spark, sf):
+    """The short job: no quality checks, the plain features, no validation, threshold 0.5."""
+    return train_plan(derived.patients_raw(spark, sf).na.drop(), SHORT).metrics
+
+
 # ------------------------------------------------------------------------------------------ tree ensembles
 
 def fixed_trees(features: list[str], kind: str) -> trees.TreeModel:
@@ -1130,6 +1137,15 @@ _BASE = (f"base AS (SELECT model, avg(probability) AS bm, stddev_pop(probability
          f" WHERE ts < TIMESTAMP '{BASELINE_END}' AND model = 'champion' GROUP BY model)")
 
 
+RESET_AT = datetime(2024, 1, 15)
+
+
+@query("reset_window", f"WITH {Q.PREDICTIONS} SELECT model, {_STATS} FROM predictions WHERE ts >= TIMESTAMP '{RESET_AT}' GROUP BY model")
+def reset_window(spark, sf):
+    """Statistics of what came after monitoring was started anew."""
+    return rounded(monitor.window_stats(monitor.after_reset(derived.predictions(spark, sf), RESET_AT)), 9)
+
+
 def baseline_table(spark, sf) -> DataFrame:
     df = derived.predictions(spark, sf)
     first = df.where((F.col("ts") < F.lit(BASELINE_END).cast("timestamp_ntz")) & (F.col("model") == "champion"))
@@ -1378,13 +1394,91 @@ def stream_score(spark, sf):
     return rounded(spark.read.parquet(out), 7, ["probability", "confidence"])
 
 
-@query("stream_reload", f"WITH {Q.STATS}, {_SCORED}, s AS ({_SERVICE}) SELECT *, '1.0.1' AS model_version FROM s")
+_RELOADED = """r AS (SELECT * EXCLUDE (probability), CASE WHEN patient_id % 2 = 0 THEN probability
+  ELSE 1.0 / (1.0 + exp(-0.5e0) * (1.0 - probability) / probability) END AS probability FROM scored)"""
+
+
+@query("stream_reload", f"WITH {Q.STATS}, {_SCORED}, {_RELOADED}, s AS ({_SERVICE.replace('FROM scored', 'FROM r')}) SELECT *,"
+                        " CASE WHEN patient_id % 2 = 0 THEN '1.0.0' ELSE '1.0.1' END AS model_version FROM s")
 def stream_reload(spark, sf):
+    """A second version is registered between two micro-batches of one stream."""
     scorer = fixed_scorer(spark, sf)
     models = registry.ModelRegistry(spark, scratch_path(spark, "registry"))
-    for _ in range(2):
-        models.register(scorer.model, scorer.prep, {}, {"model_name": "fixed"})
-    out = scratch_path(spark, "reload")
-    runner.finish(stream_scoring.stream_reload(patient_stream(spark, sf), models, "fixed", ["patient_id"], out,
-                                               scratch_path(spark, "checkpoint")))
+    out, checkpoint, landing = (scratch_path(spark, n) for n in ("reload", "checkpoint", "landing"))
+    orders = derived.table(spark, sf, "orders")
+    fields = [f"{e.format(k='o_orderkey')} AS {c}" for c, e in derived.PATIENT_FIELDS.items()]
+    for part in range(2):
+        model = train.LinearModel(scorer.model.features, scorer.model.coefficients, Q.INTERCEPT + 0.5 * part)
+        models.register(model, scorer.prep, {}, {"model_name": "fixed"})
+        orders.where(F.pmod("o_orderkey", F.lit(2)) == part).write.mode("append").parquet(landing)
+        stream = runner.read_table_stream(spark, landing, "*.parquet", orders.schema).selectExpr("o_orderkey AS patient_id", *fields)
+        runner.finish(stream_scoring.stream_reload(stream, models, "fixed", ["patient_id"], out, checkpoint))
     return rounded(spark.read.parquet(out).drop("batch"), 7, ["probability", "confidence"])
+
+
+def in_time_order(spark, sf, parts: int = 4) -> DataFrame:
+    """Predictions as a stream of files, each of later events than those before it."""
+    events, landing = derived.table(spark, sf, "events"), scratch_path(spark, "landing")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(at, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0]
+    place = sum([(at > c).cast("int") for c in cuts], F.lit(0))
+    for i in range(parts):
+        events.where(place == i).coalesce(1).write.mode("append").parquet(landing)
+    return derived.predictions_of(runner.read_table_stream(spark, landing, "*.parquet", events.schema, max_files=1))
+
+
+def times_without_zone(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema if f.dataType.typeName() == "timestamp"})
+
+
+_PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM predictions)"
+
+
+@query("stream_silence", f"WITH {Q.PREDICTIONS} SELECT CAST(instance AS VARCHAR) AS key, last_seen, last_seen + INTERVAL 1 HOUR AS firing_since, next_seen AS resolved_at"
+       " FROM (" + _GAPS.format(by="instance, ", part="PARTITION BY instance ") + f") WHERE next_seen - last_seen > INTERVAL 1 HOUR AND next_seen <= {_PASSED}")
+def stream_silence(spark, sf):
+    out = scratch_path(spark, "silence")
+    live = stream_alerts.stream_silence(in_time_order(spark, sf), "instance", HOUR / 2, HOUR / 2)
+    runner.finish(runner.start_append(live, out, scratch_path(spark, "checkpoint")))
+    return times_without_zone(spark.read.parquet(out)).where(F.col("status") == stream_alerts.RESOLVED).drop("status")
+
+
+@query("stream_held", f"WITH {Q.PREDICTIONS} SELECT 'all' AS key, pending_since, firing_since, resolved_after, n_evaluations FROM ("
+       + _held_sql("count(*) FILTER (WHERE probability >= 0.7) / CAST(count(*) AS DOUBLE) > 0.31", 3) + f") WHERE resolved_after + INTERVAL 1 HOUR <= {_PASSED}")
+def stream_held(spark, sf):
+    out = scratch_path(spark, "held")
+    live = stream_alerts.stream_held(in_time_order(spark, sf), F.col("probability") >= 0.7, 0.31, 6 * HOUR, HOUR, 3 * HOUR)
+    runner.finish(runner.start_append(live, out, scratch_path(spark, "checkpoint")))
+    return times_without_zone(spark.read.parquet(out)).where(F.col("status") == stream_alerts.RESOLVED).drop("status")
+
+
+def newest_rows(spark, out: str) -> DataFrame:
+    """The row of each model's last micro-batch."""
+    table = spark.read.parquet(out)
+    rest = [c for c in table.columns if c not in ("model", "batch", "newest")]
+    return table.groupBy("model").agg(F.max_by(F.struct(*rest), "batch").alias("s")).select("model", "s.*")
+
+
+@query("stream_live_stats", ORACLES["stream_last_n"])
+def stream_live_stats(spark, sf):
+    out = scratch_path(spark, "live-stats")
+    runner.finish(stream_monitor.stream_live_stats(in_time_order(spark, sf), out, scratch_path(spark, "checkpoint")))
+    return rounded(newest_rows(spark, out), 9)
+
+
+@query("stream_drift", ORACLES["drift"])
+def stream_drift(spark, sf):
+    out, base = scratch_path(spark, "drift"), scratch_path(spark, "baseline")
+    baseline_table(spark, sf).write.parquet(base)
+    runner.finish(stream_monitor.stream_drift(in_time_order(spark, sf), base, out, scratch_path(spark, "checkpoint")))
+    return rounded(newest_rows(spark, out), 9)
+
+
+@query("stream_sessions", f"""WITH {Q.PREDICTIONS}, b AS (SELECT instance, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY instance ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s
+  FROM predictions), g AS (SELECT instance, ts, sum(s) OVER (PARTITION BY instance ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT instance, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM g GROUP BY instance, run HAVING max(ts) + INTERVAL 1 HOUR <= {_PASSED}""")
+def stream_sessions(spark, sf):
+    out = scratch_path(spark, "sessions")
+    live = stream_telemetry.stream_sessions(in_time_order(spark, sf), HOUR, ["instance"])
+    runner.finish(runner.start_append(live, out, scratch_path(spark, "checkpoint")))
+    return times_without_zone(spark.read.parquet(out)).select("instance", "first_seen", "last_seen", "n")

@@ -17,7 +17,8 @@ def read_table_stream(spark: SparkSession, directory: str, file_glob: str, schem
 
 
 def start_batches(stream: DataFrame, process: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str,
-                  trigger: dict | None = None, reread: bool = False, written: Callable[[int], None] | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, reread: bool = False, written: Callable[[int], None] | None = None,
+                  mode: str = "append") -> StreamingQuery:
     """Write ``process(batch, id)`` to ``out/batch=<id>``.
 
     The folder of a batch is overwritten when the batch is replayed after a failure, so each batch counts once. With
@@ -34,7 +35,7 @@ def start_batches(stream: DataFrame, process: Callable[[DataFrame, int], DataFra
         if written:
             written(batch_id)
 
-    return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
