@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -13,7 +14,7 @@ from clinrisk.catalog import sql as Q
 from clinrisk.functions import features as X
 from clinrisk.functions import scoring as S
 from clinrisk.operators import (
-    bootstrap, eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train, trees,
+    asof, bootstrap, eventlog, explore, metrics, monitor, prep, quality, registry, score, select, split, telemetry, train, trees,
 )
 from clinrisk.plans.training import SHORT, TrainConfig
 from clinrisk.plans.training import train as train_plan
@@ -552,6 +553,27 @@ def lr_fit_l1(spark, sf):
     return rounded(fitted_model(spark, sf, penalty="l1", C=0.1).to_table(spark), 5)
 
 
+_OPTIMAL = "SELECT CAST(i - 1 AS INT) AS position, name AS feature, 0.0e0 AS residual FROM (SELECT unnest([" + ", ".join(
+    f"'{f}'" for f in [*Q.FEATURES, "(intercept)"]) + f"]) AS name, unnest(range(1, {len(Q.FEATURES) + 2})) AS i)"
+
+
+def _residuals(spark, sf, **overrides) -> DataFrame:
+    x, names = training_features(spark, sf)
+    spec = train.get_model("logistic_regression", {**train.DEFAULT_PARAMS["logistic_regression"], **overrides})
+    return rounded(train.optimality(x, train.fit(x, names, "target", spec), "target", spec), 6)
+
+
+@query("lr_fit_optimality", _OPTIMAL)
+def lr_fit_optimality(spark, sf):
+    """Every coefficient of the fit meets its optimality condition."""
+    return _residuals(spark, sf)
+
+
+@query("lr_fit_l1_optimality", _OPTIMAL)
+def lr_fit_l1_optimality(spark, sf):
+    return _residuals(spark, sf, penalty="l1", C=0.1)
+
+
 # ------------------------------------------------------------------------------------------ exploration
 
 @query("impute", f"WITH {Q.RAW} SELECT patient_id, coalesce(CAST(age AS DOUBLE), (SELECT quantile_cont(age, 0.5) FROM raw)) AS age,"
@@ -656,6 +678,13 @@ def importance_select_two(spark, sf):
     return spark.createDataFrame([(f,) for f in kept], "feature string")
 
 
+@query("rfe_two", f"WITH RECURSIVE {_NEWTON}, {_FITTED_ROWS} SELECT feature, CAST(rank() OVER (ORDER BY coefficient * coefficient DESC) AS INT) AS rank FROM rows_ WHERE position < 2")
+def rfe_two(spark, sf):
+    x, names = two_features(spark, sf)[0], list(_TWO)
+    _, ranks = select.select_by_rfe(x, names, "target", train.get_model("logistic_regression"), n_features=1)
+    return spark.createDataFrame(ranks, "feature string, rank int")
+
+
 @query("rfe")
 def rfe(spark, sf):
     x, names = training_features(spark, sf)
@@ -681,6 +710,13 @@ def grid_search(spark, sf):
     return rounded(search.cv_results, 6, ["mean_score"])
 
 
+@query("random_search")
+def random_search(spark, sf):
+    """Rungs of a search that drops two thirds of its points on growing shares of the rows."""
+    x, names = training_features(spark, sf)
+    return rounded(train.random_search(x, names, "target", "patient_id", n=9)[1], 6, ["mean_score"])
+
+
 @query("train_plan")
 def train_plan_query(spark, sf):
     """Raw patients to test metrics of the fitted model at its tuned threshold."""
@@ -1086,6 +1122,16 @@ def latest_version(spark, sf):
                          F.col("metrics")["roc_auc"].alias("roc_auc"))
 
 
+@query("versions_at", f"WITH {Q.VERSIONS}, v AS (SELECT model, created_at, max((major, minor, patch, version)) AS r FROM versions GROUP BY model, created_at),"
+       " e AS (SELECT l_orderkey, l_linenumber, 'model_' || (l_partkey % 97) AS model, l_shipdate AS ts FROM lineitem)"
+       " SELECT l_orderkey, l_linenumber, e.model, r[4] AS version FROM e ASOF LEFT JOIN v ON e.model = v.model AND e.ts >= v.created_at")
+def versions_at(spark, sf):
+    """The model version that was current when each of many requests came."""
+    requests_ = derived.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("model_"), (F.col("l_partkey") % 97).cast("string")).alias("model"), F.col("l_shipdate").alias("ts"))
+    return asof.versions_at(requests_, derived.model_versions(spark, sf), slot="month").drop("ts")
+
+
 @query("next_version", f"WITH {Q.VERSIONS}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY major DESC,"
        " minor DESC, patch DESC) AS rn FROM versions) WHERE rn = 1) SELECT model, version AS latest, major || '.' || minor || '.' ||"
        " (patch + 1) AS next FROM top")
@@ -1248,6 +1294,27 @@ def rate_by_endpoint(spark, sf):
     return rounded(telemetry.rates(derived.predictions(spark, sf), ["endpoint"], 6 * HOUR, HOUR), 9)
 
 
+@query("counter_rollup", f"WITH {Q.PREDICTIONS}, d AS (SELECT *, CAST(ts AS DATE) AS day FROM predictions) SELECT day, method, endpoint, status,"
+       " CAST(GROUPING(day, method, endpoint, status) AS BIGINT) AS level, count(*) AS n FROM d GROUP BY GROUPING SETS ((day, method, endpoint, status),"
+       " (day, method, endpoint), (day, method), (day), (method), (endpoint), (status), ())")
+def counter_rollup(spark, sf):
+    return telemetry.counter_rollup(derived.predictions(spark, sf))
+
+
+_GROWTH = 1.01 / 0.99
+_SKETCH_QUANTILES = (0.5, 0.95, 0.99)
+
+
+@query("sketch_quantiles", f"WITH {Q.PREDICTIONS}, v AS (SELECT window_end, endpoint, latency_s, CASE WHEN latency_s > 0 THEN ceil(round(ln(latency_s) / {math.log(_GROWTH)!r}e0, 9)) END AS b"
+       f" FROM {_slide(6)}), o AS (SELECT *, row_number() OVER (PARTITION BY window_end, endpoint ORDER BY latency_s) - 1 AS rank,"
+       " count(*) OVER (PARTITION BY window_end, endpoint) AS n FROM v) SELECT endpoint, window_end, n, " + ", ".join(
+           f"round(max(CASE WHEN rank = floor({q} * (n - 1)) THEN CASE WHEN b IS NULL THEN 0 ELSE 2 * pow({_GROWTH!r}e0, b) / {_GROWTH + 1!r}e0 END END), 9) AS q{round(q * 100):02d}"
+           for q in _SKETCH_QUANTILES) + " FROM o GROUP BY endpoint, window_end, n")
+def sketch_quantiles(spark, sf):
+    sketches = telemetry.latency_sketches(derived.predictions(spark, sf), HOUR, ["endpoint"])
+    return rounded(telemetry.sketch_quantiles(sketches, _SKETCH_QUANTILES, HOUR, 6 * HOUR, ["endpoint"]), 9)
+
+
 def _quantile_sql(q: float) -> str:
     whens, bounds = [], telemetry.LATENCY_BUCKETS
     for i, b in enumerate(bounds):

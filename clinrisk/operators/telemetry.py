@@ -6,6 +6,7 @@ times are then worked out on the step table, whose size depends on the covered t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinrisk.functions.scoring import risk_level
+from clinrisk.scratch import landed
 
 # Latency bucket bounds in seconds and alert limits.
 LATENCY_BUCKETS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]
@@ -21,6 +23,8 @@ ERROR_RATE_LIMIT, LATENCY_LIMIT, HIGH_RISK_LIMIT = 0.05, 1.0, 0.5
 ERROR_WINDOW, LATENCY_WINDOW, RISK_WINDOW = timedelta(minutes=5), timedelta(minutes=5), timedelta(minutes=10)
 SILENCE_WINDOW, SILENCE_HOLD = timedelta(minutes=15), timedelta(minutes=30)
 EVALUATION_STEP = timedelta(minutes=1)
+# The bucket of values that have no logarithm.
+ZERO_BUCKET = -2147483648
 
 
 def with_risk_level(df: DataFrame) -> DataFrame:
@@ -35,6 +39,18 @@ def request_counter(df: DataFrame) -> DataFrame:
     return df.groupBy("method", "endpoint", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counter_rollup(df: DataFrame, by: Sequence[str] = ("method", "endpoint", "status"), ts: str = "ts") -> DataFrame:
+    """``(day, *by, level, n)``: requests per day and labels, and their sums over ever more of them; ``level`` is Spark's grouping_id.
+
+    Sets: all labels; without the last, the last two, ...; days alone; each label alone; everything. Requests are counted once at the
+    finest level, and only those counts are repeated for the sets.
+    """
+    keys = ["day", *by]
+    finest = df.withColumn("day", F.to_date(ts)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sets = [keys[:i] for i in range(len(keys), 0, -1)] + [[c] for c in by] + [[]]
+    return finest.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.sum("n").alias("n"), F.grouping_id().alias("level")).select(*keys, F.col("level").cast("long"), "n")
+
+
 def totals(df: DataFrame) -> DataFrame:
     """One row ``(total, high_risk)``."""
     return with_risk_level(df).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("risk_level") == "high").alias("high_risk"))
@@ -121,6 +137,52 @@ def latency_quantiles(df: DataFrame, quantiles: Sequence[float] = (0.5, 0.95), w
     return table.select("window_start", "window_end", "n", *[e.alias(k) for k, e in named.items()])
 
 
+# --------------------------------------------------------------------------------------------- sketches
+
+# Values in one bucket of a sketch differ by less than this share on either side of its middle.
+SKETCH_ACCURACY = 0.01
+
+
+def _growth(accuracy: float) -> float:
+    return (1 + accuracy) / (1 - accuracy)
+
+
+def latency_sketches(df: DataFrame, step: timedelta, by: Sequence[str] = (), accuracy: float = SKETCH_ACCURACY, latency: str = "latency_s", ts: str = "ts") -> DataFrame:
+    """``(*by, slot, n, sketch)``: values per time step by logarithmic bucket, as a map from bucket to count; zeros have a bucket of their own.
+
+    Sketches are a table to be kept: any window of whole steps, and any merging of labels, is a sum of them, and what they
+    estimate is within ``accuracy`` of a value of the exact rank. Their size follows from the range of values, not from their number.
+    Values that are NULL, NaN or negative are left out.
+    """
+    x = F.col(latency).cast("double")
+    bucket = F.when(x > 0, F.ceil(F.round(F.ln(x) / F.lit(math.log(_growth(accuracy))), 9)).cast("int")).otherwise(F.lit(ZERO_BUCKET))
+    counts = df.where((x >= 0) & ~F.isnan(x)).groupBy(*by, F.window(ts, _text(step))["start"].alias("slot"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*by, "slot").agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: Sequence[float], step: timedelta, width: timedelta, by: Sequence[str] = (), accuracy: float = SKETCH_ACCURACY) -> DataFrame:
+    """``(*by, window_end, n, q50, ...)`` of the windows of ``width`` that end at each step, merged from the steps' sketches.
+
+    A quantile is the middle of the bucket of the value with rank floor(q (n - 1)), counted from 0.
+    """
+    if width % step:
+        raise ValueError("The window width must be a multiple of the step")
+    entries = sketches.select(*by, "slot", F.explode("sketch").alias("bucket", "m"))
+    spread = entries.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(width // step))))
+    end = F.col("slot") + F.make_dt_interval(secs=(F.col("_i") * step.total_seconds()).cast("decimal(18,6)"))
+    merged = spread.groupBy(*by, end.alias("window_end"), "bucket").agg(F.sum("m").alias("m"))
+    lists = merged.groupBy(*by, "window_end").agg(F.sum("m").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "m"))).alias("cells"))
+    growth = _growth(accuracy)
+
+    def estimate(q: float) -> Column:
+        rank = F.floor(F.lit(q) * (F.col("n") - 1))
+        seek = F.aggregate("cells", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bucket")), lambda a, c: F.struct(
+            (a["seen"] + c["m"]).alias("seen"), F.when(a["bucket"].isNull() & (a["seen"] + c["m"] > rank), c["bucket"]).otherwise(a["bucket"]).alias("bucket")))["bucket"]
+        return F.when(seek == ZERO_BUCKET, 0.0).otherwise(F.lit(2.0) * F.pow(F.lit(growth), seek) / F.lit(growth + 1))
+
+    return lists.select(*by, "window_end", "n", *[estimate(q).alias(f"q{round(q * 100):02d}") for q in quantiles])
+
+
 # --------------------------------------------------------------------------------------------- alerts
 
 def held(evaluations: DataFrame, step: timedelta, hold: timedelta) -> DataFrame:
@@ -128,9 +190,9 @@ def held(evaluations: DataFrame, step: timedelta, hold: timedelta) -> DataFrame:
 
     A period is a run of true evaluations one step apart that lasts at least ``hold``. Runs are found and numbered inside
     days; only a table of one row per day is ordered as a whole, which tells each day the last breach before it and how
-    many runs began.
+    many runs began. The breaches, a row per step at most, are written once, so that events are read once.
     """
-    breaches = evaluations.where("breach").withColumn("_day", F.to_date("at"))
+    breaches = landed(evaluations.where("breach").select("at"), "breaches").withColumn("_day", F.to_date("at"))
     inside, days = Window.partitionBy("_day").orderBy("at"), Window.orderBy("_day")
     last = breaches.groupBy("_day").agg(F.max("at").alias("_last")).select("_day", F.lag("_last").over(days).alias("_before"))
     previous = F.coalesce(F.lag("at").over(inside), F.col("_before"))
@@ -197,10 +259,10 @@ def gaps(df: DataFrame, longer_than: timedelta, by: Sequence[str] = (), ts: str
 
     Two events in the same slot of that width are never further apart, so the first and last time of each slot are enough.
     The next slot is looked for inside the day; for a day's last slot it is the first one of the next day with events, from
-    a table of one row per day.
+    a table of one row per day. The slots are written once, so that events are read once.
     """
     slot = F.window(ts, _text(longer_than))["start"]
-    ends = df.groupBy(*by, slot.alias("slot")).agg(F.min(ts).alias("first"), F.max(ts).alias("last_seen"))
+    ends = landed(df.groupBy(*by, slot.alias("slot")).agg(F.min(ts).alias("first"), F.max(ts).alias("last_seen")), "slots")
     ends = ends.withColumn("_day", F.to_date("slot")).withColumn("_group", F.struct(*by) if by else F.lit(0))
     after = (ends.groupBy("_group", "_day").agg(F.min("first").alias("_first"))
              .withColumn("_after", F.lead("_first").over(Window.partitionBy("_group").orderBy("_day"))).drop("_first"))

@@ -196,6 +196,30 @@ def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec |
     return LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]), done)
 
 
+def optimality(df: DataFrame, model: LinearModel, label: str, spec: LogisticSpec) -> DataFrame:
+    """``(position, feature, residual)``: how far each coefficient's optimality condition is missed, per labelled row and unit of C.
+
+    For an L2 penalty that is the gradient of penalty and weighted loss; for L1 the distance of the loss's slope from -sign of the
+    coefficient, or from [-1, 1] where it is 0. An intercept that is not penalised has its slope. One pass over ``df``, a table of feature columns.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    n, pos = rows.agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).first()
+    weight0, weight1 = class_weights(n, pos, spec)
+    error = (model.probability({f: F.col(f) for f in model.features}) - F.col(label)) * F.when(F.col(label) == 1, F.lit(weight1)).otherwise(F.lit(weight0))
+    sums = rows.withColumn("_e", error).agg(*[F.sum(F.col("_e") * F.col(f)).alias(f"s{i}") for i, f in enumerate(model.features)], F.sum("_e").alias(f"s{len(model.features)}")).first()
+    out = []
+    for i, (f, b) in enumerate(zip([*model.features, "(intercept)"], [*model.coefficients, model.intercept])):
+        slope = spec.C * sums[f"s{i}"]
+        if f == "(intercept)" and spec.solver == "lbfgs":
+            missed = abs(slope)
+        elif spec.penalty == "l2":
+            missed = abs(b + slope)
+        else:
+            missed = abs(slope + (1 if b > 0 else -1)) if b else max(0.0, abs(slope) - 1)
+        out.append((i, f, missed / (spec.C * n)))
+    return df.sparkSession.createDataFrame(out, "position int, feature string, residual double")
+
+
 def save_model(model: LinearModel | TreeModel, metadata: dict, spark: SparkSession, path: str) -> None:
     """``path/model`` (table of coefficients or nodes) and ``path/metadata`` (one JSON line)."""
     model.to_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
@@ -243,9 +267,9 @@ class SearchResult:
 
 def grid_search(
     df: DataFrame, features: Sequence[str], label: str, key: str, name: str = "logistic_regression",
-    grid: dict | None = None, k: int = 5, seed: int = 42, method: str = "newton",
+    grid: dict | Sequence[dict] | None = None, k: int = 5, seed: int = 42, method: str = "newton",
 ) -> SearchResult:
-    """Every grid point on ``k`` stratified folds, scored by mean fold AUC; the first best is refitted on all rows.
+    """Every point of a grid, or of a list of points, on ``k`` stratified folds, scored by mean fold AUC; the first best is refitted on all rows.
 
     All ``points x folds`` fits advance together over one cached matrix. The fold models are then applied together: their
     coefficient table is broadcast to the rows of its fold, and one ordered-prefix job gives all AUCs; being exact, it orders
@@ -253,7 +277,7 @@ def grid_search(
     share the fit with the largest value.
     """
     base = get_model(name, {})
-    points = grid_points(PARAM_GRIDS[name] if grid is None else grid)
+    points = grid_points(PARAM_GRIDS[name] if grid is None else grid) if grid is None or isinstance(grid, dict) else list(grid)
     specs = [LogisticSpec(**{**asdict(base), **p}) for p in points]
 
     def identity(s: LogisticSpec) -> tuple:
@@ -281,7 +305,7 @@ def grid_search(
         x = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
         margin = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         scored = (matrix.select("fold", "label", x.alias("x")).join(F.broadcast(models), "fold")
-                  .select("candidate", "fold", "label", margin.alias("margin")))
+                  .select("candidate", "fold", "label", margin.alias("margin")))  # the hint is for points x folds rows
         aucs: dict[int, dict[int, float]] = {}
         for r in auc_by(scored, "margin", "label", ["candidate", "fold"]).collect():  # points x folds rows
             aucs.setdefault(r["candidate"], {})[r["fold"]] = r["roc_auc"]
@@ -303,3 +327,51 @@ def grid_search(
         rows, "point int, C double, class_weight string, max_iter int, penalty string, solver string,"
               " fold_scores array<double>, mean_score double, rank int")
     return SearchResult(points[best], scores[best], LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]), done), results)
+
+
+# Choices are lists, ranges are (low, high) and drawn evenly on a logarithmic scale.
+RANDOM_SPACES = {"logistic_regression": {"C": (0.001, 100.0), "penalty": ["l1", "l2"], "solver": ["liblinear"], "class_weight": [None, "balanced"]}}
+RUNG_SCHEMA = "rung int, share double, point int, params map<string,string>, mean_score double, kept boolean"
+_SHARES = 1 << 20
+
+
+def random_points(space: dict, n: int, seed: int = 42) -> list[dict]:
+    """``n`` points of a space of choices and ranges; the same for the same seed, and the first of more."""
+    rng, names, out = np.random.default_rng(seed), sorted(space), []
+    for _ in range(n):
+        draw = dict(zip(names, rng.random(len(names))))
+        out.append({c: v[int(draw[c] * len(v))] if isinstance(v, list) else float(v[0] * (v[1] / v[0]) ** draw[c]) for c, v in space.items()})
+    return out
+
+
+def random_search(
+    df: DataFrame, features: Sequence[str], label: str, key: str, name: str = "logistic_regression", space: dict | None = None,
+    n: int = 27, eta: int = 3, k: int = 5, seed: int = 42, method: str = "newton",
+) -> tuple[SearchResult, DataFrame]:
+    """Random points, of which each rung keeps the best in ``eta`` on ``eta`` times as many rows; the last rung has all rows.
+
+    Rows of a rung are those whose hashed key is below its share, so that a rung holds those of the rung before. A rung that has not two
+    rows of each label per fold decides nothing; rows without a label take no part. Returns the search of the last rung, refitted on all rows, and a table of the rungs.
+    """
+    if n < 1 or eta < 2:
+        raise ValueError("A search needs a point, and eta of 2 or more")
+    df = df.where(F.col(label).isNotNull())
+    points = random_points(RANDOM_SPACES[name] if space is None else space, n, seed)
+    left, spark, table, rung = list(range(n)), df.sparkSession, [], 0
+    shares = [1.0]
+    while eta ** len(shares) < n:
+        shares.insert(0, shares[0] / eta)
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(_SHARES))
+    for rung, share in enumerate(shares):
+        rows = df if share == 1.0 else df.where(place < F.lit(int(share * _SHARES)))
+        last = rung == len(shares) - 1
+        if not last:
+            counts = rows.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+            if min(counts) < 2 * k:
+                continue
+        result = grid_search(rows, features, label, key, name, [points[i] for i in left], k, seed, method)
+        scores = {i: r["mean_score"] for i, r in zip(left, sorted(result.cv_results.collect(), key=lambda r: r["point"]))}
+        best = sorted(left, key=lambda i: (-scores[i], i))[:1 if last else max(1, -(-len(left) // eta))]
+        table += [(rung, share, i, {c: str(v) for c, v in points[i].items()}, scores[i], i in best) for i in left]
+        left = sorted(best)
+    return result, spark.createDataFrame(table, RUNG_SCHEMA)

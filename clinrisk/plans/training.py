@@ -14,7 +14,7 @@ from clinrisk.operators.score import Scorer
 from clinrisk.operators.split import stratified_split
 from clinrisk.operators.train import LinearModel, get_model, grid_search, train_model
 from clinrisk.operators.trees import TreeModel
-from clinrisk.scratch import scratch_path
+from clinrisk.scratch import landed, scratch_path
 from clinrisk.sources.patients import validate_schema
 from clinrisk.sources.splits import load_splits, save_splits
 
@@ -64,13 +64,6 @@ def check_quality(df: DataFrame) -> tuple[DataFrame, dict]:
     return df, {"missing": missing, "n_outlier_rows": outliers["n_outlier_rows"], "errors": errors}
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet copy in the shared scratch folder; later failures restart from there."""
-    path = scratch_path(df.sparkSession, "patients")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def train(df: DataFrame, config: TrainConfig = TrainConfig(), registry: ModelRegistry | None = None,
           splits_path: str | None = None) -> TrainResult:
     """Quality report, features, split, preprocessing, fit or search, threshold, test metrics, registration.
@@ -83,7 +76,7 @@ def train(df: DataFrame, config: TrainConfig = TrainConfig(), registry: ModelReg
     report: dict = {}
     if config.quality_checks:
         validate_schema(df)
-    df = landed(df)
+    df = landed(df, "patients")
     if config.quality_checks:
         df, report = check_quality(df)
     table = stratified_split(engineer_features(df), config.key, config.label, config.train_ratio, config.val_ratio,

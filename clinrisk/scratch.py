@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,6 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for small tables that a plan looks at several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, wherever it lies; nothing happens if it is gone."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
