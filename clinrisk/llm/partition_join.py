@@ -317,16 +317,21 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, frequent
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = landed(sets_of(docs, classes.join(nodes, "node"), size), "sets")
     stars = landed(confirmed(likely, sets, percent), "links")
+    labels = landed(connected(stars), "labels")
     # Buckets that still hold several components, without the centre's pairs, which are settled.
-    labelled = banded.where("size > 2").join(connected(stars), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = banded.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     rest = landed(labelled.join(open_keys, "key").join(centres, "key").withColumn("central", F.col("node") == F.col("centre"))
                   .select("key", "node", "label", "size", "central", "role"), "open")
-    close = landed(in_blocks(rest.join(brief, "node"), _near_work(percent), "key long, node long"), "open")
-    again = close.distinct().join(rest, ["key", "node"])
-    sets = landed(sets_of(docs, classes.join(close.select("node").distinct(), "node"), size), "sets")
-    more = in_blocks(again.join(sets, "node"), exact_work(percent), "a long, b long")
-    return stars.unionByName(landed(more, "links"))
+    close = landed(in_blocks(rest.join(brief, "node"), _near_work(percent), "a long, b long"), "near")
+    # A set has many keys, but is in one family of sets whose histograms are near: there its full set is compared, once per block.
+    family = landed(connected(close).select("node", F.col("label").alias("key")), "families")
+    counts = family.groupBy("key").agg(F.count("*").alias("size"))
+    members = family.join(counts, "key").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    sets = landed(sets_of(docs, classes.join(family.select("node"), "node"), size), "sets")
+    more = in_blocks(members.join(sets, "node"), exact_work(percent), "a long, b long")
+    # Labels stand for the links they come from.
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(landed(more, "links"))
 
 
 def _likely(star: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
@@ -343,18 +348,35 @@ def _likely(star: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
 
 
 def _near_work(percent: int):
+    """Links that join up sets of a block whose histograms are near, one fewer than there are sets at most."""
     def work(table: pa.Table):
-        bins, n, role = bins_of(table.column("bins")), table.column("n_shingles").to_numpy(), table.column("role").to_numpy()
-        hit = np.zeros(table.num_rows, bool)
+        bins, n, role, node = bins_of(table.column("bins")), table.column("n_shingles").to_numpy(), table.column("role").to_numpy(), table.column("node").to_numpy()
+        root = np.arange(table.num_rows)
         for a, b in pairs(table):
             asks = ((role[a] & PROBE > 0) & (role[b] & INDEX > 0)) | ((role[b] & PROBE > 0) & (role[a] & INDEX > 0))
+            asks &= root[a] != root[b]
             a, b = a[asks], b[asks]
             found = near((bins, bins), (a, b), n[a], n[b], percent)
-            hit[a[found]] = hit[b[found]] = True
-        yield from table.select(["key", "node"]).filter(pa.array(hit)).to_batches()
+            root = joined_up(root, a[found], b[found])
+        own = root != np.arange(table.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
     return work
 
 
+def joined_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is tied to, where ``root`` says so already and a and b are further ties."""
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while (new != (further := new[new])).any():
+            new = further
+        if (new == root).all():
+            return root
+        root = new[root]
+
+
 def similar_sets(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
