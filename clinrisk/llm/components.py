@@ -16,9 +16,8 @@ def connected(links: DataFrame) -> DataFrame:
     joined back on the hub; adaptive execution splits that join where the hub's rows are many.
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = landed(ordered, "links"), None
-    while (state := _state(edges)) != before and state[0]:
-        before = state
+    edges = landed(ordered, "links")
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         larger = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -31,9 +30,12 @@ def connected(links: DataFrame) -> DataFrame:
     return labels.unionByName(roots.join(labels.select("node"), "node", "left_anti"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % (1 << 31))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is tied to one smaller node, and that to none: then each component is a star around its smallest."""
+    most = edges.groupBy("a").count().agg(F.max("count")).first()[0]
+    if most is None or most > 1:
+        return most is None
+    return edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").agg(F.count("*")).first()[0] == 0
 
 
 def components_of(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
