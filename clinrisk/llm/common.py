@@ -15,7 +15,7 @@ from clinrisk.scratch import scratch_path
 
 # What separates words: space and \x09-\x0D. ``bytes.split()`` splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
