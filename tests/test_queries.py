@@ -10,7 +10,7 @@ from tests.conftest import SF
 from tools.check import TABLES, canonical
 
 # Fits of all 27 features; their solver is held against SQL on two features (lr_fit_two and others).
-ROWS_ONLY = {"lr_fit", "lr_fit_l1", "rfe", "importance_select", "importances", "grid_search", "train_plan"}
+ROWS_ONLY = {"lr_fit", "lr_fit_l1", "rfe", "importance_select", "importances", "grid_search", "train_plan", "random_search", "forest_fit", "boosted_plan", "short_plan"}
 
 
 @pytest.fixture(scope="module")
