@@ -22,7 +22,9 @@ from clinrisk.llm.blocks import confirmed, exact_work, in_blocks, pairs
 from clinrisk.llm.common import Joined, landed, mapped, mixed, pair_hash, slices, text_bytes
 from clinrisk.llm.components import components_of, connected
 
-REGISTERS, BASE, RATE, TOP, SLACK = 100, 1.2, 20.0, 255, 0.17
+# 20 bands of 5: a pair of similarity 0.85 shares no band with a chance of 1e-5, one of 0.9 of 1e-8, one of 0.8 of 4e-4. Bands of
+# fewer registers would take that down, but their keys are so few that unlike sets meet ever more often as a corpus grows.
+REGISTERS, ROWS, BASE, RATE, TOP, SLACK = 100, 5, 1.2, 20.0, 255, 0.17
 _XOR, _ODD = (mixed(np.arange(s, s + REGISTERS, dtype=np.uint64)).astype(np.uint32) for s in (1001, 2001))
 _ODD |= np.uint32(1)
 
@@ -112,11 +114,6 @@ def registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
-def band_rows(percent: int) -> int:
-    """20 bands of 5: a pair of similarity 0.85 shares no band with a chance of 1e-5. Below 0.85, 25 bands of 4: one of 0.8, 2e-6."""
-    return 5 if percent >= 85 else 4
-
-
 def sketched(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, text_hash, n_shingles, a 128-bit fingerprint of the set (high, low) and the registers (NULL for an empty set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -185,9 +182,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """a, b: links between classes (nodes) that join up every component."""
-    width = band_rows(percent)
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // width - 1)),
-                        lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width))))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)),
+                        lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))
     banded = classes.select("node", F.explode(bands).alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     banded = landed(banded.join(sizes, "key"), "buckets")
