@@ -1,5 +1,6 @@
 """As-of lookups, counter roll-ups and latency sketches against counting by hand."""
 
+import bisect
 import collections
 import math
 import random
@@ -55,6 +56,20 @@ def test_no_event_is_sorted_or_windowed(spark):
     assert plan.count("Window") <= 2 and "id#" not in window.split("\n")[0]
 
 
+def test_changes_of_one_slot_are_not_gathered(spark):
+    """A key with thousands of changes in one slot: each time asked for is found once, and no row of the plan holds the slot's changes."""
+    rng = random.Random(5)
+    time = lambda: T0 + timedelta(seconds=rng.randrange(20 * 86400))
+    versions = [("a", f"{i // 1000}.{i // 10 % 100}.{i % 10}", time()) for i in range(4000)] + [("a", "7.7.7", T0 - timedelta(days=70))]
+    events = [(i, "a" if i % 9 else "b", time(), None) for i in range(3000)]
+    got = asof.versions_at(spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS), slot="month")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_max" not in plan
+    at = sorted((t, tuple(map(int, v.split("."))), v) for _, v, t in versions)
+    times = [t for t, _, _ in at]
+    assert {r.id: r.version for r in got.collect()} == {i: at[bisect.bisect_right(times, t) - 1][2] if m == "a" else None for i, m, t, _ in events}
+
+
 REQUESTS = "ts timestamp_ntz, method string, endpoint string, status int, latency_s double"
 
 
