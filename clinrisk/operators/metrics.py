@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinrisk.operators.newton import TASKS_PER_CORE, unpacked
 from clinrisk.operators.ordered import bucketed, score_prefix
 
 COUNTS = ["tp", "fp", "fn", "tn"]
 CLASS_NAMES = ["Healthy", "Heart Disease"]
+# For areas of many models: held-out scores of one model that are ordered together, scores that a task orders before it hands
+# them on, and rows per fold and task from which the bucket edges are taken.
+AREA_ROWS, AREA_BUFFER, EDGE_ROWS = 1 << 17, 1 << 22, 512
+RUNS = "candidate int, fold int, bucket int, label int, scores binary, counts binary"
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -129,6 +135,102 @@ def auc_by(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFram
     return score_prefix(df, score, label, by).groupBy(*by).agg(_area_columns()[0])
 
 
+def linear_aucs(packed: DataFrame, models: Sequence[tuple[int, int, np.ndarray]], rows: int, bucket_rows: int = AREA_ROWS) -> DataFrame:
+    """``(candidate, fold, roc_auc)`` of linear models on the packed rows of their fold, tie-aware and exact, as ``auc_by``.
+
+    ``models``: candidate, fold and coefficients with the intercept last; ``rows`` is the size of the largest fold. Tasks order a
+    bounded number of scores at a time, count equal ones and cut them at edges into runs, so that a bucket of a model meets in one
+    task as a few arrays instead of a row per score. Pairs in one bucket are compared there, those in different ones by the bucket's
+    counts. The edges come from a few rows of each task; they balance the buckets and cannot change an area.
+    """
+    at: dict[float, list] = {}
+    for candidate, fold, beta in models:
+        at.setdefault(float(fold), []).append((candidate, np.asarray(beta, float)))
+    ids = {f: [c for c, _ in found] for f, found in at.items()}
+    betas = {f: np.vstack([b for _, b in found]) for f, found in at.items()}
+
+    def margins(fold, x):
+        # Column by column, so that a margin depends on its row only and equal rows have equal margins.
+        if np.isnan(x).any():
+            x = x[:, ~np.isnan(x).any(axis=0)]
+        out = np.zeros((len(ids[fold]), x.shape[1]))
+        for b, column in zip(betas[fold].T, x):
+            out += b[:, None] * column
+        return out
+
+    buckets, edges = max(1, -(-rows // bucket_rows)), {f: [np.empty(0)] * len(c) for f, c in ids.items()}
+    if buckets > 1:
+        def some(batches):
+            kept: dict[float, list] = {}
+            for fold, _, x in unpacked(batches):
+                if fold not in ids:
+                    continue
+                # Every stride-th row; when that gets too much, every second of those.
+                found = kept.setdefault(fold, [1, 0, []])
+                found[2] += [(found[1] + i, x[:, i].copy()) for i in range(-found[1] % found[0], x.shape[1], found[0])]
+                found[1] += x.shape[1]
+                while len(found[2]) > EDGE_ROWS:
+                    found[0] *= 2
+                    found[2] = [(i, row) for i, row in found[2] if i % found[0] == 0]
+            for fold, (_, _, taken) in kept.items():
+                scores = margins(fold, np.column_stack([row for _, row in taken]))
+                yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([scores.tobytes()], pa.binary())], ["fold", "scores"])
+
+        tasks = max(1, TASKS_PER_CORE * packed.sparkSession.sparkContext.defaultParallelism)
+        taken: dict[float, list] = {}
+        for r in packed.coalesce(tasks).mapInArrow(some, "fold double, scores binary").collect():  # at most EDGE_ROWS per task, fold and model
+            taken.setdefault(r["fold"], []).append(np.frombuffer(r["scores"]).reshape(len(ids[r["fold"]]), -1))
+        for f, found in taken.items():
+            scores = np.sort(np.hstack(found), axis=1)
+            places = np.arange(1, buckets) * scores.shape[1] // buckets
+            edges[f] = [np.unique(s[places]) if len(s) else s for s in scores]
+
+    def runs(fold, label, scores):
+        out = []
+        for candidate, edge, s in zip(ids[fold], edges[fold], scores):
+            values, counts = np.unique(s, return_counts=True)
+            cuts = [0, *np.searchsorted(values, edge), len(values)]
+            for bucket, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    n = counts[a:b]
+                    out.append((candidate, int(fold), bucket, label, values[a:b].tobytes(), b"" if n.max() == 1 else n.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*[pa.int32()] * 4, pa.binary(), pa.binary()])], ["candidate", "fold", "bucket", "label", "scores", "counts"])
+
+    def ordered(batches):
+        waiting, size = {}, 0
+        for fold, y, x in unpacked(batches):
+            if fold not in ids:
+                continue
+            scores = margins(fold, x)
+            waiting.setdefault((fold, int(y == 1)), []).append(scores)
+            size += scores.size
+            if size > AREA_BUFFER:
+                yield from (runs(*key, np.hstack(found)) for key, found in waiting.items() if sum(map(np.size, found)))
+                waiting, size = {}, 0
+        yield from (runs(*key, np.hstack(found)) for key, found in waiting.items() if sum(map(np.size, found)))
+
+    def compared(key, table):
+        values, counts = {0: [np.empty(0)], 1: [np.empty(0)]}, {0: [np.empty(0, np.int64)], 1: [np.empty(0, np.int64)]}
+        for label, scores, n in zip(*[table.column(c).to_pylist() for c in ("label", "scores", "counts")]):
+            values[label].append(np.frombuffer(scores))
+            counts[label].append(np.frombuffer(n, np.int64) if n else np.ones(len(scores) // 8, np.int64))
+        neg, order = np.concatenate(values[0]), np.argsort(np.concatenate(values[0]))
+        below = np.concatenate([[0], np.cumsum(np.concatenate(counts[0])[order])])
+        neg, pos, n_pos = neg[order], np.concatenate(values[1]), np.concatenate(counts[1])
+        # Twice the pairs won, a tie counting half.
+        won = int((n_pos * (below[np.searchsorted(neg, pos)] + below[np.searchsorted(neg, pos, "right")])).sum())
+        return pa.table({**{c: pa.array([k.as_py()], pa.int32()) for c, k in zip(("candidate", "fold", "bucket"), key)},
+                         "pos": pa.array([int(n_pos.sum())], pa.int64()), "neg": pa.array([int(below[-1])], pa.int64()), "won": pa.array([won], pa.int64())})
+
+    per_bucket = (packed.mapInArrow(ordered, RUNS).groupBy("candidate", "fold", "bucket")
+                  .applyInArrow(compared, "candidate int, fold int, bucket int, pos bigint, neg bigint, won bigint"))
+    lower = Window.partitionBy("candidate", "fold").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    pos, neg, before = (F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "below"))
+    return (per_bucket.withColumn("below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
+            .groupBy("candidate", "fold").agg(F.sum((2 * pos * before + F.col("won")).cast("decimal(38,0)")).alias("won"), F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg"))
+            .select("candidate", "fold", F.try_divide(F.col("won").cast("double"), 2 * F.col("pos") * F.col("neg")).alias("roc_auc")))
+
+
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """``(threshold, fpr, tpr)``: the origin at threshold +inf, then descending scores without collinear points.
 

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinrisk.functions.scoring import linear_probability, prediction
-from clinrisk.operators.metrics import auc_by
-from clinrisk.operators.newton import FitTask, fit_checked
+from clinrisk.operators.metrics import linear_aucs
+from clinrisk.operators.newton import FitTask, fit_checked, is_packed, pack, packed_counts
 from clinrisk.operators.split import stratified_folds
 from clinrisk.operators.trees import KINDS, TreeModel, TreeSpec, fit_trees
 from clinrisk.sources.patients import estimated_megabytes
@@ -103,14 +103,27 @@ def training_matrix(df: DataFrame, features: Sequence[str], label: str, keep: Se
     A table too small to give every core a file split of ``split_megabytes`` is spread over the cores once, because every
     step works on it. This changes the partitioning, and so at most the last digits of sums.
     """
+    return _training_rows(df, features, label, keep, split_megabytes).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _training_rows(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = (), split_megabytes: int = SPLIT_MEGABYTES) -> DataFrame:
     rows = df.where(F.col(label).isNotNull()).select(*keep, F.col(label).alias("label"), *features)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_megabytes(df) < cores * split_megabytes:
-        rows = rows.repartition(cores)
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.repartition(cores) if estimated_megabytes(df) < cores * split_megabytes else rows
+
+
+def fitting_data(df: DataFrame, features: Sequence[str], label: str, method: str = "newton", fold: str | None = None) -> DataFrame:
+    """What the method's steps read, cached until ``unpersist``: packed blocks for ``newton``, else the training matrix."""
+    keep = [fold] if fold else []
+    if method != "newton":
+        return training_matrix(df, features, label, keep)
+    return pack(_training_rows(df, features, label, keep), features, "label", fold).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def matrix_counts(matrix: DataFrame, by: Sequence[str] = ()) -> list:
+    if is_packed(matrix):
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "pos")]
+        return packed_counts(matrix).groupBy(*by).agg(*sums).collect()
     return matrix.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos")).collect()
 
 
@@ -184,7 +197,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, spec: LogisticSpec |
     """Fit one model; ``method``, for logistic regression, as in ``solve_many``."""
     if isinstance(spec, TreeSpec):
         return fit_trees(df, features, label, spec)
-    matrix = training_matrix(df, features, label)
+    matrix = fitting_data(df, features, label, method)
     try:
         c = matrix_counts(matrix)[0]
         task = (c["n"], c["pos"], spec, fit_task(c["n"], c["pos"], spec))
@@ -271,10 +284,11 @@ def grid_search(
 ) -> SearchResult:
     """Every point of a grid, or of a list of points, on ``k`` stratified folds, scored by mean fold AUC; the first best is refitted on all rows.
 
-    All ``points x folds`` fits advance together over one cached matrix. The fold models are then applied together: their
-    coefficient table is broadcast to the rows of its fold, and one ordered-prefix job gives all AUCs; being exact, it orders
-    each held-out row once per distinct point. ``max_iter`` only stops a fit early, so points that differ in nothing else
-    share the fit with the largest value.
+    All ``points x folds`` fits advance together over one cached matrix. With ``newton`` they start from a fit on all rows, one
+    per class weight and solver, whose optimum is near theirs: they share its products, and few steps are left to make at their
+    own coefficients. The fold models are then applied together to the rows of their fold, and one job gives all AUCs; being
+    exact, it orders each held-out row once per distinct point. ``max_iter`` only stops a fit early, so points that differ in
+    nothing else share the fit with the largest value.
     """
     base = get_model(name, {})
     points = grid_points(PARAM_GRIDS[name] if grid is None else grid) if grid is None or isinstance(grid, dict) else list(grid)
@@ -288,31 +302,27 @@ def grid_search(
         if identity(s) not in fits or fits[identity(s)].max_iter < s.max_iter:
             fits[identity(s)] = s
     ids = {ident: i for i, ident in enumerate(fits)}
-    matrix = training_matrix(stratified_folds(df, key, label, k, seed), features, label, keep=["fold"])
+    matrix = fitting_data(stratified_folds(df, key, label, k, seed), features, label, method, "fold")
     try:
         counts = {r["fold"]: r for r in matrix_counts(matrix, ["fold"])}
         total = {c: sum(r[c] for r in counts.values()) for c in ("n", "pos")}
         jobs = list(itertools.product(fits, sorted(counts)))
+        starts = _leaders(matrix, features, list(fits.values()), total) if method == "newton" else {}
         tasks = []
         for ident, f in jobs:
             n, pos = total["n"] - counts[f]["n"], total["pos"] - counts[f]["pos"]
-            tasks.append((n, pos, fits[ident], fit_task(n, pos, fits[ident], f)))
+            tasks.append((n, pos, fits[ident], fit_task(n, pos, fits[ident], f, start=starts.get(_family(fits[ident])))))
         spark = df.sparkSession
         betas, _ = solve_many(matrix, features, tasks, "fold", method)
-        models = spark.createDataFrame(
-            [(ids[ident], f, [float(b) for b in beta]) for (ident, f), beta in zip(jobs, betas)],
-            "candidate int, fold int, beta array<double>")
-        x = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
-        margin = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        scored = (matrix.select("fold", "label", x.alias("x")).join(F.broadcast(models), "fold")
-                  .select("candidate", "fold", "label", margin.alias("margin")))  # the hint is for points x folds rows
+        models = [(ids[ident], f, beta) for (ident, f), beta in zip(jobs, betas)]
+        packed = matrix if is_packed(matrix) else pack(matrix, features, "label", "fold")
         aucs: dict[int, dict[int, float]] = {}
-        for r in auc_by(scored, "margin", "label", ["candidate", "fold"]).collect():  # points x folds rows
+        for r in linear_aucs(packed, models, max(c["n"] for c in counts.values())).collect():  # points x folds rows
             aucs.setdefault(r["candidate"], {})[r["fold"]] = r["roc_auc"]
         mean = {c: sum(v.values()) / len(v) for c, v in aucs.items()}
         scores = [mean[ids[identity(s)]] for s in specs]
         best = scores.index(max(scores))
-        chosen = (total["n"], total["pos"], specs[best], fit_task(total["n"], total["pos"], specs[best]))
+        chosen = (total["n"], total["pos"], specs[best], fit_task(total["n"], total["pos"], specs[best], start=starts.get(_family(specs[best]))))
         (beta,), (done,) = solve_many(matrix, features, [chosen], method=method)
     finally:
         matrix.unpersist()
@@ -329,6 +339,21 @@ def grid_search(
     return SearchResult(points[best], scores[best], LinearModel(list(features), beta[:-1].tolist(), float(beta[-1]), done), results)
 
 
+def _family(spec: LogisticSpec) -> tuple:
+    return spec.class_weight, spec.solver
+
+
+def _leaders(matrix: DataFrame, features: Sequence[str], specs: Sequence[LogisticSpec], total: dict) -> dict[tuple, np.ndarray]:
+    """Coefficients on all rows of one fit per class weight and solver, that of the middle ``C``, L2 before L1."""
+    leaders = {}
+    for family in dict.fromkeys(map(_family, specs)):
+        ridge = [s for s in specs if _family(s) == family and s.penalty == "l2"] or [s for s in specs if _family(s) == family]
+        leaders[family] = sorted(ridge, key=lambda s: s.C)[len(ridge) // 2]
+    tasks = [(total["n"], total["pos"], s, fit_task(total["n"], total["pos"], s)) for s in leaders.values()]
+    betas, _ = solve_many(matrix, features, tasks)
+    return dict(zip(leaders, betas))
+
+
 # Choices are lists, ranges are (low, high) and drawn evenly on a logarithmic scale.
 RANDOM_SPACES = {"logistic_regression": {"C": (0.001, 100.0), "penalty": ["l1", "l2"], "solver": ["liblinear"], "class_weight": [None, "balanced"]}}
 RUNG_SCHEMA = "rung int, share double, point int, params map<string,string>, mean_score double, kept boolean"

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clinrisk.operators import metrics, select, train
+from clinrisk.operators import metrics, newton, select, train
 from clinrisk.operators.newton import FitTask, fit_many
 from clinrisk.operators.select import select_by_rfe
 from clinrisk.operators.train import LogisticSpec
@@ -182,3 +182,40 @@ def test_fits_cut_short_are_told_of(data):
     with pytest.warns(RuntimeWarning, match="before"):
         model = train.fit(df, FEATURES, "y", LogisticSpec(C=100.0, max_iter=1))
     assert not model.converged and train.fit(df, FEATURES, "y", LogisticSpec()).converged
+
+
+def scored_rows(n=3000):
+    """Rows of which some are equal, one is very frequent and one lacks a number."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 3)).round(1)
+    x[n // 3: n // 2] = 0.5
+    y = (x[:, 0] - x[:, 2] + rng.normal(size=n) > 0.1).astype(int)
+    rows = [(i, int(t), int(i % 3), *map(float, r)) for i, (r, t) in enumerate(zip(x, y))]
+    return rows + [(n, 1, 1, None, 0.0, 0.0)]
+
+
+ROWS = "id bigint, y int, fold int, a double, b double, c double"
+
+
+@pytest.mark.parametrize("bucket_rows", [10**6, 90, 7])
+@pytest.mark.parametrize("buffer", [1 << 22, 500])
+def test_areas_of_many_models_equal_areas_by_group(spark, monkeypatch, bucket_rows, buffer):
+    monkeypatch.setattr(metrics, "AREA_BUFFER", buffer)
+    df = spark.createDataFrame(scored_rows(), ROWS).repartition(3)
+    models = [(c, f, beta) for f in range(3) for c, beta in enumerate(np.array([[1.0, 0.2, -0.9, 0.1], [0.3, -0.1, 0.0, 2.0], [0.0, 0.0, 0.0, 0.7]]) * (1 + f / 10))]
+    got = {(r.candidate, r.fold): r.roc_auc for r in metrics.linear_aucs(newton.pack(df, ["a", "b", "c"], "y", "fold"), models, 1001, bucket_rows).collect()}
+    assert len(got) == 9
+    for c, f, (a, b, e, i) in models:
+        held = df.where(F.col("fold") == f).withColumn("s", F.lit(0.0) + F.col("a") * float(a) + F.col("b") * float(b) + F.col("c") * float(e) + float(i))
+        assert got[c, f] == pytest.approx(metrics.roc_auc(held, "s", "y").first()[0], abs=1e-12)
+    one = newton.pack(df.where("y = 1"), ["a", "b", "c"], "y", "fold")
+    assert {r.roc_auc for r in metrics.linear_aucs(one, models, 1001, bucket_rows).collect()} == {None}
+
+
+def test_a_search_takes_few_steps_at_coefficients_of_its_own(spark, monkeypatch):
+    df = spark.createDataFrame(scored_rows()[:-1], ROWS).drop("fold")
+    seen, sums = [], newton._sums
+    monkeypatch.setattr(newton, "_sums", lambda rows, d, fits: seen.append(len({b.tobytes() for _, b in fits})) or sums(rows, d, fits))
+    grid = {"C": [0.1, 1, 10], "penalty": ["l1", "l2"], "solver": ["liblinear"], "class_weight": [None, "balanced"], "max_iter": [100]}
+    found = train.grid_search(df, ["a", "b", "c"], "y", "id", grid=grid, k=5)
+    assert found.cv_results.count() == 12 and sum(seen) <= 3 * 60
