@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinrisk.operators.newton import TASKS_PER_CORE
-from clinrisk.operators.train import LinearModel, LogisticSpec, fit_task, matrix_counts, solve_many, training_matrix
+from clinrisk.operators.train import LinearModel, LogisticSpec, fit_task, fitting_data, matrix_counts, solve_many
 from clinrisk.operators.trees import TreeModel, node_importances
 
 CORRELATION_SCHEMA = "a string, b string, r double"
@@ -109,7 +109,7 @@ def select_by_rfe(df: DataFrame, features: Sequence[str], label: str, spec: Logi
     Returns the kept features and, for every feature, its rank (1 = kept, higher = dropped earlier). One matrix is cached;
     a refit holds the dropped coefficients at 0 and starts from the previous solution, so it takes only a few passes.
     """
-    matrix = training_matrix(df, features, label)
+    matrix = fitting_data(df, features, label, method)
     free, rounds, beta = np.ones(len(features) + 1, bool), [], None
     try:
         c = matrix_counts(matrix)[0]

@@ -219,3 +219,16 @@ def test_a_search_takes_few_steps_at_coefficients_of_its_own(spark, monkeypatch)
     grid = {"C": [0.1, 1, 10], "penalty": ["l1", "l2"], "solver": ["liblinear"], "class_weight": [None, "balanced"], "max_iter": [100]}
     found = train.grid_search(df, ["a", "b", "c"], "y", "id", grid=grid, k=5)
     assert found.cv_results.count() == 12 and sum(seen) <= 3 * 60
+
+
+def test_elimination_reads_packed_blocks(spark, monkeypatch):
+    """One value per block of rows is handed over in each pass, not one per number; every row and label is in a block."""
+    rows = scored_rows()
+    df, seen, sums = spark.createDataFrame(rows[:-1], ROWS).drop("fold"), [], newton._sums
+    monkeypatch.setattr(newton, "_sums", lambda blocks, d, fits: seen.append((blocks.count(), len(blocks.columns))) or sums(blocks, d, fits))
+    kept, ranks = select_by_rfe(df, ["a", "b", "c"], "y", LogisticSpec(), n_features=1)
+    assert kept == ["a"] and dict(ranks) == {"a": 1, "b": 3, "c": 2} and seen and all(n < 40 and width == 2 for n, width in seen)
+    packed = newton.pack(spark.createDataFrame(rows, ROWS).repartition(2), ["a", "b", "c"], "y", "fold")
+    got = sorted((int(f), int(y), *x) for r in packed.collect() for b in [np.frombuffer(r["block"]).reshape(6, r["n"])] for f, y, *x in b.T if not np.isnan(x).any())
+    assert got == sorted((f, y, a, b, c, 1.0) for _, y, f, a, b, c in rows if a is not None)
+    assert sum(r["n"] for r in packed.collect()) == len(rows)
