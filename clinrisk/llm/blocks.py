@@ -18,15 +18,18 @@ def linked(percent: int, inside, n_a, n_b):
     return 100 * inside >= percent * (n_a + n_b - inside)
 
 
-def in_blocks(members: DataFrame, work, schema: str) -> DataFrame:
+def in_blocks(members: DataFrame, work, schema: str, alone: bool = True) -> DataFrame:
     """``work(table)`` for all pairs of blocks of each bucket: a block is some BLOCK members, dealt by hash.
 
-    Members are sorted to their block pairs; a task holds one at a time.
+    Members are sorted to their block pairs; a task holds one at a time. Work that compares the members of two blocks also
+    with those of their own needs no block ``alone``, unless it is the only one.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
                          lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
+    if not alone:
+        others = F.filter(others, lambda pair: (F.col("blocks") == 1) | (pair["i"] < pair["j"]))
     placed = (members.withColumn("blocks", blocks).withColumn("own", own).withColumn("pair", F.explode(others))
               .repartition("key", "pair").sortWithinPartitions("key", "pair", "own", "node"))
 
@@ -100,21 +103,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def exact_work(percent: int):
+    """Links (a, b) between labels whose members are similar enough."""
     def work(table: pa.Table):
-        ids, node, label = group_ids(table), table.column("node").to_numpy(), table.column("label").to_numpy()
+        ids, label = group_ids(table), table.column("label").to_numpy()
         sets = table.column("set").to_pylist()
         out = []
         border = [*np.flatnonzero(np.diff(ids, prepend=~ids[:1]) != 0), len(ids)]
         for low, high in zip(border, border[1:]):
-            if high - low > 1:
-                out += joining_links(node[low:high], label[low:high], [np.frombuffer(s, np.uint64) for s in sets[low:high]], percent)
+            if (label[low:high] != label[low]).any():
+                out += joining_links(label[low:high], [np.frombuffer(s, np.uint64) for s in sets[low:high]], percent)
         a = np.array(out, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
     return work
 
 
-def joining_links(node, label, sets, percent: int) -> list[tuple[int, int]]:
-    """Links that join different components of a block: at most one fewer than its members."""
+def joining_links(label, sets, percent: int) -> list[tuple[int, int]]:
+    """Links that join different labels of a block: one fewer than there are labels at most, all of a component to one of them."""
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     _, shingle, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -122,7 +126,10 @@ def joining_links(node, label, sets, percent: int) -> list[tuple[int, int]]:
     owner, shingle = owner[shared], shingle[shared]
     order = np.argsort(shingle, kind="stable")
     holders = owner[order]
-    start = np.searchsorted(shingle[order], np.arange(len(df)))
+    # Where each set's shingles stand among the holders, and how many holders come after it.
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    later = np.searchsorted(shingle[order], np.arange(len(df)), "right")[shingle] - place - 1
     own_start = np.searchsorted(owner, np.arange(len(sets) + 1))
     root = {x: x for x in label.tolist()}
 
@@ -132,14 +139,13 @@ def joining_links(node, label, sets, percent: int) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for i in range(len(sets)):
-        mine = shingle[own_start[i]:own_start[i + 1]]
-        many = df[mine]
-        at = np.repeat(start[mine] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        mine = slice(own_start[i], own_start[i + 1])
+        many = later[mine]
+        at = np.repeat(place[mine] + 1 - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         inside = np.bincount(holders[at], minlength=len(sets))
-        for j in np.flatnonzero(linked(percent, inside, n[i], n)):
-            if j > i and (x := find(int(label[i]))) != (y := find(int(label[j]))):
-                root[x] = y
-                out.append((int(node[i]), int(node[j])))
-    return out
+        near = np.flatnonzero(linked(percent, inside, n[i], n))
+        for other in np.unique(label[near[near > i]]).tolist():
+            if (x := find(int(label[i]))) != (y := find(other)):
+                root[max(x, y)] = min(x, y)
+    return [(x, find(x)) for x in root if find(x) != x]

@@ -303,8 +303,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return mapped(chosen, "node long, set binary", each).join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, frequent: np.ndarray, share: np.ndarray) -> DataFrame:
-    """a, b: links between classes (node, id, n_shingles, bins) that join up every component."""
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, frequent: np.ndarray, share: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Labels (node, label) of the classes (node, id, n_shingles, bins) that the stars tie, and links (a, b) between labels that join up every component."""
     buckets = landed(met(keyed(docs, size, percent, frequent, share)), "met")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"), F.bit_or("role").alias("roles")).where("size > 1 AND roles = 3").select("key", "size")
     banded = landed(buckets.join(sizes, "key"), "buckets")
@@ -329,9 +329,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, frequent
     counts = family.groupBy("key").agg(F.count("*").alias("size"))
     members = family.join(counts, "key").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
     sets = landed(sets_of(docs, classes.join(family.select("node"), "node"), size), "sets")
-    more = in_blocks(members.join(sets, "node"), exact_work(percent), "a long, b long")
-    # Labels stand for the links they come from.
-    return labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(landed(more, "links"))
+    more = in_blocks(members.join(sets, "node"), exact_work(percent), "a long, b long", alone=False)
+    return labels, landed(more, "links")
 
 
 def _likely(star: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
@@ -389,5 +388,5 @@ def similar_sets(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame
     classes = landed(rows.where("n_shingles > 0").groupBy("n_shingles", "high", "low", "node")
                      .agg(F.min("doc_id").alias("id"), F.first("bins").alias("bins"), F.count("*").alias("copies")), "classes")
     frequent, share = frequent_tokens(docs, size, rows.count())
-    out = components_of(rows.select("doc_id", "n_shingles", "high", "low"), classes, links(docs, classes, size, percent, frequent, share))
+    out = components_of(rows.select("doc_id", "n_shingles", "high", "low"), classes, *links(docs, classes, size, percent, frequent, share))
     return out.select("doc_id", "n_shingles", "component_id")

@@ -141,9 +141,10 @@ def node_id() -> Column:
     return F.xxhash64("n_shingles", "high", "low")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, size: int = 3) -> DataFrame:
-    """node and its packed shingle set, from the text of each class's smallest doc_id; ``classes``: node, id."""
-    chosen = docs.select("doc_id", "text").join(classes.select("id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text")
+def sets_of(docs: DataFrame, ids: DataFrame, size: int = 3) -> DataFrame:
+    """node and its packed shingle set, of every text with one of the ``ids`` (id), which are those of classes."""
+    # The ids are what is hashed, so texts are never sorted; without the hint the plan changes with Spark's guess at their number.
+    chosen = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text")
 
     def each(batch: pa.RecordBatch):
         texts = text_bytes(batch.column(1))
@@ -176,12 +177,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
         rows.where("n_shingles > 0").groupBy("n_shingles", "high", "low")
         .agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
         .withColumn("node", node_id()), "classes")
-    out = components_of(rows.drop("registers"), classes, _links(docs, classes, percent, size))
+    out = components_of(rows.drop("registers"), classes, *_links(docs, classes, percent, size))
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
 
 
-def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b: links between classes (nodes) that join up every component."""
+def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Labels (node, label) of the classes that the stars tie, and links (a, b) between labels that join up every component."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)),
                         lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))
     banded = classes.select("node", F.explode(bands).alias("key"))
@@ -189,36 +190,37 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, size: int) -> Data
     banded = landed(banded.join(sizes, "key"), "buckets")
     met = banded.groupBy("node").agg(F.sum("size").alias("met"))
     centres = banded.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
-    star = landed(banded.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
-    brief = classes.select("node", "n_shingles", "registers")
+    centred = landed(banded.join(centres, "key"), "centred")
+    # A node has as many rows as bands at most, so dealing by it is even; neither distinct() nor the join with a's registers deals again.
+    star = centred.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).repartition("a").distinct()
+    brief = classes.select("node", "id", "n_shingles", "registers")
     likely = landed(_likely(star, brief, percent), "likely")
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = landed(sets_of(docs, classes.join(nodes, "node"), size).dropDuplicates(["node"]), "sets")
+    ids = likely.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    sets = landed(sets_of(docs, ids, size).dropDuplicates(["node"]), "sets")
     stars = landed(confirmed(likely, sets, percent), "links")
     # Buckets that still hold several components, without the centre's pairs, which are settled.
-    labels = connected(stars)
-    labelled = banded.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = landed(connected(stars), "labels")
+    labelled = centred.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    rest = landed(labelled.join(open_keys, "key").join(centres, "key").withColumn("central", F.col("node") == F.col("centre"))
-                  .select("key", "node", "label", "size", "central"), "open")
-    near = landed(in_blocks(rest.join(brief, "node"), _near(percent), "key long, node long"), "open")
-    again = near.distinct().join(rest, ["key", "node"])
-    nodes = near.select("node").distinct()
-    sets = landed(sets_of(docs, classes.join(nodes, "node"), size).dropDuplicates(["node"]), "sets")
-    more = in_blocks(again.join(sets, "node"), exact_work(percent), "a long, b long")
-    return stars.unionByName(landed(more, "links"))
+    rest = labelled.join(open_keys, "key").select("key", "node", "label", "size", (F.col("node") == F.col("centre")).alias("central"))
+    kind = classes.schema["id"].dataType.simpleString()
+    near = landed(in_blocks(rest.join(brief, "node"), _near(percent), f"key long, node long, label long, size long, id {kind}"), "open").distinct()
+    sets = landed(sets_of(docs, near.select("id").distinct(), size).dropDuplicates(["node"]), "sets")
+    more = in_blocks(near.join(sets, "node"), exact_work(percent), "a long, b long", alone=False)
+    return labels, landed(more, "links")
 
 
 def _likely(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
-    sides = [brief.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}")) for s in "ab"]
+    sides = [brief.select(*(F.col(c).alias(f"{f}{s}") for c, f in (("node", ""), ("id", "id_"), ("n_shingles", "n_"), ("registers", "r_")))) for s in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").where(
-        F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "r_a", "r_b")
+        F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "r_a", "r_b", "id_a", "id_b")
 
     def each(batch: pa.RecordBatch):
         keep = plausible(registers(batch.column(4)), registers(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        yield batch.select(["a", "b", "id_a", "id_b"]).filter(pa.array(keep))
 
-    return mapped(joined, "a long, b long", each)
+    kind = brief.schema["id"].dataType.simpleString()
+    return mapped(joined, f"a long, b long, id_a {kind}, id_b {kind}", each)
 
 
 def _near(percent: int):
@@ -228,7 +230,7 @@ def _near(percent: int):
         for a, b in pairs(table):
             found = plausible(r[a], r[b], n[a], n[b], percent)
             hit[a[found]] = hit[b[found]] = True
-        yield from table.select(["key", "node"]).filter(pa.array(hit)).to_batches()
+        yield from table.select(["key", "node", "label", "size", "id"]).filter(pa.array(hit)).to_batches()
     return work
 
 

@@ -5,10 +5,12 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clinrisk.llm import blocks, qgram_match, queries, setsketch
+from clinrisk.llm import components as components_module
 from clinrisk.llm.components import connected
 from clinrisk.llm.qgram_match import Index, Offsets, plain
 
@@ -125,6 +127,72 @@ def test_connected_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def tasks_of(spark, run):
+    """How many tasks Spark's jobs for ``run`` take, without those of broadcasts."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return sum(s.numCompletedTasks for s in stages if s)
+
+
+def landings(monkeypatch, *modules):
+    """The names of the tables that the modules land from now on."""
+    names = []
+    for module in modules:
+        monkeypatch.setattr(module, "landed", lambda df, name, f=module.landed: (names.append(name), f(df, name))[1])
+    return names
+
+
+def test_links_that_are_stars_are_not_landed(spark, monkeypatch):
+    names = landings(monkeypatch, components_module)
+    links = spark.createDataFrame([(1, 500 + i) for i in range(30)] + [(500, 1), (7, 8), (8, 7), (9, 9)], "a long, b long")
+    got = dict(connected(links).collect())
+    assert got == {1: 1, 7: 7, 8: 7} | {500 + i: 1 for i in range(30)} and not names
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+    assert set(dict(connected(chain).collect()).values()) == {0} and len(names) % 2 == 0
+
+
+def test_blocks_compare_what_their_work_leaves_out(spark):
+    members = spark.createDataFrame([(5, n, 600, n) for n in range(600)] + [(6, n, 3, n) for n in range(3)], "key long, node long, size long, label long")
+    schema = "key long, i int, j int, n long"
+
+    def work(table):
+        pair = table.column("pair").combine_chunks()
+        t = pa.table({"key": table.column("key"), "i": pair.field("i"), "j": pair.field("j")}).group_by(["key", "i", "j"]).aggregate([([], "count_all")])
+        yield from t.rename_columns(["key", "i", "j", "n"]).to_batches()
+
+    def places(**options):
+        return {(r.key, r.i, r.j) for r in blocks.in_blocks(members, work, schema, **options).groupBy("key", "i", "j").agg(F.sum("n")).collect()}
+
+    assert places() == {(6, 0, 0)} | {(5, i, j) for j in range(3) for i in range(j + 1)}
+    assert places(alone=False) == {(6, 0, 0), (5, 0, 1), (5, 0, 2), (5, 1, 2)}
+
+
+def test_joining_links_tie_labels():
+    a, b, c = (np.arange(s, s + 100, dtype=np.uint64) for s in (0, 5, 1000))
+    d = np.append(c[:95], np.uint64(5000))
+    assert sorted(blocks.joining_links(np.array([9, 4, 3, 3]), [a, b, c, d], 85)) == [(9, 4)]
+    assert sorted(blocks.joining_links(np.array([9, 4, 3, 2, 1]), [a, b, c, d, c], 85)) == [(2, 1), (3, 1), (9, 4)]
+    assert blocks.joining_links(np.array([1, 2]), [a, c], 85) == []
+
+
+def test_near_duplicates_deal_few_tasks(spark, copies):
+    """Every time rows are dealt anew costs a task for each partition, however few rows there are; 1 440 tasks once, now 844."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        assert 0 < tasks_of(spark, lambda: setsketch.near_duplicates(copies).collect()) < 1100
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 # ------------------------------------------------------------------------------------------------ passages
 
 def distance(p, t):
